@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontam, neardup, quality, sharding, sp_bpe
+from siltstone.llm import chat, decontam, html, lattice_lm, media, neardup, quality, sharding, sp_bpe, tokenfile
 from siltstone.llm.common import materialize, table
 
 
@@ -19,15 +19,34 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_documents(tokenfile.write_segments(table(spark, sf_dir, "documents")))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialize(media.store(table(spark, sf_dir, "documents")), "media")
+    found = media.resolve(media.sequences(stored), media.media_features(stored))
+    sizes = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
+    return found.select("doc_id", sizes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -51,7 +70,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op5_sentencepiece, op7_quality, op9_chat_formatting, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_sharding, op2_decontamination, op3_token_file, op4_html_extraction, op5_sentencepiece, op6_lm_scoring, op7_quality, op8_media, op9_chat_formatting, op10_near_duplicates,
+)}
 
 
 def _shard_sql() -> str:
