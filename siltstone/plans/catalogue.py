@@ -1,4 +1,464 @@
-"""Registered queries of the deduplication engine and their DuckDB SQL."""
+"""Registered queries of the deduplication engine and their DuckDB SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Documents are taken as files: path from lang, source and doc_id, bytes from the text, plus one empty
+file. Snapshot A is the documents; snapshot B has edits by doc_id modulo 10: 0 prepends a byte,
+1 inserts one in the middle, 2 deletes 100 bytes from a third on, 3 appends a line, 4 drops the file.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siltstone.functions import columns as C
+from siltstone.functions.gear import gear_table, low_ones, mask_bits
+from siltstone.operators import chunking, dedup, snapshots
+from siltstone.operators.chunking import ChunkConfig
+from siltstone.sources import formats
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+FIXED, CDC = ChunkConfig.of_kib(1, fixed=True), ChunkConfig.of_kib(1)
+MODE, MTIME = 33188, 1_700_000_000
+IDS = ("20240101-000000", "20240102-000000")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, and its SQL if there is any."""
+
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return register
+
+
+# Inputs
+
+
+def files(spark: SparkSession, sf_dir: str, snapshot: str = "A") -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    content, n = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.octet_length("content")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(F.concat(part("lang"), F.lit("/"), part("source"), F.lit("/"), part("doc_id"), F.lit(".txt")).alias("path"), F.coalesce(F.pmod("doc_id", F.lit(10)), F.lit(9)).alias("edit"), content.alias("content"))
+    if snapshot == "B":
+        c, half, third = F.col("content"), F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
+        edited = F.when(F.col("edit") == 0, F.concat(F.lit(b"X"), c)).when(F.col("edit") == 1, C.insert_bytes(c, half, b"X")).when(F.col("edit") == 2, C.delete_bytes(c, third, 100))
+        rows = rows.filter("edit <> 4").withColumn("content", edited.when(F.col("edit") == 3, F.concat(c, F.lit(b" appended line"))).otherwise(c))
+    empty = spark.range(1).select(F.lit("empty.txt").alias("path"), F.lit(9).cast("long").alias("edit"), F.lit(b"").alias("content"))
+    return rows.unionByName(empty).select("path", "edit", F.lit(MODE).alias("mode"), F.lit(MTIME).cast("long").alias("mtime_unix"), "content")
+
+
+def chunked(spark: SparkSession, sf_dir: str, snapshot: str = "A", config: ChunkConfig = FIXED) -> DataFrame:
+    return chunking.chunks(files(spark, sf_dir, snapshot), config)
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [snapshots.build_manifest(files(spark, sf_dir, s), chunked(spark, sf_dir, s)).withColumn("snapshot_id", F.lit(i)) for s, i in zip("AB", IDS, strict=True)]
+    return both[0].unionByName(both[1])
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest, length and data of the distinct chunks of both snapshots."""
+    data = [chunking.chunks(files(spark, sf_dir, s), FIXED).select("path", "seq", "offset", "length", "digest").join(files(spark, sf_dir, s).select("path", "content"), "path") for s in "AB"]
+    rows = data[0].unionByName(data[1]).select("digest", "length", C.cut(F.col("content"), F.col("offset"), F.col("length")).alias("data"))
+    return rows.dropDuplicates(["digest"])
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored chunks with faults: digests that begin with 00 are missing, with 01 corrupt."""
+    rows = stored(spark, sf_dir).filter(~F.col("digest").startswith("00"))
+    return rows.withColumn("data", F.when(F.col("digest").startswith("01"), F.concat("data", F.lit(b"!"))).otherwise(F.col("data")))
+
+
+_PATH = "concat(coalesce(lang, ''), '/', coalesce(source, ''), '/', coalesce(CAST(doc_id AS VARCHAR), ''), '.txt')"
+_BYTES = "encode(coalesce(text, ''))"
+_CUT = "{0}[CAST({1} + 1 AS BIGINT):CAST({1} + {2} AS BIGINT)]"
+_FILES = f"""
+docs AS (SELECT {_PATH} AS path, coalesce(((doc_id % 10) + 10) % 10, 9) AS edit, {_BYTES} AS c FROM documents),
+a AS (SELECT path, edit, c FROM docs UNION ALL SELECT 'empty.txt', 9, ''::BLOB),
+b AS (SELECT path, edit, CASE edit WHEN 0 THEN 'X'::BLOB || c
+  WHEN 1 THEN c[1:octet_length(c) // 2] || 'X'::BLOB || c[octet_length(c) // 2 + 1:octet_length(c)]
+  WHEN 2 THEN c[1:octet_length(c) // 3] || c[octet_length(c) // 3 + 101:octet_length(c)]
+  WHEN 3 THEN c || ' appended line'::BLOB ELSE c END AS c FROM a WHERE edit <> 4),
+ab AS (SELECT '{IDS[0]}' AS snapshot_id, * FROM a UNION ALL SELECT '{IDS[1]}', * FROM b)"""
+
+
+def _spans(size: int = FIXED.avg_size) -> str:
+    return f"""
+parts AS (SELECT snapshot_id, path, edit, c, octet_length(c) AS n, unnest(range(0, (octet_length(c) + {size - 1}) // {size})) AS i FROM ab),
+spans AS (SELECT snapshot_id, path, edit, CAST(i AS INTEGER) AS seq, CAST(i * {size} AS BIGINT) AS "offset", CAST(least({size}, n - i * {size}) AS INTEGER) AS length,
+  c[CAST(i * {size} + 1 AS BIGINT):CAST(least((i + 1) * {size}, n) AS BIGINT)] AS data FROM parts),
+chunks AS (SELECT snapshot_id, path, edit, seq, "offset", length, data, sha256(data) AS digest FROM spans),
+ca AS (SELECT * FROM chunks WHERE snapshot_id = '{IDS[0]}'), cb AS (SELECT * FROM chunks WHERE snapshot_id = '{IDS[1]}')"""
+
+
+def sql(select: str, size: int = FIXED.avg_size) -> str:
+    return f"WITH {_FILES}, {_spans(size)}\n{select}"
+
+
+_UNIQUE = "(SELECT digest, min(length) AS length FROM {0} GROUP BY digest)"
+_SIZES = """count(*) AS chunks, coalesce(CAST(sum(length) AS BIGINT), 0) AS bytes, coalesce(avg(length), 0.0) AS mean,
+  coalesce(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY length DESC) AS BIGINT), 0) AS median,
+  CAST(coalesce(min(length), 0) AS BIGINT) AS least, CAST(coalesce(max(length), 0) AS BIGINT) AS largest"""
+
+
+# Sources and scalar functions
+
+
+@query(f"WITH {_FILES} SELECT path, {MODE} AS mode, CAST({MTIME} AS BIGINT) AS mtime_unix, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS digest FROM a")
+def scan_files(spark, sf_dir):
+    return files(spark, sf_dir).select("path", "mode", "mtime_unix", F.octet_length("content").cast("long").alias("size"), C.sha256(F.col("content")).alias("digest"))
+
+
+@query("SELECT 'p' || page_id AS path, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, sha256(encode(coalesce(html, ''))) AS digest FROM pages")
+def file_digest(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("c"))
+    return rows.select("path", F.octet_length("c").cast("long").alias("size"), C.sha256(F.col("c")).alias("digest"))
+
+
+@query()
+def crc32_check(spark, sf_dir):
+    check = spark.range(1).select(F.lit("check").alias("path"), F.lit(b"123456789").alias("content"))
+    return files(spark, sf_dir).select("path", "content").unionByName(check).select("path", F.crc32("content").alias("crc32"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 8 + l_linenumber) % 65536 AS INTEGER) AS mode, CAST(((l_orderkey * 8 + l_linenumber) % 65536) & 4095 AS INTEGER) AS permissions FROM lineitem")
+def mode_mask(spark, sf_dir):
+    mode = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) % 65536).cast("int")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", mode.alias("mode"), C.mode_bits(mode).alias("permissions"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS snapshot_id FROM events")
+def snapshot_id(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.snapshot_id(F.col("ts")).alias("snapshot_id"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y%m%d-%H%M%S') AS snapshot_id, count(*) AS files, CAST(row_number() OVER (ORDER BY strftime(o_orderdate, '%Y%m%d-%H%M%S')) AS INTEGER) AS place FROM orders GROUP BY 1")
+def list_snapshots(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(C.snapshot_id(F.col("o_orderdate")).alias("snapshot_id")).agg(F.count(F.lit(1)).alias("files"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("snapshot_id")))
+
+
+def _edit_query(change: Callable, expression: str, name: str) -> None:
+    @query(f"WITH {_FILES}, e AS (SELECT path, {expression} AS d FROM a) SELECT path, CAST(octet_length(d) AS BIGINT) AS size, sha256(d) AS digest FROM e", name)
+    def run(spark, sf_dir):
+        rows = files(spark, sf_dir)
+        n = F.octet_length("content")
+        return rows.select("path", change(F.col("content"), n).alias("d")).select("path", F.octet_length("d").cast("long").alias("size"), C.sha256(F.col("d")).alias("digest"))
+
+
+_edit_query(lambda c, n: C.insert_bytes(c, F.lit(0), b"\xab"), "'\\xAB'::BLOB || c", "edit_insert_front")
+_edit_query(lambda c, n: C.insert_bytes(c, F.floor(n / 2).cast("int"), b"\xab"), "c[1:octet_length(c) // 2] || '\\xAB'::BLOB || c[octet_length(c) // 2 + 1:octet_length(c)]", "edit_insert_mid")
+_edit_query(lambda c, n: C.delete_bytes(c, F.floor(n / 3).cast("int"), 100), "c[1:octet_length(c) // 3] || c[octet_length(c) // 3 + 101:octet_length(c)]", "edit_delete")
+
+# Chunking
+
+
+@query(sql('SELECT path, seq, "offset", length, false AS content_defined FROM ca'))
+def fixed_spans(spark, sf_dir):
+    return chunking.fixed_spans(files(spark, sf_dir), FIXED.avg_size)
+
+
+def _cdc_sql(select: str, config: ChunkConfig = CDC) -> str:
+    """Cuts of content-defined chunking by windows and a recursive search for the next cut."""
+    strict, loose = mask_bits(config.avg_size)
+    mask = low_ones(strict)
+    gear = ", ".join(f"({i}, {int(g) & mask})" for i, g in enumerate(gear_table()))
+    full = " + ".join(f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}" for k in range(strict))
+    shorts = [" + ".join(f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}" for k in range(m + 1)) for m in range(strict - 1)]
+    seen = ", ".join(f"({x}) & {mask} = 0 AS s{m}, ({x}) & {low_ones(loose)} = 0 AS l{m}" for m, x in enumerate(shorts))
+    any_short = " OR ".join(f"s{m}" for m in range(strict - 1))
+    pick = " ".join(f"WHEN p - start - {config.min_size} = {m} THEN (p - start < {config.avg_size} AND s{m}) OR (p - start >= {config.avg_size} AND l{m})" for m in range(strict - 1))
+    keep = ", ".join(f"s{m}, l{m}" for m in range(strict - 1))
+    return f"""
+WITH RECURSIVE {_FILES}, gear(v, g) AS (VALUES {gear}),
+bytes AS (SELECT path, octet_length(c) AS n, unnest(regexp_extract_all(hex(c), '..')) AS h, generate_subscripts(regexp_extract_all(hex(c), '..'), 1) - 1 AS p FROM a),
+hashed AS (SELECT path, n, p, g FROM bytes JOIN gear ON v = CAST('0x' || h AS INTEGER)),
+tested AS (SELECT path, p, ({full}) & {mask} = 0 AS strict, ({full}) & {low_ones(loose)} = 0 AS loose, {seen} FROM hashed WINDOW w AS (PARTITION BY path ORDER BY p)),
+hits AS MATERIALIZED (SELECT path, p, strict, loose, {keep} FROM tested WHERE strict OR loose OR {any_short}),
+sizes AS (SELECT path, octet_length(c) AS n FROM a WHERE octet_length(c) > 0),
+walk(path, n, seq, start, cut, defined) AS (
+  SELECT path, n, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM sizes
+  UNION ALL
+  SELECT f.path, f.n, f.seq + 1, f.cut,
+    CASE WHEN f.n - f.cut <= {config.min_size} THEN f.n ELSE coalesce(min(h.p) + 1, least(f.n, f.cut + {config.max_size})) END,
+    f.n - f.cut > {config.min_size} AND min(h.p) IS NOT NULL
+  FROM (SELECT *, cut AS start_ FROM walk WHERE cut < n) f LEFT JOIN (SELECT * FROM hits) h
+    ON h.path = f.path AND h.p >= f.cut + {config.min_size} AND h.p < least(f.n, f.cut + {config.max_size})
+    AND CASE {pick.replace("start", "f.cut")} WHEN p - f.cut < {config.avg_size} THEN strict ELSE loose END
+  GROUP BY f.path, f.n, f.seq, f.cut
+), spans AS (SELECT path, CAST(seq AS INTEGER) AS seq, start AS "offset", CAST(cut - start AS INTEGER) AS length, defined AS content_defined FROM walk WHERE seq >= 0)
+{select}"""
+
+
+@query(_cdc_sql("SELECT * FROM spans"))
+def cdc_spans(spark, sf_dir):
+    return chunking.cdc_spans(files(spark, sf_dir), CDC)
+
+
+@query()
+def cdc_chunks(spark, sf_dir):
+    return chunked(spark, sf_dir, "A", CDC)
+
+
+@query(_cdc_sql("SELECT count(*) AS total, count_if(content_defined) AS content_defined, count(*) - count_if(content_defined) AS positional, coalesce(100.0::DOUBLE * (count(*) - count_if(content_defined)) / count(*), 0.0) AS positional_percent FROM spans").replace("count_if(content_defined) AS content_defined", "CAST(count_if(content_defined) AS BIGINT) AS content_defined").replace("count(*) - count_if(content_defined) AS positional", "CAST(count(*) - count_if(content_defined) AS BIGINT) AS positional"))
+def boundary_origin(spark, sf_dir):
+    return dedup.boundary_origin(chunking.cdc_spans(files(spark, sf_dir), CDC))
+
+
+@query(sql(f"SELECT {_SIZES} FROM ca"))
+def chunk_size_dist(spark, sf_dir):
+    return dedup.size_stats(chunking.fixed_spans(files(spark, sf_dir), FIXED.avg_size))
+
+
+@query(sql("SELECT CAST(least(length // 256, 16) AS INTEGER) AS bucket, count(*) AS chunks FROM ca GROUP BY 1"))
+def size_histogram(spark, sf_dir):
+    return dedup.size_histogram(chunking.fixed_spans(files(spark, sf_dir), FIXED.avg_size), 256)
+
+
+@query(sql("SELECT digest, length, refs FROM (SELECT digest, min(length) AS length, count(*) AS refs FROM ca GROUP BY digest)"))
+def unique_chunks(spark, sf_dir):
+    return dedup.unique_chunks(chunked(spark, sf_dir))
+
+
+@query(sql(f"SELECT {_SIZES} FROM {_UNIQUE.format('ca')}"))
+def chunk_stats(spark, sf_dir):
+    return dedup.size_stats(dedup.unique_chunks(chunked(spark, sf_dir)))
+
+
+# Dedup joins
+
+
+def _index(spark, sf_dir):
+    return dedup.unique_chunks(chunked(spark, sf_dir, "A"))
+
+
+@query(sql(f"SELECT digest, length FROM {_UNIQUE.format('cb')} WHERE digest NOT IN (SELECT digest FROM ca)"))
+def dedup_new_chunks(spark, sf_dir):
+    return dedup.new_chunks(chunked(spark, sf_dir, "B"), _index(spark, sf_dir))
+
+
+@query(sql(f"SELECT digest, length FROM {_UNIQUE.format('cb')} WHERE digest IN (SELECT digest FROM ca)"))
+def dedup_hits(spark, sf_dir):
+    return dedup.known_chunks(chunked(spark, sf_dir, "B"), _index(spark, sf_dir))
+
+
+@query(sql("""SELECT CAST(sum(refs) AS BIGINT) AS logical_chunks, CAST(sum(refs * length) AS BIGINT) AS logical_bytes, CAST(sum(miss) AS BIGINT) AS misses,
+  CAST(sum(refs) - sum(miss) AS BIGINT) AS hits, CAST(sum(miss * length) AS BIGINT) AS new_bytes
+  FROM (SELECT digest, min(length) AS length, count(*) AS refs, CASE WHEN digest IN (SELECT digest FROM ca) THEN 0 ELSE 1 END AS miss FROM cb GROUP BY digest)"""))
+def dedup_summary(spark, sf_dir):
+    return dedup.dedup_summary(chunked(spark, sf_dir, "B"), _index(spark, sf_dir))
+
+
+_PACK = "(SELECT digest, length, CAST(sum(length) OVER (ORDER BY path, seq) - length AS BIGINT) AS \"offset\" FROM (SELECT digest, length, path, seq FROM ca QUALIFY row_number() OVER (PARTITION BY digest ORDER BY path, seq) = 1))"
+
+
+@query(sql(f"SELECT * FROM {_PACK}"))
+def pack_layout(spark, sf_dir):
+    return dedup.pack_layout(chunked(spark, sf_dir))
+
+
+@query(sql(f'SELECT digest, coalesce("offset", 0) AS "offset", coalesce(length, 0) AS length FROM (SELECT DISTINCT digest FROM cb) LEFT JOIN {_PACK} USING (digest)'))
+def locate_chunk(spark, sf_dir):
+    return dedup.locate(chunked(spark, sf_dir, "B"), dedup.pack_layout(chunked(spark, sf_dir)))
+
+
+# Snapshots
+
+_MANIFEST = f"""manifest AS (SELECT ab.snapshot_id, ab.path, {MODE} AS mode, CAST(octet_length(c) AS BIGINT) AS size, CAST({MTIME} AS BIGINT) AS mtime_unix, sha256(c) AS file_digest,
+  coalesce(list(chunks.digest ORDER BY seq) FILTER (WHERE seq IS NOT NULL), []) AS chunk_digests
+  FROM ab LEFT JOIN chunks USING (snapshot_id, path) GROUP BY ab.snapshot_id, ab.path, c)"""
+
+
+def _manifest_sql(select: str) -> str:
+    return f"WITH {_FILES}, {_spans()}, {_MANIFEST}\n{select}"
+
+
+@query(_manifest_sql("SELECT snapshot_id, path, mode, size, mtime_unix, file_digest, array_to_string(chunk_digests, ' ') AS chunks FROM manifest"))
+def manifest_build(spark, sf_dir):
+    return manifests(spark, sf_dir).select("snapshot_id", "path", "mode", "size", "mtime_unix", "file_digest", F.array_join("chunk_digests", " ").alias("chunks"))
+
+
+@query(_manifest_sql(f"SELECT path, size, file_digest, CAST(len(chunk_digests) AS INTEGER) AS chunks FROM manifest WHERE snapshot_id = '{IDS[1]}'"))
+def manifest_scan(spark, sf_dir):
+    return manifests(spark, sf_dir).filter(F.col("snapshot_id") == IDS[1]).select("path", "size", "file_digest", F.size("chunk_digests").alias("chunks"))
+
+
+@query(f"WITH {_FILES} SELECT lang, path, CAST(row_number() OVER (PARTITION BY lang ORDER BY path) AS INTEGER) AS place FROM (SELECT path, split_part(path, '/', 1) AS lang FROM a)")
+def manifest_order(spark, sf_dir):
+    rows = files(spark, sf_dir).select("path", F.substring_index("path", "/", 1).alias("lang"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("path")))
+
+
+@query(f"WITH {_FILES} SELECT snapshot_id, path, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS digest FROM ab")
+def restore(spark, sf_dir):
+    rows = snapshots.restore(manifests(spark, sf_dir), stored(spark, sf_dir))
+    return rows.select("snapshot_id", "path", F.octet_length("content").cast("long").alias("size"), C.sha256(F.col("content")).alias("digest"))
+
+
+@query(f"WITH {_FILES} SELECT snapshot_id, path, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS digest, true AS ok FROM ab")
+def restore_check(spark, sf_dir):
+    return snapshots.check_restored(snapshots.restore(manifests(spark, sf_dir), stored(spark, sf_dir)))
+
+
+@query(f"WITH {_FILES} SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' ELSE 'differs' END AS state FROM a FULL JOIN b ON a.path = b.path WHERE a.c IS DISTINCT FROM b.c")
+def tree_compare(spark, sf_dir):
+    return snapshots.compare_trees(files(spark, sf_dir, "A"), files(spark, sf_dir, "B"))
+
+
+_STATUS = "CASE left(digest, 2) WHEN '00' THEN 'missing' WHEN '01' THEN 'corrupt' ELSE 'ok' END"
+
+
+@query(sql(f"SELECT DISTINCT digest, {_STATUS} AS status FROM chunks"))
+def verify_chunks(spark, sf_dir):
+    return snapshots.chunk_status(manifests(spark, sf_dir), faulty(spark, sf_dir))
+
+
+@query(sql(f"SELECT snapshot_id, path, seq, digest, {_STATUS} AS status FROM chunks WHERE {_STATUS} <> 'ok'"))
+def verify_missing(spark, sf_dir):
+    rows = manifests(spark, sf_dir)
+    return snapshots.issues(rows, snapshots.chunk_status(rows, faulty(spark, sf_dir)))
+
+
+@query(sql(f"""SELECT (SELECT count(DISTINCT snapshot_id) FROM ab) AS snapshots_checked, (SELECT count(*) FROM ab) AS files_checked, count(*) AS references_checked,
+  count(DISTINCT CASE WHEN {_STATUS} = 'ok' THEN digest END) AS unique_chunks_verified, CAST(count_if({_STATUS} <> 'ok') AS BIGINT) AS issues FROM chunks"""))
+def verify_summary(spark, sf_dir):
+    rows = manifests(spark, sf_dir)
+    return snapshots.verify_summary(rows, snapshots.chunk_status(rows, faulty(spark, sf_dir)))
+
+
+@query(sql("SELECT digest, snapshot_id, path, seq FROM chunks QUALIFY row_number() OVER (PARTITION BY digest ORDER BY snapshot_id, path, seq) = 1"))
+def first_reference(spark, sf_dir):
+    return dedup.first_references(snapshots.references(manifests(spark, sf_dir)))
+
+
+@query(f"WITH {_FILES} SELECT CAST(sum(octet_length(c)) AS BIGINT) AS logical_bytes, count(DISTINCT snapshot_id) AS snapshots FROM ab")
+def logical_bytes(spark, sf_dir):
+    both = [files(spark, sf_dir, s).select(F.lit(i).alias("snapshot_id"), F.octet_length("content").cast("long").alias("size")) for s, i in zip("AB", IDS, strict=True)]
+    return both[0].unionByName(both[1]).agg(F.sum("size").alias("logical_bytes"), F.count_distinct("snapshot_id").alias("snapshots"))
+
+
+@query(sql(f"""SELECT snapshots, logical_bytes, bytes AS physical_bytes, 100.0::DOUBLE * (1.0::DOUBLE - bytes::DOUBLE / logical_bytes) AS saved_percent, logical_bytes::DOUBLE / bytes AS factor, chunks AS unique_chunks, mean, median,
+  printf('%.1f%% (%.2fx)', 100.0::DOUBLE * (1.0::DOUBLE - bytes::DOUBLE / logical_bytes), logical_bytes::DOUBLE / bytes) AS summary
+  FROM (SELECT count(DISTINCT snapshot_id) AS snapshots, CAST(sum(octet_length(c)) AS BIGINT) AS logical_bytes FROM ab), (SELECT {_SIZES} FROM {_UNIQUE.format('chunks')})"""))
+def stats_report(spark, sf_dir):
+    sizes = [files(spark, sf_dir, s).select(F.lit(i).alias("snapshot_id"), F.octet_length("content").cast("long").alias("size")) for s, i in zip("AB", IDS, strict=True)]
+    chunks = chunked(spark, sf_dir, "A").unionByName(chunked(spark, sf_dir, "B"))
+    return dedup.stats_report(sizes[0].unionByName(sizes[1]), dedup.unique_chunks(chunks).select("digest", "length"))
+
+
+# Comparisons
+
+_COMPARE = """SELECT count(*) FILTER (WHERE o) AS old_chunks, count(*) FILTER (WHERE n) AS new_chunks, count(*) FILTER (WHERE o AND n) AS shared, count(*) FILTER (WHERE o AND NOT n) AS only_old, count(*) FILTER (WHERE n AND NOT o) AS only_new
+FROM (SELECT digest, bool_or(snapshot_id = '{0}') AS o, bool_or(snapshot_id = '{1}') AS n FROM chunks GROUP BY digest)""".format(*IDS)
+
+
+@query(sql(_COMPARE))
+def identity_compare(spark, sf_dir):
+    return dedup.compare(chunked(spark, sf_dir, "A"), chunked(spark, sf_dir, "B"))
+
+
+@query(sql("SELECT digest FROM ca INTERSECT SELECT digest FROM cb"))
+def identity_shared(spark, sf_dir):
+    return dedup.shared(chunked(spark, sf_dir, "A"), chunked(spark, sf_dir, "B"))
+
+
+@query(sql("SELECT digest FROM ca EXCEPT SELECT digest FROM cb"))
+def identity_only_old(spark, sf_dir):
+    return dedup.only_first(chunked(spark, sf_dir, "A"), chunked(spark, sf_dir, "B"))
+
+
+@query(sql("SELECT digest FROM cb EXCEPT SELECT digest FROM ca"))
+def identity_only_new(spark, sf_dir):
+    return dedup.only_first(chunked(spark, sf_dir, "B"), chunked(spark, sf_dir, "A"))
+
+
+@query()
+def identity_compare_cdc(spark, sf_dir):
+    return dedup.compare(chunked(spark, sf_dir, "A", CDC), chunked(spark, sf_dir, "B", CDC))
+
+
+@query()
+def strategy_compare(spark, sf_dir):
+    """New chunks and bytes of snapshot B by strategy and size."""
+    out = None
+    for name, config in (("cdc 1K", CDC), ("fixed 1K", FIXED), ("cdc 8K", ChunkConfig.of_kib(8)), ("fixed 8K", ChunkConfig.of_kib(8, fixed=True))):
+        a = dedup.unique_chunks(chunked(spark, sf_dir, "A", config))
+        row = dedup.dedup_summary(chunked(spark, sf_dir, "B", config), a).select(F.lit(name).alias("strategy"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(sql("""SELECT new_chunks, count(*) AS files, min(edit) AS least_edit, max(edit) AS largest_edit FROM (
+  SELECT b.path, b.edit, count(DISTINCT cb.digest) FILTER (WHERE ca.digest IS NULL) AS new_chunks FROM b JOIN cb ON b.path = cb.path LEFT JOIN (SELECT DISTINCT path, digest FROM ca) ca ON ca.path = cb.path AND ca.digest = cb.digest GROUP BY b.path, b.edit)
+GROUP BY new_chunks"""))
+def resync_distribution(spark, sf_dir):
+    """How many files have how many chunks that their former version lacks."""
+    return _resync(spark, sf_dir, FIXED)
+
+
+def _resync(spark, sf_dir, config):
+    new = chunked(spark, sf_dir, "B", config).select("path", "digest").distinct()
+    old = chunked(spark, sf_dir, "A", config).select("path", "digest").distinct().withColumn("old", F.lit(1))
+    counts = new.join(old, ["path", "digest"], "left").groupBy("path").agg(F.count_if(F.col("old").isNull()).alias("new_chunks"))
+    rows = counts.join(files(spark, sf_dir, "B").select("path", "edit"), "path")
+    return rows.groupBy("new_chunks").agg(F.count(F.lit(1)).alias("files"), F.min("edit").alias("least_edit"), F.max("edit").alias("largest_edit"))
+
+
+@query()
+def resync_distribution_cdc(spark, sf_dir):
+    return _resync(spark, sf_dir, CDC)
+
+
+# Logs and configuration
+
+
+def _records(spark, sf_dir):
+    """Records of one log for each supplier key modulo 16: k, digest, offset, length."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 16).alias("log"), "o_orderkey")
+    k = F.row_number().over(Window.partitionBy("log").orderBy("o_orderkey")) - 1
+    return rows.select("log", k.alias("k"), C.sha256((F.col("o_orderkey") % 97).cast("string").cast("binary")).alias("digest"), (F.col("o_orderkey") * 1000).alias("offset"), (F.col("o_orderkey") % 65536).alias("length"))
+
+
+_RECORDS = """r AS (SELECT o_orderkey % 16 AS log, CAST(row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY o_orderkey) - 1 AS INTEGER) AS k,
+  sha256(CAST(o_orderkey % 97 AS VARCHAR)) AS digest, o_orderkey * 1000 AS "offset", CAST(o_orderkey % 65536 AS BIGINT) AS length FROM orders)"""
+
+
+@query()
+def wal_encode(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    frames = formats.wal_frames(rows.withColumn("k", F.struct("log", "k")))
+    return frames.select("k.log", "k.k", F.lower(F.hex("frame")).alias("frame"))
+
+
+def _logs(spark, sf_dir):
+    """A log's frames joined; every log whose key is odd ends with a torn frame."""
+    frames = formats.wal_frames(_records(spark, sf_dir).withColumn("k", F.struct("log", "k"))).select("k.log", F.col("k.k").alias("seq"), F.col("frame").alias("data"))
+    whole = frames.groupBy("log").agg(C.concat_ordered(F.collect_list(F.struct("seq", "data"))).alias("content"))
+    torn = F.lit(bytes.fromhex("2D00000001DEADBEEF00"))
+    return whole.withColumn("content", F.when(F.col("log") % 2 == 1, F.concat("content", torn)).otherwise(F.col("content")))
+
+
+@query(f"""WITH {_RECORDS} SELECT log, digest, CAST(max_by("offset", k) AS BIGINT) AS "offset", max_by(length, k) AS length FROM r GROUP BY log, digest""")
+def wal_replay(spark, sf_dir):
+    index = formats.wal_index(formats.wal_records(_logs(spark, sf_dir)))
+    return index.select("log", "digest", F.col("offset").cast("long").alias("offset"), "length")
+
+
+_WANTED = {"min_size": 256, "avg_size": 1024, "max_size": 8192}
+
+
+@query("""SELECT p_partkey, concat_ws(', ', CASE WHEN a <> 256 THEN 'min_size' END, CASE WHEN b <> 1024 THEN 'avg_size' END, CASE WHEN c <> 8192 THEN 'max_size' END) AS mismatches
+FROM (SELECT p_partkey, 256 * (1 + p_partkey % 2) AS a, 1024 * (1 + p_partkey % 3) AS b, 8192 * (1 + p_partkey % 5) AS c FROM part)""")
+def config_mismatch(spark, sf_dir):
+    key = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (256 * (1 + key % 2)).alias("min_size"), (1024 * (1 + key % 3)).alias("avg_size"), (8192 * (1 + key % 5)).alias("max_size"))
+    wrong = [F.when(~F.col(name).eqNullSafe(F.lit(value)), F.lit(name)) for name, value in _WANTED.items()]
+    return rows.select("p_partkey", F.concat_ws(", ", *wrong).alias("mismatches"))
