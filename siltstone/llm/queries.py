@@ -82,15 +82,18 @@ def _shard_sql() -> str:
 WITH RECURSIVE shards AS (
   SELECT name, i, {number("name || '/offset'")} % {m} AS start, {number("name || '/skip'")} % {m - 1} + 1 AS skip
   FROM (VALUES {names}) v(name, i)
-), fill(turn, owner) AS (
-  SELECT 0, list_transform(range({m}), lambda x: -1)
+), lists AS (SELECT list(start ORDER BY i) AS starts, list(skip ORDER BY i) AS skips FROM shards),
+-- Each step is one look at one slot: a free one ('.') is claimed and ends the turn, else the shard moves on.
+fill(turn, place, owner, skips) AS (
+  SELECT 0, starts, repeat('.', {m}), skips FROM lists
   UNION ALL
-  SELECT turn + 1, list_transform(owner, lambda o, k: CASE WHEN k = 1 + (start + skip *
-      list_extract(list_filter(range({m}), lambda j: owner[1 + (start + skip * j) % {m}] = -1), 1)) % {m} THEN i ELSE o END)
-  FROM fill JOIN shards ON i = turn % {len(sharding.SHARDS)}
-  WHERE turn < {m}
+  SELECT turn + CAST(free AS INTEGER),
+    CASE WHEN free THEN place ELSE place[1:who] || [(place[who + 1] + skips[who + 1]) % {m}] || place[who + 2:] END,
+    CASE WHEN free THEN left(owner, spot) || chr(65 + who) || substr(owner, spot + 2) ELSE owner END, skips
+  FROM (SELECT *, turn % {len(sharding.SHARDS)} AS who, CAST(place[turn % {len(sharding.SHARDS)} + 1] AS INTEGER) AS spot,
+    substr(owner, CAST(place[turn % {len(sharding.SHARDS)} + 1] AS INTEGER) + 1, 1) = '.' AS free FROM fill WHERE turn < {m})
 ), slots AS (
-  SELECT unnest(range({m})) AS slot, unnest(owner) AS i FROM fill WHERE turn = {m}
+  SELECT CAST(p AS BIGINT) AS slot, ascii(substr(owner, CAST(p + 1 AS INTEGER), 1)) - 65 AS i FROM (SELECT owner FROM fill WHERE turn = {m}), range({m}) r(p)
 ), placed AS (
   SELECT doc_id, {number("coalesce(CAST(doc_id AS VARCHAR), '')")} % {m} AS slot FROM documents
 )
