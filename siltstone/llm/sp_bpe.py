@@ -36,7 +36,7 @@ _ENCODERS: dict[str, PrefixEncoder] = {}
 class PrefixEncoder:
     """Encoder and decoder of a BPE model with byte fallback, for one process."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 800_000):
         import ahocorasick
         import sentencepiece
 
@@ -176,10 +176,11 @@ def digests(df: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        kept, once = enc.kept, enc._part
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1):
-                parts = [enc.part(p) for p in enc.parts(text.as_py())]
+                parts = [kept[p] if len(p) <= _LONG else once(p) for p in enc.parts(text.as_py())]
                 n.append(sum([p[0] for p in parts]) + 1)
                 ids.append(hashlib.sha256(("".join([p[1] for p in parts]) + str(enc.end_id)).encode()).hexdigest())
                 decoded.append(hashlib.sha256("".join([p[2] for p in parts])[1:].encode()).hexdigest())
