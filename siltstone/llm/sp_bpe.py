@@ -21,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -36,7 +37,7 @@ _ENCODERS: dict[str, PrefixEncoder] = {}
 class PrefixEncoder:
     """Encoder and decoder of a BPE model with byte fallback, for one process."""
 
-    def __init__(self, path: str, cache: int = 800_000):
+    def __init__(self, path: str, cache: int = 500_000):
         import ahocorasick
         import sentencepiece
 
@@ -150,9 +151,16 @@ def encode_documents(df: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        kept, once, end = enc.kept, enc._part, np.array([enc.end_id], np.int32)
         for batch in batches:
-            ids = [[*map(int, "".join([enc.part(p)[1] for p in enc.parts(t)]).split()), enc.end_id] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+            for rows in (batch.slice(at, 256) for at in range(0, len(batch), 256)):
+                ids = []
+                for text in rows.column(1):
+                    parts = [kept[p] if len(p) <= _LONG else once(p) for p in enc.parts(text.as_py())]
+                    ids += [np.array("".join([p[1] for p in parts]).split(), np.int32), end]
+                sizes = np.array([len(x) for x in ids[::2]], np.int64) + 1
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
 
     return documents(df).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
