@@ -60,6 +60,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         self.kept = Memo(self._part, cache)
+        self.odd = False  # a part has been decoded to something else
 
     def merge(self, text: str) -> list[int]:
         """Plain merging by score, leftmost first among equals, of characters that all have pieces."""
@@ -130,13 +131,24 @@ class PrefixEncoder:
         """Pieces in order with marks as spaces, byte ids as UTF-8, without the space that encoding put first."""
         return self.library.decode(ids)
 
-    def part(self, part: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as text with a space after each, and the part as it is decoded behind another."""
+    def part(self, part: str) -> tuple[int, str, str | None]:
+        """Number of ids, the ids as text with a space after each, and the part as it is decoded behind another, if not as it stands."""
         return self.kept[part] if len(part) <= _LONG else self._part(part)
 
-    def _part(self, part: str) -> tuple[int, str, str]:
+    def _part(self, part: str) -> tuple[int, str, str | None]:
         ids = self.ids_of_part(part)
-        return len(ids), " ".join(map(str, ids)) + " ", " " + self.decode(ids)
+        decoded: str | None = " " + self.decode(ids)
+        if decoded == part.replace(MARK, " "):
+            decoded = None  # as it stands: isn't kept twice
+        else:
+            self.odd = True
+        return len(ids), " ".join(map(str, ids)) + " ", decoded
+
+    def decoded(self, parts: list[str], found: list[tuple[int, str, str | None]]) -> str:
+        """The decoded text of encoded parts."""
+        if self.odd:
+            parts = [p if f[2] is None else f[2] for p, f in zip(parts, found, strict=True)]
+        return "".join(parts).replace(MARK, " ")[1:]
 
 
 def encoder(path: str) -> PrefixEncoder:
@@ -188,10 +200,11 @@ def digests(df: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1):
-                parts = [kept[p] if len(p) <= _LONG else once(p) for p in enc.parts(text.as_py())]
+                cut = enc.parts(text.as_py())
+                parts = [kept[p] if len(p) <= _LONG else once(p) for p in cut]
                 n.append(sum([p[0] for p in parts]) + 1)
                 ids.append(hashlib.sha256(("".join([p[1] for p in parts]) + str(enc.end_id)).encode()).hexdigest())
-                decoded.append(hashlib.sha256("".join([p[2] for p in parts])[1:].encode()).hexdigest())
+                decoded.append(hashlib.sha256(enc.decoded(cut, parts).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(df).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
