@@ -37,7 +37,7 @@ _ENCODERS: dict[str, PrefixEncoder] = {}
 class PrefixEncoder:
     """Encoder and decoder of a BPE model with byte fallback, for one process."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 700_000):
         import ahocorasick
         import sentencepiece
 
