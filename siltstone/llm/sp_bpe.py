@@ -6,9 +6,10 @@ position, and a candidate is right if it is the encoding of its own characters a
 with the last token of the prefix before it, that is, if merging the two tokens' characters gives
 just these two tokens. The ids are then read backwards from the end of the table.
 
-No piece has a word mark inside, so a text is cut before each run of word marks and the parts are
-encoded apart; a part's ids are kept in a bounded cache. A character without a piece becomes its
-UTF-8 bytes' ids, to which any token is compatible.
+No piece has a word mark inside, so a text is cut before each run of word marks, and wherever two
+neighbours stand side by side in no piece (a letter and a comma, say): nothing is ever merged over such
+a place. The parts are encoded apart; a part's ids are kept in a bounded cache. A character without a
+piece becomes its UTF-8 bytes' ids, to which any token is compatible.
 
 Defined cases: null and empty texts give the end id alone and decode to the empty string; repeated
 rows give equal rows; null ids stay null; other columns aren't carried along.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,6 @@ from siltstone.llm.common import Memo, documents, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-_PARTS = re.compile(f"{MARK}+[^{MARK}]*")
 _LONG = 64  # characters; longer parts aren't kept in the cache
 _ENCODERS: dict[str, PrefixEncoder] = {}
 
@@ -37,7 +38,7 @@ _ENCODERS: dict[str, PrefixEncoder] = {}
 class PrefixEncoder:
     """Encoder and decoder of a BPE model with byte fallback, for one process."""
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 250_000):
         import ahocorasick
         import sentencepiece
 
@@ -53,6 +54,7 @@ class PrefixEncoder:
         self.chars = {p for p in self.id_of if len(p) == 1}
         if any(MARK in p.lstrip(MARK) for p in self.id_of) or any(c not in self.chars for p in self.id_of for c in p):
             raise ValueError("the model has pieces with a word mark inside or with characters of their own")
+        self.cut = self._cut()
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             if self.merge(piece) == [i]:  # others never come out of merging
@@ -60,8 +62,24 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         self.kept = Memo(self._part, cache)
+        self.packed = Memo(self._pack, cache)
         self.odd = False  # a part has been decoded to something else
 
+    def _cut(self) -> re.Pattern[str]:
+        """What a part is: marks and characters of one group, or one character of none. Characters side by side in a piece are of one group."""
+        group: dict[str, set[str]] = {}
+        for piece in self.id_of:
+            if len(piece) > 1 and (rest := piece.lstrip(MARK)):
+                own = group.setdefault(rest[0], {rest[0]})
+                for c in rest[1:]:
+                    other = group.setdefault(c, {c})
+                    if other is not own:
+                        own |= other
+                        group.update(dict.fromkeys(other, own))
+        classes = ["".join(map(re.escape, sorted(g))) for g in {id(g): g for g in group.values()}.values()]
+        runs = "|".join(f"[{c}]+" for c in classes)
+        return re.compile(f"{MARK}*(?:{runs})|{MARK}+|[^{MARK}]" if runs else f"{MARK}+|[^{MARK}]")
+
     def merge(self, text: str) -> list[int]:
         """Plain merging by score, leftmost first among equals, of characters that all have pieces."""
         parts: list[str | None] = list(text)
@@ -122,7 +140,7 @@ class PrefixEncoder:
         return ids
 
     def parts(self, text: str) -> list[str]:
-        return _PARTS.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for part in self.parts(text) for i in self.ids_of_part(part)]
@@ -137,13 +155,23 @@ class PrefixEncoder:
 
     def _part(self, part: str) -> tuple[int, str, str | None]:
         ids = self.ids_of_part(part)
-        decoded: str | None = " " + self.decode(ids)
+        decoded = self.decode_part(ids)
         if decoded == part.replace(MARK, " "):
             decoded = None  # as it stands: isn't kept twice
         else:
             self.odd = True
         return len(ids), " ".join(map(str, ids)) + " ", decoded
 
+    def _pack(self, part: str) -> bytes:
+        return array("i", self.ids_of_part(part)).tobytes()
+
+    def decode_part(self, ids: list[int]) -> str:
+        """A part's ids as they are decoded behind another part's: pieces joined, and the library for the byte ids of a character."""
+        try:
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+        except KeyError:
+            return self.decode(ids)
+
     def decoded(self, parts: list[str], found: list[tuple[int, str, str | None]]) -> str:
         """The decoded text of encoded parts."""
         if self.odd:
@@ -163,15 +191,12 @@ def encode_documents(df: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kept, once, end = enc.kept, enc._part, np.array([enc.end_id], np.int32)
+        kept, once, end = enc.packed, enc._pack, array("i", [enc.end_id]).tobytes()
         for batch in batches:
             for rows in (batch.slice(at, 256) for at in range(0, len(batch), 256)):
-                ids = []
-                for text in rows.column(1):
-                    parts = [kept[p] if len(p) <= _LONG else once(p) for p in enc.parts(text.as_py())]
-                    ids += [np.array("".join([p[1] for p in parts]).split(), np.int32), end]
-                sizes = np.array([len(x) for x in ids[::2]], np.int64) + 1
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids)))
+                ids = [b"".join([kept[p] if len(p) <= _LONG else once(p) for p in enc.parts(text.as_py())]) + end for text in rows.column(1)]
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
 
     return documents(df).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
