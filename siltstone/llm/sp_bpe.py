@@ -38,7 +38,7 @@ _ENCODERS: dict[str, PrefixEncoder] = {}
 class PrefixEncoder:
     """Encoder and decoder of a BPE model with byte fallback, for one process."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 250_000, packed: int = 100_000):
         import ahocorasick
         import sentencepiece
 
@@ -62,7 +62,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         self.kept = Memo(self._part, cache)
-        self.packed = Memo(self._pack, cache)
+        self.packed = Memo(self._pack, packed)
         self.odd = False  # a part has been decoded to something else
 
     def _cut(self) -> re.Pattern[str]:
