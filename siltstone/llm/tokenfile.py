@@ -8,8 +8,10 @@ Models of a block: order-2 and order-1 tables remember which id followed the las
 id, with a confidence each. The better prediction is offered first; the probability that it is right is
 mixed from two adaptive estimates (by the order-2 and by the order-1 confidence) with an adaptive
 weight. Failing that, an order-0 model of BUCKETS classes of ids, and of one class for the other
-prediction, is coded, then the id's place in its class. All of it drives a range coder with 48-bit
-state and 16-bit words. Blocks are coded side by side, one step of all blocks at a time.
+prediction, is coded (its shares follow the counts every 8, later every 32 ids), then the id's place
+in its class. All of it makes one step of a range coder with 64-bit state and 16-bit words. Blocks are
+coded side by side, one step of all blocks at a time; the last one is filled up with zeros, which are
+left out again.
 
 Bytes of a segment, little-endian: "SILTIDS1", u32 ids in all, u32 ids a block, then for each block
 u32 words and u32 CRC-32 of its ids as u32, then the words of all blocks, u16 each.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Memo, documents, materialize, tokenizer_path
+from siltstone.llm.common import documents, materialize, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -41,11 +43,18 @@ SEGMENT = 1 << 21  # ids after which a segment is closed
 TABLE_BITS = 11
 ALT = 33  # the order-0 class that stands for the other prediction
 BUCKETS = 34
-_LIMIT = 1 << 13
-_LOW = np.uint64((1 << 48) - 1)
-_MIN = np.uint64(1 << 32)
+_MASK = (1 << TABLE_BITS) - 1
+_SHARES = 512
+_FULL, _MIN = np.uint64((1 << 64) - 1), np.uint64(1 << 48)
+_U64K, _U4G, _SHIFT = np.uint64(1 << 16), np.uint64(1 << 32), np.arange(0, 64, 16).astype(np.uint64)
+_U0, _U1, _U9, _U12, _U16, _U32, _U48, _U4096, _LAST = map(np.uint64, (0, 1, 9, 12, 16, 32, 48, 4096, _SHARES - 1))
+# By confidence and whether the guess was right: is it kept, and its next confidence, from bit 16 on. By weight, order 2's lead and a hit: the next weight.
+_KEEP = np.array([right or sure > 1 for sure in range(8) for right in (False, True)])
+_SURE = np.array([min(sure + 1, 7) if right else max(sure >> 1, 1) for sure in range(8) for right in (False, True)], np.int32) << 16
+_WEIGHT = np.array([min(max(w + (1 if lead == hit else -1), 1), 15) for w in range(16) for lead in (False, True) for hit in (False, True)])
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-_TOKENIZERS: dict[str, Memo] = {}
+_LONG = 64  # characters; longer parts aren't kept in the cache
+_TOKENIZERS: dict[str, PartEncoder] = {}
 SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<int>, blob binary"
 
 
@@ -65,122 +74,117 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _CLASS, _BITS, _FIRST = _classes()
+_BITS_U = _BITS.astype(np.uint64)
 
 
 class _Models:
-    """Models of ``lanes`` blocks, which encoder and decoder step alike."""
+    """Models of ``lanes`` blocks, which encoder and decoder step alike. Arrays of two rows are of order 2 and order 1."""
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        size = lanes << TABLE_BITS
-        self.id1, self.id2 = np.zeros(size, np.int32), np.zeros(size, np.int32)
-        self.sure1, self.sure2 = np.zeros(size, np.int8), np.zeros(size, np.int8)
-        self.base = self.row << TABLE_BITS
-        self.by2 = np.full(lanes * 16, 1024, np.int32)  # probabilities of 4096
-        self.by1 = np.full(lanes * 16, 1024, np.int32)
-        self.weight = np.full(lanes, 8, np.int32)  # of 16, for by2
-        self.count = np.ones((lanes, BUCKETS), np.int32)
-        self.total = np.full(lanes, BUCKETS, np.int32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self) -> np.ndarray:
-        """Probability of 4096 that ``best`` is right; sets best and other."""
-        mask = (1 << TABLE_BITS) - 1
-        self.at1 = self.base + (self.last * 40503 >> 5 & mask)
-        self.at2 = self.base + ((self.last * 40503 + self.before * 60493 + 977) >> 5 & mask)
-        self.p1, self.p2 = self.id1[self.at1], self.id2[self.at2]
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
-        second = self.s2 > 0
-        agree = self.p1 == self.p2
-        self.best = np.where(second, self.p2, self.p1)
-        self.other = np.where(second, self.p1, self.p2)
-        self.c2 = (self.row << 4) + (self.s2 * 2 + agree)
-        self.c1 = (self.row << 4) + (self.s1 * 2 + second)
-        self.q2, self.q1 = self.by2[self.c2], self.by1[self.c1]
-        return np.clip((self.weight * self.q2 + (16 - self.weight) * self.q1) >> 4, 24, 4072)
+        row = np.arange(lanes)
+        both = np.stack([row, row + lanes])
+        self.base, self.base16, self.base_class, self.base_share = both << TABLE_BITS, both << 4, row * (BUCKETS + 1), row * _SHARES
+        self.held = np.zeros(2 * lanes << TABLE_BITS, np.int32)  # an id, and its confidence from bit 16 on
+        self.by = np.full(2 * lanes * 16, 1024)  # probabilities of 4096
+        self.weight = np.full(lanes, 8)  # of 16, for order 2
+        self.count = np.tile(np.where(np.arange(BUCKETS) == ALT, 8, _BITS + 1), lanes)
+        self.base_count = row * BUCKETS
+        self.ends = np.zeros((lanes, BUCKETS + 1), np.uint64)
+        self.key, self.before = np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64)
+        self.context = np.zeros((2, lanes), np.int64)
+        self.step = 0
+
+    def predict(self, find: bool = False) -> np.ndarray:
+        """Probability of 4096 that ``best`` is right; sets best and other, and now and then the classes' shares (``find``: and the class of every share)."""
+        if self.step % (8 if self.step < 64 else 32) == 0:
+            count = self.count.reshape(-1, BUCKETS)
+            share = 1 + np.floor(count * ((_SHARES - BUCKETS) / count.sum(axis=1))[:, None]).astype(np.int64)
+            share[:, -1] += _SHARES - share.sum(axis=1)
+            self.ends[:, 1:] = np.cumsum(share, axis=1)
+            if find:
+                self.class_of = np.repeat(np.tile(np.arange(BUCKETS, dtype=np.uint8), len(share)), share.ravel())
+        self.step += 1
+        self.at = (self.key >> 5 & _MASK) + self.base
+        held = self.held.take(self.at)
+        self.guess, self.sure = held & 65535, held >> 16
+        (p2, p1), second = self.guess, self.sure[0] > 0
+        self.best, self.other = np.where(second, p2, p1), np.where(second, p1, p2)
+        self.context[0], self.context[1] = p1 == p2, second
+        self.seen = (self.sure << 1 | self.context) + self.base16
+        self.q = self.by.take(self.seen)
+        q2, q1 = self.q
+        p = (self.weight * (q2 - q1) >> 4) + q1
+        return np.minimum(np.maximum(p, 24), 4072).astype(np.uint64)
 
     def update(self, ids: np.ndarray, hit: np.ndarray, cls: np.ndarray) -> None:
-        self.by2[self.c2] += np.where(hit, 4096 - self.q2, -self.q2) >> 4
-        self.by1[self.c1] += np.where(hit, 4096 - self.q1, -self.q1) >> 4
-        self.weight += np.where((self.q2 > self.q1) == hit, 1, -1) * (self.q1 != self.q2)
-        np.clip(self.weight, 1, 15, out=self.weight)
-        miss = np.flatnonzero(~hit)
-        self.count[miss, cls[miss]] += 24
-        self.total[miss] += 24
-        full = np.flatnonzero(self.total > _LIMIT)
-        if len(full):
-            self.count[full] = (self.count[full] + 1) >> 1
-            self.total[full] = self.count[full].sum(axis=1)
-        for at, guess, sure, held, conf in ((self.at1, self.p1, self.s1, self.id1, self.sure1), (self.at2, self.p2, self.s2, self.id2, self.sure2)):
-            right = guess == ids
-            held[at] = np.where(right | (sure > 1), guess, ids)
-            conf[at] = np.where(right, np.minimum(sure + 1, 7), np.where(sure > 1, sure >> 1, 1))
-        self.before, self.last = self.last, ids.astype(np.int64)
-
-
-def _cut(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as a row for each block, zeros behind the last, and the blocks' lengths."""
+        self.by[self.seen] = self.q + (hit * 4096 - self.q >> 4)
+        self.weight = _WEIGHT.take(self.weight * 4 + (self.q[0] > self.q[1]) * 2 + hit)
+        self.count[self.base_count + cls] += ~hit * 24
+        turn = self.sure << 1 | (self.guess == ids)
+        self.held[self.at] = np.where(_KEEP.take(turn), self.guess, ids) | _SURE.take(turn)
+        self.key[1] = ids * np.int64(40503)
+        self.key[0] = self.key[1] + self.before
+        self.before = ids * np.int64(60493) + 977
+
+
+def _cut(ids: np.ndarray) -> np.ndarray:
+    """Ids as a column for each block, zeros behind the last one's end."""
     blocks = -(-len(ids) // BLOCK)
     grid = np.zeros(blocks * BLOCK, np.int32)
     grid[: len(ids)] = ids
-    lengths = np.full(blocks, BLOCK)
-    lengths[-1] = len(ids) - BLOCK * (blocks - 1)
-    return grid.reshape(blocks, BLOCK), lengths
+    return np.ascontiguousarray(grid.reshape(blocks, BLOCK)[:, : len(ids)].T)
+
+
+def _crcs(grid: np.ndarray, n: int) -> list[int]:
+    return [zlib.crc32(block[: n - k * BLOCK].astype("<u4").tobytes()) for k, block in enumerate(grid.T)]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
     """A segment's bytes from at least one id below 65536."""
-    grid, lengths = _cut(ids)
-    lanes = len(grid)
-    models, row = _Models(lanes), np.arange(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _LOW)
-    words, used = np.zeros((lanes, 3 * BLOCK + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(start: np.ndarray, unit: np.ndarray, size: np.ndarray) -> None:
-        nonlocal low, width
-        low = low + unit * start.astype(np.uint64)
-        width = unit * size.astype(np.uint64)
-        over = np.flatnonzero(low > _LOW)
-        if len(over):
-            low[over] &= _LOW
-            at = used[over] - 1
-            while len(over):
-                words[over, at] += np.uint16(1)
-                more = words[over, at] == 0
-                over, at = over[more], at[more] - 1
-        out = np.flatnonzero(width < _MIN)
-        if len(out):
-            words[out, used[out]] = (low[out] >> np.uint64(32)).astype(np.uint16)
-            used[out] += 1
-            low[out] = low[out] << np.uint64(16) & _LOW
-            width[out] <<= np.uint64(16)
-
-    for k in range(int(lengths.max())):
-        live = lengths > k
-        now = grid[:, k]
+    grid = _cut(ids)
+    lanes = grid.shape[1]
+    models, room = _Models(lanes), 3 * BLOCK + 8
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+    words, first = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+    at = first.copy()
+    for now in grid:
         p = models.predict()
         hit = now == models.best
-        put(np.where(hit | ~live, 0, p), np.where(live, width >> np.uint64(12), width), np.where(live, np.where(hit, p, 4096 - p), 1))
-        cls = np.where(now == models.other, ALT, _CLASS[now])
-        todo = np.flatnonzero(live & ~hit)
-        start, size, unit = np.zeros(lanes, np.int64), np.ones(lanes, np.int64), width.copy()
-        counts = models.count[todo]
-        size[todo] = counts[np.arange(len(todo)), cls[todo]]
-        start[todo] = (counts * (np.arange(BUCKETS) < cls[todo, None])).sum(axis=1)
-        unit[todo] //= models.total[todo].astype(np.uint64)
-        put(start, unit, size)
-        place, unit = np.zeros(lanes, np.int64), width.copy()
-        place[todo] = np.where(cls[todo] == ALT, 0, now[todo] - _FIRST[cls[todo]])
-        unit[todo] >>= _BITS[cls[todo]].astype(np.uint64)
-        put(place, unit, np.ones(lanes, np.int64))
-        if k + 1 < BLOCK:
-            models.update(now, hit, cls)
-    for shift in (32, 16, 0):
-        words[row, used] = (low >> np.uint64(shift)).astype(np.uint16)
-        used += 1
-    crcs = [zlib.crc32(g[:n].astype("<u4").tobytes()) for g, n in zip(grid, lengths, strict=True)]
-    head = MAGIC + struct.pack("<II", len(ids), BLOCK) + np.stack([used, crcs], axis=1).astype("<u4").tobytes()
-    return head + words[np.arange(words.shape[1]) < used[:, None]].astype("<u2").tobytes()
+        cls = np.where(now == models.other, ALT, _CLASS.take(now))
+        unit, bits = width >> _U12, _BITS_U.take(cls)
+        start = models.ends.take(models.base_class + cls)
+        size = models.ends.take(models.base_class + cls + 1) - start
+        right = unit * p
+        share = unit * (_U4096 - p) >> _U9
+        one = share * size >> bits
+        place = np.where(cls == ALT, 0, now - _FIRST.take(cls)).astype(np.uint64)
+        moved = low + np.where(hit, _U0, right + share * start + one * place)
+        over = np.flatnonzero(moved < low)
+        low, width = moved, np.where(hit, right, one)
+        back = at[over] - 1
+        while len(back):
+            words[back] += np.uint16(1)
+            back = back[words[back] == 0] - 1
+        out = width < _MIN
+        words[at] = low >> _U48
+        at += out
+        shift = out * _U16
+        low, width = low << shift, width << shift
+        again = np.flatnonzero(width < _MIN)
+        while len(again):
+            words[at[again]] = low[again] >> _U48
+            at[again] += 1
+            low[again] <<= _U16
+            width[again] <<= _U16
+            again = again[width[again] < _MIN]
+        models.update(now, hit, cls)
+    for _ in range(4):
+        words[at] = low >> _U48
+        low = low << _U16
+        at += 1
+    used = at - first
+    head = MAGIC + struct.pack("<II", len(ids), BLOCK) + np.stack([used, _crcs(grid, len(ids))], axis=1).astype("<u4").tobytes()
+    return head + words.reshape(lanes, room)[np.arange(room) < used[:, None]].astype("<u2").tobytes()
 
 
 def decode_ids(blob: bytes) -> np.ndarray:
@@ -196,79 +200,103 @@ def decode_ids(blob: bytes) -> np.ndarray:
     at = np.cumsum(head[:, 0]) - head[:, 0]
     if at[-1] + head[-1, 0] != len(flat) - 4:
         raise ValueError("a segment of token ids is cut short")
-    lengths = np.full(lanes, BLOCK)
-    lengths[-1] = n - BLOCK * (lanes - 1)
-    code = flat[at] << np.uint64(32) | flat[at + 1] << np.uint64(16) | flat[at + 2]
-    at = at + 3
-    models, width = _Models(lanes), np.full(lanes, _LOW)
-    grid = np.zeros((lanes, BLOCK), np.int32)
-
-    def take(start: np.ndarray, unit: np.ndarray, size: np.ndarray) -> None:
-        nonlocal code, width
-        code = code - unit * start.astype(np.uint64)
-        width = unit * size.astype(np.uint64)
-        more = np.flatnonzero(width < _MIN)
-        if len(more):
-            code[more] = code[more] << np.uint64(16) | flat[np.minimum(at[more], len(flat) - 1)]
-            at[more] += 1
-            width[more] <<= np.uint64(16)
-
-    for k in range(int(lengths.max())):
-        live = lengths > k
-        p = models.predict()
-        unit = np.where(live, width >> np.uint64(12), width)
-        hit = live & (code // unit < p.astype(np.uint64))
-        take(np.where(hit | ~live, 0, p), unit, np.where(live, np.where(hit, p, 4096 - p), 1))
-        todo = np.flatnonzero(live & ~hit)
-        start, size, unit = np.zeros(lanes, np.int64), np.ones(lanes, np.int64), width.copy()
-        unit[todo] //= models.total[todo].astype(np.uint64)
-        ends = np.cumsum(models.count[todo], axis=1)
-        value = np.minimum(code[todo] // unit[todo], (models.total[todo] - 1).astype(np.uint64)).astype(np.int64)
-        cls = np.zeros(lanes, np.int64)
-        cls[todo] = (ends <= value[:, None]).sum(axis=1)
-        size[todo] = models.count[todo, cls[todo]]
-        start[todo] = ends[np.arange(len(todo)), cls[todo]] - size[todo]
-        take(start, unit, size)
-        place, unit = np.zeros(lanes, np.int64), width.copy()
-        bits = _BITS[cls[todo]].astype(np.uint64)
-        unit[todo] >>= bits
-        place[todo] = np.minimum(code[todo] // unit[todo], (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-        take(place, unit, np.ones(lanes, np.int64))
-        now = models.best.astype(np.int64)
-        now[todo] = np.where(cls[todo] == ALT, models.other[todo], _FIRST[cls[todo]] + place[todo])
-        now[~live] = 0
-        grid[:, k] = now
-        if k + 1 < BLOCK:
-            models.update(now.astype(np.int32), np.where(live, hit, models.best == 0), cls)
-    for g, m, crc in zip(grid, lengths, head[:, 1], strict=True):
-        if zlib.crc32(g[:m].astype("<u4").tobytes()) != crc:
-            raise ValueError("a block of token ids has a wrong checksum")
-    return grid.ravel()[:n]
-
-
-def tokenizer(path: str) -> Memo:
-    """Ids, as bytes of 16-bit integers, of parts of texts that the library's own splitting never joins."""
-    if path not in _TOKENIZERS:
+    code = flat[at] << _U48 | flat[at + 1] << _U32 | flat[at + 2] << _U16 | flat[at + 3]
+    at = at + 4
+    ahead = flat[:-2] << _U32 | flat[1:-1] << _U16 | flat[2:]  # three words from each on
+    models, width = _Models(lanes), np.full(lanes, _FULL)
+    grid = np.zeros((min(n, BLOCK), lanes), np.int32)
+    for k in range(len(grid)):
+        p = models.predict(find=True)
+        unit = width >> _U12
+        right = unit * p
+        hit = code < right
+        rest = code - np.where(hit, code, right)
+        share = unit * (_U4096 - p) >> _U9
+        cls = models.class_of.take(models.base_share + np.minimum(rest // share, _LAST).astype(np.int64))
+        start = models.ends.take(models.base_class + cls)
+        size = models.ends.take(models.base_class + cls + 1) - start
+        bits = _BITS_U.take(cls)
+        one = share * size >> bits
+        rest -= share * start
+        place = np.minimum(rest // one, (_U1 << bits) - _U1)
+        now = np.where(hit, models.best, np.where(cls == ALT, models.other, _FIRST.take(cls) + place.astype(np.int64))).astype(np.int32)
+        code = np.where(hit, code, rest - one * place)
+        width = np.where(hit, right, one)
+        more = (width < _MIN).astype(np.int64) + (width < _U4G) + (width < _U64K)
+        shift = _SHIFT.take(more)
+        code = code << shift | ahead.take(at, mode="clip") >> _U48 - shift
+        width = width << shift
+        at += more
+        grid[k] = now
+        models.update(now, hit, cls)
+    if _crcs(grid, n) != head[:, 1].tolist():
+        raise ValueError("a block of token ids has a wrong checksum")
+    return grid.T.ravel()[:n]
+
+
+class PartEncoder:
+    """Ids, as bytes of 16-bit integers, of whole texts, with a bounded cache of their parts' ids.
+
+    A single space between two other characters always begins a token, so texts are cut there. Parts
+    that the cache lacks are encoded many at a time, joined into one text, whose ids are dealt out by the
+    bytes of each token.
+    """
+
+    def __init__(self, path: str, cache: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        if library.get_vocab_size() > 65536:
+        self.library, self.cache, self.kept = Tokenizer.from_file(path), cache, {}
+        if self.library.get_vocab_size() > 65536:
             raise ValueError("ids of more than 16 bits")
-        _TOKENIZERS[path] = Memo(lambda part: np.array(library.encode(part, add_special_tokens=False).ids, np.uint16).tobytes(), 400_000)
+        self.bytes = np.zeros(65536, np.int64)  # in the vocabulary a byte is a character
+        for token, i in self.library.get_vocab().items():
+            self.bytes[i] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that each begin with a space."""
+        if not parts:
+            return []
+        ids = self.ids("".join(parts))
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right").tolist()
+        blob = ids.tobytes()
+        return [blob[2 * start : 2 * end] for start, end in zip([0, *cuts], cuts, strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. The first part of each, which has no space before it, a last one with white space at its end, and long parts aren't kept."""
+        split, kept = [text.split(" ") for text in texts], self.kept
+        odd = {p for p in set().union(*split).difference(kept) if not p or p[0].isspace() or p[-1].isspace()}
+        if odd:  # more than one space, or another white space beside it
+            split = [parts if odd.isdisjoint(parts) else _GAP.split(text) for parts, text in zip(split, texts, strict=True)]
+        first, last = [], []
+        for parts in split:
+            # White space at a text's end would join the space of a special token behind it.
+            last.append(self.ids(" " + parts.pop()).tobytes() if len(parts) > 1 and parts[-1][-1:].isspace() else b"")
+            first.append(self.ids(parts.pop(0)).tobytes())
+        lacking = list(set().union(*split).difference(kept))
+        if len(kept) + len(lacking) > self.cache:
+            kept.clear()
+            lacking = list(set().union(*split))
+        kept.update(zip(lacking, self.learn([" " + p for p in lacking]), strict=True))
+        found = [b"".join([head, *map(kept.__getitem__, parts), tail]) for head, parts, tail in zip(first, split, last, strict=True)]
+        for part in lacking:
+            if len(part) >= _LONG:
+                del kept[part]
+        return found
+
+
+def tokenizer(path: str) -> PartEncoder:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = PartEncoder(path)
     return _TOKENIZERS[path]
 
 
-def text_ids(text: str, memo: Memo) -> bytes:
-    """Ids of a whole text. A single space between two other characters begins a token: the text is cut there."""
-    if not text:
-        return b""
-    first, *rest = _GAP.split(text)
-    return b"".join([memo[first], *[memo[" " + p] if len(p) < 64 else memo.of(" " + p) for p in rest]])
-
-
 def write_segments(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Segments of all documents, tokens and the end id each, in ascending order of doc_id over (part, segment)."""
     path = vocabulary or tokenizer_path(VOCABULARY)
@@ -276,16 +304,16 @@ def write_segments(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, memo, end = TaskContext.get().partitionId(), tokenizer(path), np.uint16(END_ID).tobytes()
+        part, encoder, end = TaskContext.get().partitionId(), tokenizer(path), np.uint16(END_ID).tobytes()
         docs, lengths, held, size, segment = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             blob = encode_ids(np.frombuffer(b"".join(held), np.uint16))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([blob], pa.binary())], ["part", "segment", "doc_ids", "lengths", "blob"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = text_ids(text.as_py(), memo) + end
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 docs.append(doc)
                 lengths.append(len(ids) // 2)
                 held.append(ids)

@@ -85,6 +85,16 @@ def test_token_file(docs):
     assert tokenfile.read_documents(tokenfile.write_segments(docs.limit(0))).count() == 0
 
 
+def test_parts_of_texts():
+    odd = ["", " ", "  a  b", "it's a <|endoftext|> b <|endoftext|>c d", "a\x1c b\x85 c\u3000 d ", "é 漢字 かな 😀 x", "a b\n c\n", "x" * 99 + " " + "y" * 99 + " z", "a <|endoftext|>", "a <|endoftext|>\n <|endoftext|>"]
+    encoder = tokenfile.PartEncoder(tokenizer_path(tokenfile.VOCABULARY), cache=12)
+    want = [encoder.library.encode(t, add_special_tokens=False).ids for t in odd]
+    for k in range(len(odd)):
+        got = encoder.encode(odd[k:] + odd[:k])
+        assert [np.frombuffer(x, np.uint16).tolist() for x in got] == want[k:] + want[:k]
+        assert [np.frombuffer(x, np.uint16).tolist() for x in encoder.encode(odd[k : k + 1])] == want[k : k + 1]
+
+
 def test_html():
     page = "<html><head><title>T</title></head><body><nav><a href=x>Home</a> <a href=y>News</a></nav><article><h1>A &amp;  b</h1><p>Some words\n of prose here<br>go on</p><div class='ad'>Buy now</div><script>x<y</script><p>The end of it &copy; is here</article><div id=comments><p>Nice page, I like it</p></div><footer>Imprint</footer>"
     assert html.main_text(page) == "A & b\nSome words of prose here go on\nThe end of it © is here"
