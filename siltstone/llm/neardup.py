@@ -287,7 +287,8 @@ def _confirmed(df: DataFrame, clusters: DataFrame, width: int, percent: int) ->
             yield _edges([_stars(reps, _components(len(reps), linked))])
 
     rows = _blocks(clusters, "cluster", "n_shingles", SET_BLOCK)
-    texts = documents(df).select(F.col("doc_id").alias("rep"), "text").distinct()
+    # Dealt by id alone, which serves both the distinct rows and the join: whole texts are shuffled once here.
+    texts = documents(df).filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").repartition("rep").distinct()
     rows = rows.join(texts, "rep").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select("cluster", "i", "j", "rep", "_b", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return rows.mapInArrow(run, "a long, b long")
