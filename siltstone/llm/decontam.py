@@ -6,7 +6,8 @@ template tokens of a benchmark item is put in a hash table (shorter items: the w
 windows of all documents are joined with it. Windows of a document and an item that lie on one
 diagonal are then aligned token by token: a value of the item must always stand for the same value
 of the document and the other way round, and windows that break this don't count. A document is
-contaminated by an item if it has at least SHARE of the item's windows, in any order.
+contaminated by an item if it has at least SHARE of the item's windows, in any order, or if windows on
+one diagonal cover RUN or more tokens of the item in a row, whatever share of the item that is.
 
 The table is built from blocks of the benchmark whose characters are bounded by ``BLOCK_CHARS``; one
 block is broadcast at a time, and a larger benchmark takes one pass over the documents for each.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import Memo, documents
 
-WINDOW, SHARE, MIN_WORDS = 5, 0.5, 3
+WINDOW, SHARE, MIN_WORDS, RUN = 5, 0.5, 3, 13
 BLOCK_CHARS = 32_000_000
 #: Units, where they stand behind a number.
 UNITS = frozenset(
@@ -152,11 +153,38 @@ class Templates:
         diagonals = defaultdict(list)
         for n, place, p, size in self.hits(ids):
             diagonals[n, p - place].append((place, size))
-        covered = defaultdict(set)
+        covered, quoted = defaultdict(set), set()
         for (n, shift), places in diagonals.items():
-            covered[n].update(self._consistent(n, shift, sorted(places), tokens))
-        share = [(self.items[n], len(c) / self.windows[n], len(c)) for n, c in covered.items()]
-        return sorted((x for x in share if x[1] >= SHARE), key=lambda x: (x[0] is None, x[0]))
+            places.sort()
+            covered[n].update(self._consistent(n, shift, places, tokens))
+            if n not in quoted and self._run(n, shift, places, tokens) >= RUN:
+                quoted.add(n)
+        share = [(n, len(c) / self.windows[n], len(c)) for n, c in covered.items()]
+        return sorted(((self.items[n], x, k) for n, x, k in share if x >= SHARE or n in quoted), key=lambda x: (x[0] is None, x[0]))
+
+    def _slot(self, n: int, shift: int, q: int, tokens: list[str]) -> tuple[tuple[int, str], tuple[int, str]] | None:
+        """The value of the item's slot at ``q`` and what stands there in the document; nothing for a word."""
+        kind = int(self.ids[n][q])
+        if kind >= _FIRST_WORD:
+            return None
+        return (kind, _surface(self.tokens[n][q])[0].lower()), (kind, _surface(tokens[q + shift])[0].lower())
+
+    def _run(self, n: int, shift: int, places: list[tuple[int, int]], tokens: list[str]) -> int:
+        """Most tokens of the item in a row that sorted windows of a diagonal cover and whose slots agree with one another."""
+        there, back, best, start, end = {}, {}, 0, 0, -1
+        for place, size in places:
+            if place > end:
+                start = place
+            for q in range(max(place, end), place + size):
+                if (slot := self._slot(n, shift, q, tokens)) is not None:
+                    a, b = slot
+                    for seen, x, y in ((there, a, b), (back, b, a)):
+                        if x in seen and seen[x][0] != y:
+                            start = max(start, seen[x][1] + 1)
+                        seen[x] = y, q
+                best = max(best, q + 1 - start)
+            end = max(end, place + size)
+        return best
 
     def _consistent(self, n: int, shift: int, places: list[tuple[int, int]], tokens: list[str]) -> list[int]:
         """Places of the windows whose slots agree with those before them on the diagonal."""
@@ -164,10 +192,8 @@ class Templates:
         for place, size in places:
             slots = []
             for q in range(place, place + size):
-                kind = int(self.ids[n][q])
-                if kind < _FIRST_WORD:
-                    mine, theirs = _surface(self.tokens[n][q])[0].lower(), _surface(tokens[q + shift])[0].lower()
-                    slots.append(((kind, mine), (kind, theirs)))
+                if (slot := self._slot(n, shift, q, tokens)) is not None:
+                    slots.append(slot)
             if all(there.get(a, b) == b and back.get(b, a) == a for a, b in slots) and len({a for a, _ in slots}) == len(set(slots)) == len({b for _, b in slots}):
                 there.update(slots)
                 back.update((b, a) for a, b in slots)

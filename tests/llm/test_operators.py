@@ -61,6 +61,20 @@ def test_decontamination(spark, docs):
     assert decontam.find_contaminated(found.limit(0), bench).count() == 0 and decontam.find_contaminated(found, bench.limit(0)).count() == 0
 
 
+def found_items(text, *items):
+    return [m[0] for m in decontam.Templates(list(enumerate(items))).match(text)]
+
+
+def test_excerpts_of_long_items():
+    words = [f"word{chr(97 + k // 20)}{chr(97 + k % 20)}" for k in range(400)]
+    item, around = " ".join(words), (prose(1), prose(2))
+    for n, want in ((30, [0]), (13, [0]), (12, [])):
+        assert found_items(f"{around[0]} {' '.join(words[100 : 100 + n])} {around[1]}", item) == want
+    paid = "she paid 12 euros for tea and 12 euros for cake and then went home with nothing left for the bus or " + item
+    assert found_items("oh she paid 99 euros for tea and 99 euros for cake and then went on", paid) == [0]
+    assert found_items("oh she paid 99 euros for tea and 98 euros for cake and then went on", paid) == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 2047, 2048, 2049, 5000])
 @pytest.mark.parametrize("high", [2, 300, 65536])
 def test_range_coder(n, high):
