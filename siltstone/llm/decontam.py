@@ -13,8 +13,9 @@ The table is built from blocks of the benchmark whose characters are bounded by
 block is broadcast at a time, and a larger benchmark takes one pass over the documents for each.
 
 Defined cases: null and empty texts match nothing; repeated rows are reported under their one id;
-windows with fewer than MIN_WORDS ordinary words aren't put in the table, for they say nothing; an
-item without any window matches nothing; empty tables give empty results; extra columns are carried
+windows with fewer than MIN_WORDS ordinary words say nothing as templates and are put in the table with
+the tokens themselves, numbers, units and names too, so that only the same tokens match (a share is that
+of all windows or of those with templates, whichever is more); an item without any token matches nothing; empty tables give empty results; extra columns are carried
 through ``keep_clean`` and left out of the report.
 """
 
@@ -42,6 +43,8 @@ UNITS = frozenset(
 _TOKEN = re.compile(r"(?:\A|[.!?\n])[^\w.!?\n]*[^\W\d]\w*|\d+(?:[.,]\d+)*|[^\W\d]\w*")
 _NUMBER, _NAME, _UNIT, _FIRST_WORD = 1, 2, 3, 4
 _rng = np.random.default_rng(2)
+#: What a window of the table is made of.
+_FORMS = _TEMPLATE, _EXACT = 0, 1
 _ODD = _rng.integers(0, 2**64, WINDOW, np.uint64) | np.uint64(1)
 _LENGTH = _rng.integers(0, 2**64, WINDOW + 1, np.uint64)
 
@@ -75,28 +78,38 @@ class Templates:
         self.ids: list[np.ndarray] = []
         for _, text in items:
             for t in _TOKEN.findall(text):
-                if isinstance(word := _template(*self._at(t, text)), str):
-                    self.words.setdefault(word, _FIRST_WORD + len(self.words))
-        hashes, places, windows = [], [], []
+                self.words.setdefault(_surface(t)[0].lower(), _FIRST_WORD + len(self.words))
+        hashes, places = [], []
+        self.exact: list[np.ndarray] = []
+        self.windows, self.telling = [], []
         for n, (_, text) in enumerate(items):
             tokens, ids = self.read(text)
             self.tokens.append(tokens)
             self.ids.append(ids)
+            self.exact.append(self._exact(tokens, ids, np.arange(len(ids))))
             size = min(WINDOW, len(ids))
             ok = self._telling(ids, size) if size else np.zeros(0, bool)
-            windows.append(int(ok.sum()))
-            hashes.append(self.hash(ids, size)[ok] if size else np.empty(0, np.uint64))
-            places += [(n, int(p), size) for p in np.flatnonzero(ok)]
-        self.windows = windows
+            self.windows.append(len(ok))
+            self.telling.append(int(ok.sum()))
+            for form, some in ((_TEMPLATE, ok), (_EXACT, ~ok)):
+                if some.any():
+                    hashes.append(self.hash(self._form(n, form), size)[some])
+                    at = np.flatnonzero(some)
+                    places.append(np.stack([np.full(len(at), n), at, np.full(len(at), size), np.full(len(at), form)], 1).astype(np.int32))
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.hashes, self.places = flat[order], [places[k] for k in order]
-        self.sizes = sorted({p[2] for p in places})
+        self.hashes, self.places = flat[order], np.concatenate(places)[order] if places else np.empty((0, 4), np.int32)
+        self.sizes = sorted({int(x) for x in self.places[:, 2]})
 
-    @staticmethod
-    def _at(token: str, text: str) -> tuple[str, bool]:
-        word, begins = _surface(token)
-        return word, begins or text.startswith(token)
+    def _form(self, n: int, form: int) -> np.ndarray:
+        return self.exact[n] if form == _EXACT else self.ids[n]
+
+    def _exact(self, tokens: list[str], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """``ids`` with the words themselves in place of the placeholders at ``at``, 0 for those that the benchmark lacks."""
+        out = ids.copy()
+        for q in at[ids[at] < _FIRST_WORD].tolist():
+            out[q] = self.words.get(_surface(tokens[q])[0].lower(), 0)
+        return out
 
     def _id(self, token: str) -> int:
         kind = _template(*_surface(token))
@@ -128,38 +141,53 @@ class Templates:
         words = np.concatenate([[0], np.cumsum(ids >= _FIRST_WORD)])
         return words[size:] - words[:-size] >= min(MIN_WORDS, size)
 
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, place in the item, place in the text, size) of every window that both have."""
-        found = []
+    def _lookups(self, tokens: list[str], ids: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a text and the places of the windows to look up in them."""
+        known = self._all(ids, size)
+        yield ids, np.flatnonzero(known)
+        few = np.flatnonzero(known & ~self._telling(ids, size))
+        if len(few):
+            exact = self._exact(tokens, ids, np.unique(few[:, None] + np.arange(size)))
+            yield exact, few[self._all(exact, size)[few]]
+
+    @staticmethod
+    def _all(ids: np.ndarray, size: int) -> np.ndarray:
         known = np.concatenate([[0], np.cumsum(ids != 0)])
+        return known[size:] - known[:-size] == size
+
+    def hits(self, tokens: list[str], ids: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(item, place in the item, place in the text, size, form) of every window that both have."""
+        found = []
         for size in self.sizes:
             if len(ids) < size:
                 continue
-            at = np.flatnonzero(known[size:] - known[:-size] == size)
-            if not len(at):
-                continue
-            h = self.hash(ids, size)[at]
-            low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for k in np.flatnonzero(high > low):
-                for n, place, of in self.places[low[k] : high[k]]:
+            for mine, at in self._lookups(tokens, ids, size):
+                if not len(at):
+                    continue
+                h = self.hash(mine, size)[at]
+                low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+                for k in np.flatnonzero(high > low):
                     p = int(at[k])
-                    if of == size and np.array_equal(self.ids[n][place : place + size], ids[p : p + size]):
-                        found.append((n, place, p, size))
+                    for n, place, of, form in self.places[low[k] : high[k]].tolist():
+                        if of == size and np.array_equal(self._form(n, form)[place : place + size], mine[p : p + size]):
+                            found.append((n, place, p, size, form))
         return found
 
     def match(self, text: str) -> list[tuple[int, float, int]]:
         """(item id, share of its windows, windows) of every item that contaminates the text."""
         tokens, ids = self.read(text)
         diagonals = defaultdict(list)
-        for n, place, p, size in self.hits(ids):
-            diagonals[n, p - place].append((place, size))
-        covered, quoted = defaultdict(set), set()
-        for (n, shift), places in diagonals.items():
-            places.sort()
-            covered[n].update(self._consistent(n, shift, places, tokens))
+        for n, place, p, size, form in self.hits(tokens, ids):
+            diagonals[n, p - place].append((place, size, form))
+        covered, telling, quoted = defaultdict(set), defaultdict(set), set()
+        for (n, shift), found in diagonals.items():
+            places, plain = (sorted({(place, size) for place, size, form in found if form in forms}) for forms in (_FORMS, (_TEMPLATE,)))
+            kept = self._consistent(n, shift, places, tokens)
+            covered[n].update(kept)
+            telling[n].update(kept if plain == places else self._consistent(n, shift, plain, tokens))
             if n not in quoted and self._run(n, shift, places, tokens) >= RUN:
                 quoted.add(n)
-        share = [(n, len(c) / self.windows[n], len(c)) for n, c in covered.items()]
+        share = [(n, max(len(c) / self.windows[n], len(telling[n]) / max(1, self.telling[n])), len(c)) for n, c in covered.items()]
         return sorted(((self.items[n], x, k) for n, x, k in share if x >= SHARE or n in quoted), key=lambda x: (x[0] is None, x[0]))
 
     def _slot(self, n: int, shift: int, q: int, tokens: list[str]) -> tuple[tuple[int, str], tuple[int, str]] | None:

@@ -75,6 +75,14 @@ def test_excerpts_of_long_items():
     assert found_items("oh she paid 99 euros for tea and 98 euros for cake and then went on", paid) == []
 
 
+def test_items_of_numbers_and_names():
+    for item in ("What is 17 * 23 + 5?", "3 4 5 12 13 17 29 31", "17 mm 4 kg 12 s 9 mb", "40 + 2", "so Tom Dick Harry Ann Eve"):
+        assert found_items(f"{prose(1)} {item} {prose(2)}", item) == [0]
+    assert found_items(f"{prose(1)} What is 18 * 23 + 5? {prose(2)}", "What is 17 * 23 + 5?") == []
+    mixed = "1 2 3 4 5 6 7 8 9 10 11 12 then the tall man ran home with 4 cats"  # other numbers: still found by its template windows
+    assert found_items("31 32 33 34 35 36 37 38 39 30 21 22 then the tall man ran home with 40 cats", mixed) == [0]
+
+
 @pytest.mark.parametrize("n", [1, 2, 2047, 2048, 2049, 5000])
 @pytest.mark.parametrize("high", [2, 300, 65536])
 def test_range_coder(n, high):
