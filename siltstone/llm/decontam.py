@@ -2,8 +2,9 @@
 
 Texts become templates: numbers, units behind numbers, and names (capitalised words inside a
 sentence) are replaced by typed placeholders, other words are lower-cased. Every window of WINDOW
-template tokens of a benchmark item is put in a hash table (shorter items: the whole item), and the
-windows of all documents are joined with it. Windows of a document and an item that lie on one
+template tokens of a benchmark item is put in a hash table (shorter items: the whole item), those with
+names a second time with lower-cased words in their place, as a copy may be written in other letter case;
+the windows of all documents, in both forms, are joined with it. Windows of a document and an item that lie on one
 diagonal are then aligned token by token: a value of the item must always stand for the same value
 of the document and the other way round, and windows that break this don't count. A document is
 contaminated by an item if it has at least SHARE of the item's windows, in any order, or if windows on
@@ -13,8 +14,8 @@ The table is built from blocks of the benchmark whose characters are bounded by
 block is broadcast at a time, and a larger benchmark takes one pass over the documents for each.
 
 Defined cases: null and empty texts match nothing; repeated rows are reported under their one id;
-windows with fewer than MIN_WORDS ordinary words say nothing as templates and are put in the table with
-the tokens themselves, numbers, units and names too, so that only the same tokens match (a share is that
+windows with fewer than MIN_WORDS words, names counted, say nothing as templates and are put in the table with
+the tokens themselves in lower case, numbers and units too, so that only the same tokens match (a share is that
 of all windows or of those with templates, whichever is more); an item without any token matches nothing; empty tables give empty results; extra columns are carried
 through ``keep_clean`` and left out of the report.
 """
@@ -44,7 +45,9 @@ _TOKEN = re.compile(r"(?:\A|[.!?\n])[^\w.!?\n]*[^\W\d]\w*|\d+(?:[.,]\d+)*|[^\W\d
 _NUMBER, _NAME, _UNIT, _FIRST_WORD = 1, 2, 3, 4
 _rng = np.random.default_rng(2)
 #: What a window of the table is made of.
-_FORMS = _TEMPLATE, _EXACT = 0, 1
+_FORMS = _TEMPLATE, _EXACT, _PLAIN = 0, 1, 2
+#: Set in the id of a name, above that of its word.
+_NAMED = 1 << 40
 _ODD = _rng.integers(0, 2**64, WINDOW, np.uint64) | np.uint64(1)
 _LENGTH = _rng.integers(0, 2**64, WINDOW + 1, np.uint64)
 
@@ -80,18 +83,21 @@ class Templates:
             for t in _TOKEN.findall(text):
                 self.words.setdefault(_surface(t)[0].lower(), _FIRST_WORD + len(self.words))
         hashes, places = [], []
+        self.plain: list[np.ndarray] = []
         self.exact: list[np.ndarray] = []
         self.windows, self.telling = [], []
         for n, (_, text) in enumerate(items):
-            tokens, ids = self.read(text)
+            tokens, ids, flat = self.read(text)
             self.tokens.append(tokens)
             self.ids.append(ids)
-            self.exact.append(self._exact(tokens, ids, np.arange(len(ids))))
+            self.plain.append(flat)
+            self.exact.append(self._exact(tokens, flat, np.arange(len(ids))))
             size = min(WINDOW, len(ids))
             ok = self._telling(ids, size) if size else np.zeros(0, bool)
             self.windows.append(len(ok))
             self.telling.append(int(ok.sum()))
-            for form, some in ((_TEMPLATE, ok), (_EXACT, ~ok)):
+            words = self._telling(flat, size) if size else ok
+            for form, some in ((_TEMPLATE, ok), (_EXACT, ~words), (_PLAIN, words & ~self._all(ids != _NAME, size) if size else ok)):
                 if some.any():
                     hashes.append(self.hash(self._form(n, form), size)[some])
                     at = np.flatnonzero(some)
@@ -102,7 +108,7 @@ class Templates:
         self.sizes = sorted({int(x) for x in self.places[:, 2]})
 
     def _form(self, n: int, form: int) -> np.ndarray:
-        return self.exact[n] if form == _EXACT else self.ids[n]
+        return (self.ids, self.exact, self.plain)[form][n]
 
     def _exact(self, tokens: list[str], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """``ids`` with the words themselves in place of the placeholders at ``at``, 0 for those that the benchmark lacks."""
@@ -112,20 +118,31 @@ class Templates:
         return out
 
     def _id(self, token: str) -> int:
-        kind = _template(*_surface(token))
+        word, begins = _surface(token)
+        kind = _template(word, begins)
+        if kind == _NAME:
+            return _NAMED | self.words.get(word.lower(), 0)
         return kind if isinstance(kind, int) else self.words.get(kind, 0)
 
-    def read(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Tokens as found and their template ids, 0 for words that the benchmark lacks."""
+    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Tokens as found, their template ids, and those with names as words; 0 for words that the benchmark lacks."""
         tokens = _TOKEN.findall(text)
         memo = self.memo
         ids = [memo[t] for t in tokens]
         if tokens and tokens[0][0].isalpha():  # the very first word begins a sentence
             ids[0] = self.words.get(tokens[0].lower(), 0)
         out = np.array(ids, np.uint64)
-        unit = (out[1:] >= _FIRST_WORD) & (out[1:] < _FIRST_WORD + self.n_units) & (out[:-1] == _NUMBER)
-        out[1:][unit] = _UNIT
-        return tokens, out
+        named = out >= _NAMED
+        if named.any():
+            flat = np.where(named, out ^ np.uint64(_NAMED), out)
+            return tokens, self._units(np.where(named, np.uint64(_NAME), out)), self._units(flat)
+        out = self._units(out)
+        return tokens, out, out
+
+    def _units(self, ids: np.ndarray) -> np.ndarray:
+        unit = (ids[1:] >= _FIRST_WORD) & (ids[1:] < _FIRST_WORD + self.n_units) & (ids[:-1] == _NUMBER)
+        ids[1:][unit] = _UNIT
+        return ids
 
     @staticmethod
     def hash(ids: np.ndarray, size: int) -> np.ndarray:
@@ -141,13 +158,15 @@ class Templates:
         words = np.concatenate([[0], np.cumsum(ids >= _FIRST_WORD)])
         return words[size:] - words[:-size] >= min(MIN_WORDS, size)
 
-    def _lookups(self, tokens: list[str], ids: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _lookups(self, tokens: list[str], ids: np.ndarray, flat: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of a text and the places of the windows to look up in them."""
-        known = self._all(ids, size)
-        yield ids, np.flatnonzero(known)
-        few = np.flatnonzero(known & ~self._telling(ids, size))
+        yield ids, np.flatnonzero(self._all(ids, size))
+        known = self._all(flat, size)
+        if flat is not ids:
+            yield flat, np.flatnonzero(known & ~self._all(ids != _NAME, size))
+        few = np.flatnonzero(known & ~self._telling(flat, size))
         if len(few):
-            exact = self._exact(tokens, ids, np.unique(few[:, None] + np.arange(size)))
+            exact = self._exact(tokens, flat, np.unique(few[:, None] + np.arange(size)))
             yield exact, few[self._all(exact, size)[few]]
 
     @staticmethod
@@ -155,13 +174,13 @@ class Templates:
         known = np.concatenate([[0], np.cumsum(ids != 0)])
         return known[size:] - known[:-size] == size
 
-    def hits(self, tokens: list[str], ids: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def hits(self, tokens: list[str], ids: np.ndarray, flat: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, place in the item, place in the text, size, form) of every window that both have."""
         found = []
         for size in self.sizes:
             if len(ids) < size:
                 continue
-            for mine, at in self._lookups(tokens, ids, size):
+            for mine, at in self._lookups(tokens, ids, flat, size):
                 if not len(at):
                     continue
                 h = self.hash(mine, size)[at]
@@ -175,9 +194,9 @@ class Templates:
 
     def match(self, text: str) -> list[tuple[int, float, int]]:
         """(item id, share of its windows, windows) of every item that contaminates the text."""
-        tokens, ids = self.read(text)
+        tokens, ids, flat = self.read(text)
         diagonals = defaultdict(list)
-        for n, place, p, size, form in self.hits(tokens, ids):
+        for n, place, p, size, form in self.hits(tokens, ids, flat):
             diagonals[n, p - place].append((place, size, form))
         covered, telling, quoted = defaultdict(set), defaultdict(set), set()
         for (n, shift), found in diagonals.items():

@@ -83,6 +83,14 @@ def test_items_of_numbers_and_names():
     assert found_items("31 32 33 34 35 36 37 38 39 30 21 22 then the tall man ran home with 40 cats", mixed) == [0]
 
 
+def test_letter_case_of_items():
+    item = "Yesterday Anna Keller met Peter Braun and Maria Lopez near Berlin before Otto Weiss drove Clara Stein to Hamburg for 12 euros"
+    for copy in (item, item.lower(), item.upper(), item.title(), item.replace("Peter", "peter")):
+        assert found_items(f"{prose(1)} {copy} {prose(2)}", item) == found_items(copy, item) == [0]
+    assert found_items(item, item.lower()) == found_items(item.replace("Anna", "Tina"), item) == [0]
+    assert found_items("tom DICK harry ANN eve", "so Tom Dick Harry Ann Eve") == [0]
+
+
 @pytest.mark.parametrize("n", [1, 2, 2047, 2048, 2049, 5000])
 @pytest.mark.parametrize("high", [2, 300, 65536])
 def test_range_coder(n, high):
