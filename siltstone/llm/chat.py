@@ -9,7 +9,8 @@ Template of a turn: ``<turn:ROLE>TEXT</turn>`` and a line feed. In role and text
 ``\\b``, ``<`` becomes ``\\l`` and ``>`` becomes ``\\g``; so neither can hold a marker.
 
 Defined cases: a null text or role is the empty string; a record whose fingerprint is unknown, or
-which isn't JSON, has a null layout and no turns; turns with equal numbers are ordered by role and
+which isn't JSON, has a null layout and no turns; a longer text than the parser takes, which nobody
+knows the layout of, is an error, but for packed conversations, whose turns are at hand; turns with equal numbers are ordered by role and
 text, a null number first; repeated turns are all kept; rows with a null id form one conversation.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN = "struct<role:string,text:string>"
+#: Characters that the JSON parser takes in one text value; shorter records can't exceed a variant's bytes either.
+PARSED_CHARS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -89,8 +92,12 @@ def _turns(variant: Column, m: Mapping) -> Column:
     return F.transform(got, turn)
 
 
-def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``df`` with ``layout`` (name of the mapping or null) and ``turns`` (array of role and text)."""
+def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS, packed: str | None = None) -> DataFrame:
+    """``df`` with ``layout`` (name of the mapping or null) and ``turns`` (array of role and text).
+
+    ``packed`` names the column of ``pack_records`` with the layout and the turns a record was made of:
+    they stand in for a record that the parser doesn't take. Without it one that is too long for it is an error.
+    """
     kept = df.drop("layout", "turns").withColumn("_silt_variant", F.try_parse_json(F.col(record)))
     kept = kept.withColumn("_silt_print", fingerprint(F.col("_silt_variant")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
@@ -99,6 +106,13 @@ def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] =
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
         turns = F.when(hit, _turns(F.col("_silt_variant"), m)).otherwise(turns)
     empty = F.array().cast(f"array<{TURN}>")
+    unread = F.col(record).isNotNull() & F.col("_silt_variant").isNull()
+    if packed:
+        layout, turns = F.when(unread, F.col(packed)["layout"]).otherwise(layout), F.when(unread, F.col(packed)["turns"]).otherwise(turns)
+    else:
+        unread = unread & (F.length(record) > PARSED_CHARS)
+        error = F.raise_error(F.concat(F.lit("A record is too long to be parsed: characters "), F.length(record).cast("string")))
+        layout, turns = F.when(unread, error.cast("string")).otherwise(layout), F.when(unread, error.cast(f"array<{TURN}>")).otherwise(turns)
     return kept.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, empty)).drop("_silt_variant", "_silt_print")
 
 
@@ -137,12 +151,15 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def pack_records(rows: DataFrame) -> DataFrame:
-    """Rows of turns (conv_id, turn, role, text) as one JSON record a conversation, in the layout that fits its roles."""
+    """Rows of turns (conv_id, turn, role, text) as one JSON record a conversation, in the layout that fits its roles, and ``packed``, its layout and turns."""
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     roles = F.array_join(F.transform("ts", lambda t: t["role"]), ",")
     one = lambda i: F.col("ts")[i]["text"]
     messages = F.to_json(F.struct(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
-    record = F.when((F.size("ts") == 2) & (roles == "user,assistant"), F.to_json(F.struct(one(0).alias("prompt"), one(1).alias("response"))))
-    record = record.when((F.size("ts") == 3) & (roles == "system,user,assistant"), F.to_json(F.struct(one(0).alias("instruction"), one(1).alias("input"), one(2).alias("output"))))
-    return packed.select("conv_id", record.otherwise(messages).alias("record"))
+    prompt, instruction = (F.size("ts") == 2) & (roles == "user,assistant"), (F.size("ts") == 3) & (roles == "system,user,assistant")
+    record = F.when(prompt, F.to_json(F.struct(one(0).alias("prompt"), one(1).alias("response"))))
+    record = record.when(instruction, F.to_json(F.struct(one(0).alias("instruction"), one(1).alias("input"), one(2).alias("output"))))
+    layout = F.when(prompt, F.lit("prompt")).when(instruction, F.lit("instruction")).otherwise(F.lit("messages"))
+    turns = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return packed.select("conv_id", record.otherwise(messages).alias("record"), F.struct(layout.alias("layout"), turns.alias("turns")).alias("packed"))

@@ -247,6 +247,19 @@ def test_chat_packing(spark):
     assert got == {1: [("user", "q"), ("assistant", "")], 2: [("user", "a"), ("user", "a")], None: [("", "x")], 3: [("weird<role>", ""), ("assistant", "late")]}
 
 
+def test_long_chat(spark):
+    n = 20_000_001
+    rows = spark.createDataFrame([(1, 0, "user", "q", 1), (1, 1, "assistant", "b", n), (2, 0, "assistant", "c", n), (3, 0, "user", "q", 1), (3, 1, "assistant", "d", 1)], "conv_id long, turn long, role string, text string, n int")
+    packed = chat.pack_records(rows.withColumn("text", F.expr("repeat(text, n)")))
+    out = chat.format_turns(chat.canonical_turns(packed, "record", packed="packed"))
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    got = {r[0]: tuple(r)[1:] for r in out.select("conv_id", "layout", F.size("turns"), F.length(F.element_at("turns", -1)["text"]), F.length(loss), F.length("formatted")).collect()}
+    head = len("<turn:user>q</turn>\n<turn:assistant></turn>\n")
+    assert got == {1: ("prompt", 2, n, n, n + head), 2: ("messages", 1, n, n, n + len("<turn:assistant></turn>\n")), 3: ("prompt", 2, 1, 1, 1 + head)}
+    with pytest.raises(Exception, match="too long"):
+        chat.canonical_turns(packed.drop("packed"), "record").select("conv_id", F.size("turns")).collect()
+
+
 def test_near_duplicates(spark, docs):
     sets = {}
     for i, t in texts(docs):
