@@ -172,6 +172,19 @@ def test_lattice():
     assert np.allclose(lattice_lm.forward(words, grid, weights), [math.log(brute("▁" + w)) + weights.stop for w in words])
 
 
+def test_nul_in_words(spark):
+    grid = lattice_lm.lattice(tokenizer_path(lattice_lm.MODEL))
+    weights, expected = lattice_lm.Weights(grid.first, 0.3), np.zeros(len(grid.first))
+    words = ["the", "\0", "a\0b", "hat", "x\0", "\0\0y"]
+    got = lattice_lm.forward(words, grid, weights, expected)
+    assert np.isfinite(expected).all()
+    three = lattice_lm.forward([w.replace("\0", "\ue000") for w in words], grid, weights)  # a character without a piece, of three bytes
+    assert np.allclose(got, [x - 2 * weights.byte * w.count("\0") for w, x in zip(words, three, strict=True)])
+    rows = [(i, prose(i, 20) + (" a\0b" if i % 2 else "")) for i in range(20)]
+    for r in lattice_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert -1e9 < r["score"] <= r["closed_score"] <= 0
+
+
 def test_lm_scores(docs):
     rows = lattice_lm.score_documents(docs).collect()
     train, n = {}, 0
