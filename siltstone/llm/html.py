@@ -3,8 +3,10 @@
 A page is read as one sequence of words and tags. Every word and tag has a weight, learned from
 labelled pages as the log-odds of standing in the main text, by the kind of element it stands in;
 words of prose come out positive, tags and words of menus, notices and the like negative. One
-linear scan finds the contiguous run of the greatest sum, the content region. Of it, the words inside
-elements that are never main text (adverts, forms, comments, scripts, ...) are left out.
+linear scan finds the contiguous run of the greatest sum, the content region. Words and tags inside
+elements that are never main text (adverts, forms, comments, scripts, ...) are left out of the text; where
+such an element stands in main text, or a page has no element of main text at all, they don't weigh in the
+scan either, so that a long advert doesn't cut off what stands before or after it.
 
 Text: character references are decoded, a block's white space becomes one space, blocks are
 trimmed, empty ones dropped, and the rest joined by one line feed in page order.
@@ -78,31 +80,31 @@ def _kind(tag: str, attrs: str) -> str:
 
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(feature, kind it stands in, text, whether a block ends before it) of every tag and piece of text.
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+    """(feature, kind it stands in, text, whether a block ends before it, whether in main text) of every tag and piece of text.
 
     Kinds nest: inside an element that is never main text nothing else counts; inside main text a
     plain element stays main text.
     """
-    stack: list[tuple[str, str]] = []
-    kind, fresh = "", True
+    stack: list[tuple[str, str, bool]] = []
+    kind, fresh, inside = "", True, False
     for m in _SCAN.finditer(page):
         text = m["text"]
         if text is not None:
-            yield "word", kind, text, fresh
+            yield "word", kind, text, fresh, inside
             fresh = False
         elif m["tag"]:
             tag = m["tag"].lower()
             if tag in _BLOCKS:
                 fresh = True
             if m["close"]:
-                if any(t == tag for t, _ in stack):
+                if any(t == tag for t, _, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
-                    kind = stack[-1][1] if stack else ""
-                yield "tag", kind, " " if tag == "br" else "", fresh
+                    _, kind, inside = stack[-1] if stack else ("", "", False)
+                yield "tag", kind, " " if tag == "br" else "", fresh, inside
             else:
-                yield "tag", kind, " " if tag in ("br", "hr") else "", fresh
+                yield "tag", kind, " " if tag in ("br", "hr") else "", fresh, inside
                 attrs = m["attrs"]
                 if tag not in _VOID and not attrs.endswith("/"):
                     own = _kind(tag, attrs)
@@ -114,7 +116,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
                         if tag == "p" and stack and stack[-1][0] == "p":
                             stack.pop()
                         if tag != "p":
-                            stack.append((tag, own))
+                            inside = inside or own == "main"
+                            stack.append((tag, own, inside))
                             kind = own
 
 
@@ -134,7 +137,7 @@ def weights() -> dict[tuple[str, str], float]:
     for before, main, after in _LABELLED:
         start, end = len(before), len(before) + len(main)
         at, page = 0, before + main + after
-        for what, kind, text, _ in tokens(page):
+        for what, kind, text, _, _ in tokens(page):
             n = len(text.split()) if what == "word" else 1
             if what == "word":
                 at = page.index(text, at) if text in page[at:] else at
@@ -166,10 +169,11 @@ def main_text(page: str) -> str:
         return ""
     weight = weights()
     seen = list(tokens(page))
-    scores = [weight[what, kind] * len(text.split()) if what == "word" else weight["tag", kind] for what, kind, text, _ in seen]
+    bare = not any(inside for *_, inside in seen)
+    scores = [0.0 if kind in _OUT and (bare or inside) else weight[what, kind] * len(text.split()) if what == "word" else weight["tag", kind] for what, kind, text, _, inside in seen]
     begin, end = region(scores)
     blocks: list[list[str]] = []
-    for _, kind, text, fresh in seen[begin:end]:
+    for _, kind, text, fresh, _ in seen[begin:end]:
         if fresh or not blocks:
             blocks.append([])
         if text and kind not in _OUT:

@@ -133,6 +133,15 @@ def test_html():
     assert sum(scores[slice(*best)]) == max(sum(scores[i:j]) for i in range(7) for j in range(i, 8))
 
 
+def test_long_blocks_inside_main_text():
+    lead, rest = prose(1, 20), prose(2, 80)
+    blocks = ("<div class='ad'>" + prose(3, 60) + "</div>", "<nav><ul>" + "<li><a href=x>One two</a></li>" * 60 + "</ul></nav>", "<div class=newsletter><p>" + prose(4, 200) + "</p></div>")
+    for block in blocks:
+        for before, after in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<body><div>", "</div>"), ("", "")):
+            for a, b in ((lead, rest), (rest, lead)):
+                assert html.main_text(f"{before}<p>{a}</p>{block}<p>{b}</p>{after}") == f"{a}\n{b}"
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>hé", "x"), (2, None, "<p>hé", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(rows).collect()) == [(1, "", 0), (2, "hé", 2), (2, "hé", 2)]
