@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 _SCAN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|object|canvas|math|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|canvas|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
@@ -56,23 +56,61 @@ _KIND_WORDS = (
     ("main", r"article|content|main|post|entry|story|article-?body|post-?body|text"),
 )
 _KIND = [(kind, re.compile(rf"(?:^|[\s_-])(?:{words})(?=$|[\s_-])", re.I)) for kind, words in _KIND_WORDS]
+#: Inside main text, and for ids of headings and sections, which are made from their titles, a word alone
+#: says little: there only these tags are looked at, and a name must consist of known words throughout.
+_CONTAINERS = frozenset("div section aside ul ol dl table form footer header center fieldset dialog nav menu".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_NAME_KINDS = [(kind, re.compile(rf"(?:{words})", re.I)) for kind, words in _KIND_WORDS if kind not in ("main", "header")] + [("header", re.compile(r"(?:site|top|global)-?header|masthead|topbar|branding", re.I))]
+_NAME_PARTS = frozenset("area bar block box button buttons container inner item items link links list outer section slot thread top bottom left right unit wrap wrapper".split())
+#: Names that no title of a section is likely to have: they count as ids too.
+_SURE_IDS = re.compile(r"comments|disqus|respond|sidebar|navbar|navigation|breadcrumbs?|pagination|toc|masthead|topbar|footer|ads|adsense|adbox|adslot", re.I)
+_OWN_HEADER = re.compile(r"(?<![\w-])(?:post|entry|article|story|content|section|main)[_-]+header(?![\w-])", re.I)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _OUT = frozenset(("menu", "header", "footer", "side", "form", "notice", "ad", "comment", "head"))
 _ROLES = {"navigation": "menu", "banner": "header", "contentinfo": "footer", "complementary": "side", "search": "form", "form": "form", "dialog": "notice", "alert": "notice", "alertdialog": "notice", "main": "main"}
 
 
-def _kind(tag: str, attrs: str) -> str:
-    """The kind of element that a tag opens, or nothing in particular."""
+def _named(name: str) -> str:
+    """The kind that a whole class name says, all of whose words are known."""
+    for kind, words in _NAME_KINDS:
+        if words.fullmatch(name):
+            return kind
+    parts = [x for x in re.split(r"[_-]+", name.lower()) if x]
+    found = [next((kind for kind, words in _NAME_KINDS if words.fullmatch(x)), "") for x in parts]
+    if any(found) and all(k or x in _NAME_PARTS for k, x in zip(found, parts, strict=True)):
+        return next(k for k in found if k)
+    return ""
+
+
+def _kind_inside(tag: str, classes: str, ids: str) -> str:
+    """The kind by whole names, where a word alone doesn't decide."""
+    if tag not in _CONTAINERS:
+        return ""
+    names = classes.split()
+    if tag != "section":
+        names += [x for x in ids.split() if _SURE_IDS.fullmatch(x) or re.search("[_-]", x)]
+    return next((k for x in names if (k := _named(x))), "")
+
+
+def _kind(tag: str, attrs: str, inside: bool = False) -> str:
+    """The kind of element that a tag opens, or nothing in particular; ``inside``: in main text."""
     if attrs and tag not in ("body", "html"):
-        marks = ""
+        marks = ids = ""
         for name, a, b, c in _ATTR.findall(attrs):
             value = a or b or c
             name = name.lower()
             if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)) or (name == "role" and _ROLES.get(value.lower()) in _OUT):
                 return _ROLES.get(value.lower(), "notice") if name == "role" else "notice"
-            if name in ("class", "id"):
+            if name == "class":
                 marks += f" {value}"
-        if marks:
+            elif name == "id":
+                ids += f" {value}"
+        if inside or tag in _HEADINGS:
+            return _kind_inside(tag, marks, ids) or _KIND_OF_TAG.get(tag, "")
+        if tag == "section":
+            ids = "".join(f" {x}" for x in ids.split() if _SURE_IDS.fullmatch(x) or re.search("[_-]", x) and _named(x))
+        marks = _OWN_HEADER.sub(" ", marks + ids)
+        if marks.strip():
             for kind, words in _KIND:
                 if words.search(marks):
                     return "" if kind == "main" and tag in _KIND_OF_TAG and _KIND_OF_TAG[tag] != "main" else kind
@@ -107,7 +145,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 yield "tag", kind, " " if tag in ("br", "hr") else "", fresh, inside
                 attrs = m["attrs"]
                 if tag not in _VOID and not attrs.endswith("/"):
-                    own = _kind(tag, attrs)
+                    own = _kind(tag, attrs, inside)
                     if kind in _OUT or not own or (own == "header" and kind == "main" and tag == "header"):
                         own = kind
                     elif own == "link" and kind == "main":

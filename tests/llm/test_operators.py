@@ -142,6 +142,18 @@ def test_long_blocks_inside_main_text():
                 assert html.main_text(f"{before}<p>{a}</p>{block}<p>{b}</p>{after}") == f"{a}\n{b}"
 
 
+def test_names_inside_main_text():
+    a, b = prose(1, 30), prose(2, 30)
+    for head in ("<h2 id='related-work'>One", "<h2 id='legal'>One", "<h3 class='header'>One", "<section id='search'><h2>One</h2></section", "<section id='cookies'><p>One</p></section", "<div class='post-header'><h1>One</h1></div", "<div id='search'>One</div", "<math><mi>One</mi></math", "<object data=x>One</object"):
+        end = "</" + head[1:3] + ">" if head.startswith("<h") else ">"
+        for before, after in (("<article>", "</article>"), ("<main>", "</main>"), ("<body>", "</body>")):
+            if before != "<body>" or "<div id" not in head:
+                assert "One" in html.main_text(f"{before}<p>{a}</p>{head}{end}<p>{b}</p>{after}"), (before, head)
+    for block in ("<div class='ad'>Two</div>", "<div class='x newsletter-box'>Two</div>", "<ul class='share-buttons'><li>Two</ul>", "<div id='comments'>Two</div>", "<aside>Two</aside>", "<nav>Two</nav>", "<div id='cookie-notice'>Two</div>", "<section class='comments'>Two</section>", "<div role=dialog>Two</div>", "<p hidden></p><div hidden>Two</div>"):
+        for before, after in (("<article>", "</article>"), ("<main>", "</main>"), ("<body>", "</body>")):
+            assert html.main_text(f"{before}<p>{a}</p>{block}<p>{b}</p>{after}") == f"{a}\n{b}", (before, block)
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>hé", "x"), (2, None, "<p>hé", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(rows).collect()) == [(1, "", 0), (2, "hé", 2), (2, "hé", 2)]
