@@ -5,8 +5,8 @@ labelled pages as the log-odds of standing in the main text, by the kind of elem
 words of prose come out positive, tags and words of menus, notices and the like negative. One
 linear scan finds the contiguous run of the greatest sum, the content region. Words and tags inside
 elements that are never main text (adverts, forms, comments, scripts, ...) are left out of the text; where
-such an element stands in main text, or a page has no element of main text at all, they don't weigh in the
-scan either, so that a long advert doesn't cut off what stands before or after it.
+such an element stands in main text or behind a paragraph of a plain element, or a page has no element of
+main text at all, they don't weigh in the scan either, so that a long advert doesn't cut off what stands before or after it.
 
 Text: character references are decoded, a block's white space becomes one space, blocks are
 trimmed, empty ones dropped, and the rest joined by one line feed in page order.
@@ -118,18 +118,18 @@ def _kind(tag: str, attrs: str, inside: bool = False) -> str:
 
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(feature, kind it stands in, text, whether a block ends before it, whether in main text) of every tag and piece of text.
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool, int]]:
+    """(feature, kind it stands in, text, whether a block ends before it, level) of every tag and piece of text.
 
     Kinds nest: inside an element that is never main text nothing else counts; inside main text a
-    plain element stays main text.
+    plain element stays main text. The level is 2 in main text, 1 behind a paragraph of a plain element, else 0.
     """
-    stack: list[tuple[str, str, bool]] = []
-    kind, fresh, inside = "", True, False
+    stack: list[tuple[str, str, int]] = []
+    kind, fresh, level = "", True, 0
     for m in _SCAN.finditer(page):
         text = m["text"]
         if text is not None:
-            yield "word", kind, text, fresh, inside
+            yield "word", kind, text, fresh, level
             fresh = False
         elif m["tag"]:
             tag = m["tag"].lower()
@@ -139,13 +139,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 if any(t == tag for t, _, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
-                    _, kind, inside = stack[-1] if stack else ("", "", False)
-                yield "tag", kind, " " if tag == "br" else "", fresh, inside
+                    _, kind, level = stack[-1] if stack else ("", "", 0)
+                yield "tag", kind, " " if tag == "br" else "", fresh, level
             else:
-                yield "tag", kind, " " if tag in ("br", "hr") else "", fresh, inside
+                yield "tag", kind, " " if tag in ("br", "hr") else "", fresh, level
                 attrs = m["attrs"]
                 if tag not in _VOID and not attrs.endswith("/"):
-                    own = _kind(tag, attrs, inside)
+                    own = _kind(tag, attrs, level == 2)
                     if kind in _OUT or not own or (own == "header" and kind == "main" and tag == "header"):
                         own = kind
                     elif own == "link" and kind == "main":
@@ -154,9 +154,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                         if tag == "p" and stack and stack[-1][0] == "p":
                             stack.pop()
                         if tag != "p":
-                            inside = inside or own == "main"
-                            stack.append((tag, own, inside))
+                            level = 2 if own == "main" else level
+                            stack.append((tag, own, level))
                             kind = own
+                        elif not level and not kind and stack and stack[-1][0] not in ("body", "html"):
+                            level = 1
+                            stack[-1] = (stack[-1][0], kind, level)
 
 
 #: Pages with their main text, from which weights are learned: one layout each, (before, main text, after).
@@ -207,8 +210,8 @@ def main_text(page: str) -> str:
         return ""
     weight = weights()
     seen = list(tokens(page))
-    bare = not any(inside for *_, inside in seen)
-    scores = [0.0 if kind in _OUT and (bare or inside) else weight[what, kind] * len(text.split()) if what == "word" else weight["tag", kind] for what, kind, text, _, inside in seen]
+    bare = all(level < 2 for *_, level in seen)
+    scores = [0.0 if kind in _OUT and (bare or level) else weight[what, kind] * len(text.split()) if what == "word" else weight["tag", kind] for what, kind, text, _, level in seen]
     begin, end = region(scores)
     blocks: list[list[str]] = []
     for _, kind, text, fresh, _ in seen[begin:end]:

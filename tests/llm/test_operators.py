@@ -137,7 +137,7 @@ def test_long_blocks_inside_main_text():
     lead, rest = prose(1, 20), prose(2, 80)
     blocks = ("<div class='ad'>" + prose(3, 60) + "</div>", "<nav><ul>" + "<li><a href=x>One two</a></li>" * 60 + "</ul></nav>", "<div class=newsletter><p>" + prose(4, 200) + "</p></div>")
     for block in blocks:
-        for before, after in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<body><div>", "</div>"), ("", "")):
+        for before, after in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<body><div>", "</div>"), ("", ""), ("<div>", "</div><aside>x</aside><article></article>")):
             for a, b in ((lead, rest), (rest, lead)):
                 assert html.main_text(f"{before}<p>{a}</p>{block}<p>{b}</p>{after}") == f"{a}\n{b}"
 
