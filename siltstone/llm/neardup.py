@@ -12,7 +12,8 @@
    as stars, never as pairs. Oversized keys are split into blocks, one group for each pair of blocks.
 5. The parts over all keys give candidate clusters. A cluster's documents meet once, in blocks of
    bounded size, and links are confirmed there on full sets: 100 * common >= threshold * union.
-   Pairs that are already connected are skipped: links are kept as stars again.
+   Pairs that are already connected are skipped: links are kept as stars again. Only members' texts are
+   read for this, and their sets are shuffled, never texts.
 6. Connected components of the links, by alternating large-star and small-star steps.
 
 Defined cases: null and empty texts and texts without words have an empty set (n_shingles 0), link
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, drop, materialize
+from siltstone.llm.common import documents, drop, materialize, with_rows
 
 POSITIONS, BITS, DISTANCE, CHUNKS, ERRORS = 36, 16, 17, 6, 2
 KEY_BLOCK = 8192  # signatures of one key that meet in a group
 SET_BLOCK = 2_000_000  # shingles of one cluster that meet in a group, from either side
+HOT_DEGREE, HOT_NODES = 1000, 100_000  # edges from which on a node's label is broadcast, and such nodes at most
+_SEEN = 100_000  # sets that a task remembers having sent
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**64, POSITIONS, np.uint64) | np.uint64(1)
@@ -166,14 +169,17 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, rep long")
 
 
-def _blocks(df: DataFrame, group: str, weight: str, most: int) -> DataFrame:
-    """Rows of (group, rep) with block pairs (i, j): a group heavier than ``most`` is split, each pair of its blocks meets."""
+def _parts(df: DataFrame, group: str, weight: str, most: int) -> DataFrame:
+    """Groups heavier than ``most`` with the number of their blocks."""
     total = df.groupBy(group).agg(F.sum(weight).alias("_w")).filter(F.col("_w") > most)
-    parts = F.ceil(F.col("_w") / F.lit(most)).cast("int")
-    split = df.join(total.select(group, parts.alias("_n")), group, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return total.select(group, F.ceil(F.col("_w") / F.lit(most)).cast("int").alias("_n"))
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """Rows of (rep, _n) with their block ``_b`` of _n, once for every pair of blocks (i, j) that theirs is of."""
     mine = F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-    return split.withColumn("_b", mine).withColumn("_p", F.explode(pairs)).select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_n", "_p")
+    return df.withColumn("_b", mine).withColumn("_p", F.explode(pairs)).select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_n", "_p")
 
 
 def _components(n: int, neighbours) -> np.ndarray:
@@ -217,8 +223,9 @@ def _near_signatures(shared: DataFrame, classes: DataFrame) -> DataFrame:
                 out = []
         yield _edges(out)
 
-    rows = _blocks(shared.withColumn("_one", F.lit(1)), "key", "_one", KEY_BLOCK).join(classes.select("rep", "signature"), "rep")
-    rows = rows.select("key", "i", "j", "rep", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    large = _parts(shared.withColumn("_one", F.lit(1)), "key", "_one", KEY_BLOCK)
+    rows = shared.join(large, "key", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).join(classes.select("rep", "signature"), "rep")
+    rows = _blocks(rows).select("key", "i", "j", "rep", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -232,13 +239,15 @@ def connected_components(edges: DataFrame, label: str = "links") -> DataFrame:
     """node, component (smallest node reachable) of every node that the edges (a, b) have.
 
     Large-star and small-star steps alternate until nothing changes; every step is an aggregation
-    with map-side combining and a join, and its edges are written to the shared folder.
+    with map-side combining and a join, and its edges are written to the shared folder. A node with more
+    than ``limit`` edges isn't joined by a shuffle: its label is broadcast, and there are HOT_NODES such at most.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, limit: int) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        moved = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hot = F.broadcast(least.filter(F.col("n") > limit).select("a", "m"))
+        moved = both.join(hot, "a").select("a", "b", "m").unionAll(both.join(hot, "a", "left_anti").join(least.filter(F.col("n") <= limit), "a").select("a", "b", "m"))
         if large:
             return moved.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
@@ -249,7 +258,10 @@ def connected_components(edges: DataFrame, label: str = "links") -> DataFrame:
     now = materialize(edges.filter("a <> b").distinct(), label)
     seen = state(now)
     while seen[0]:
-        then = materialize(star(star(now, True), False), label)
+        limit = max(HOT_DEGREE, 2 * seen[0] // HOT_NODES)
+        half = materialize(star(now, True, limit), label)
+        then = materialize(star(half, False, limit), label)
+        drop(half)
         drop(now)
         now, before, seen = then, seen, state(then)
         if seen == before:
@@ -257,16 +269,48 @@ def connected_components(edges: DataFrame, label: str = "links") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _sets(df: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """The members' rows (rep, ...) with ``digest``, ``signature`` and ``hashes`` of their documents' sets; a repeated row may come more than once."""
+    names = [n for n in members.columns if n != "rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        seen: set[tuple[int, bytes]] = set()
+        for batch in batches:
+            keep, made = [], []
+            for k, (rep, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                found = shingle_set(text.as_py(), width)
+                own = rep, xxh3_128_digest(found.tobytes())
+                if len(found) and own not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(own)
+                    keep.append(k)
+                    made.append((own[1], signature(found).tobytes(), found.tobytes()))
+            held = batch.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([held.column(0), *held.columns[2:], *[pa.array([m[c] for m in made], pa.binary()) for c in range(3)]], ["rep", *names, "digest", "signature", "hashes"])
+
+    texts = documents(df).filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
+    kinds = ", ".join(f"{n} {t}" for n, t in members.dtypes if n != "rep")
+    return with_rows(texts, members, "rep").select("rep", "text", *names).mapInArrow(run, f"rep long, {kinds}, digest binary, signature binary, hashes binary")
+
+
 def _confirmed(df: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """Stars (a, b) of classes that links on full sets connect; clusters: rep, cluster, n_shingles."""
+    """Stars (a, b) of classes that links on full sets connect; clusters: rep, cluster, n_shingles.
+
+    Only texts of clusters' members are read for this, and what is shuffled is their sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
+            _, once = np.unique([r.to_bytes(8, "little", signed=True) + d for r, d in zip(group.column("rep").to_pylist(), group.column("digest").to_pylist(), strict=True)], return_index=True)
+            group = group.take(pa.array(once))
             reps = group.column("rep").to_numpy()
-            sets = [shingle_set(t.as_py(), width) for t in group.column("text")]
+            sets = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("hashes")]
             size = np.array([len(s) for s in sets])
             flat, ends = np.concatenate(sets), np.cumsum(size)
-            sig = np.array([signature(s) for s in sets])
+            sig = _signatures(group.column("signature").combine_chunks())
             block, i = group.column("_b").to_numpy(), group.column("i")[0].as_py()
             alone = group.column("j")[0].as_py() == i
 
@@ -286,30 +330,35 @@ def _confirmed(df: DataFrame, clusters: DataFrame, width: int, percent: int) ->
 
             yield _edges([_stars(reps, _components(len(reps), linked))])
 
-    rows = _blocks(clusters, "cluster", "n_shingles", SET_BLOCK)
-    # Dealt by id alone, which serves both the distinct rows and the join: whole texts are shuffled once here.
-    texts = documents(df).filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").repartition("rep").distinct()
-    rows = rows.join(texts, "rep").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select("cluster", "i", "j", "rep", "_b", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    large = _parts(clusters, "cluster", "n_shingles", SET_BLOCK)
+    members = clusters.join(large, "cluster", "left").select("rep", "cluster", F.coalesce("_n", F.lit(1)).alias("_n"))
+    members = materialize(members, "members")
+    rows = _blocks(_sets(df, members, width)).select("cluster", "i", "j", "rep", "_b", "digest", "signature", "hashes").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between an id that several rows have and the classes of its texts."""
+    twice = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    of_id = rows.join(twice, "doc_id", "left_semi").select("doc_id", "digest").distinct()
+    return of_id.join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``df`` (doc_id, text)."""
     rows = materialize(sketch(df, width), "sketch")
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
-    near = _near_signatures(_shared_keys(classes), classes)
-    clusters = connected_components(near, "candidates")
+    shared = materialize(_shared_keys(classes), "keys")
+    clusters = connected_components(_near_signatures(shared, classes), "candidates")
+    drop(shared)
     clusters = clusters.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), F.col("node") == F.col("rep")).select("rep", F.col("component").alias("cluster"), "n_shingles")
-    links = _confirmed(df, clusters, width, percent)
-    components = connected_components(links, "links")
     # An id with several texts is one document: its texts' classes are linked through it.
-    twice = known.join(classes.select("digest", "rep"), "digest").filter(F.col("rep") < F.col("doc_id")).groupBy("doc_id").agg(F.countDistinct("rep").alias("n"), F.collect_set("rep").alias("reps")).filter("n > 1")
-    more = twice.select(F.explode("reps").alias("a"), F.col("doc_id").alias("b"))
-    if not more.isEmpty():
-        components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "links")
+    repeated = materialize(_repeated_ids(rows, classes), "repeated")
+    components = connected_components(_confirmed(df, clusters, width, percent).unionAll(repeated), "links")
     of_class = classes.join(components, classes["rep"] == components["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(of_class, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = rows.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not repeated.isEmpty():  # rows of such an id that have no words follow its other rows
+        of_id = repeated.select(F.col("b").alias("doc_id")).distinct().join(components, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("_of_id"))
+        out = out.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_of_id", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
