@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, neardup, quality, sp_bpe
-from siltstone.llm.common import materialize, table
+from siltstone.llm.common import drop, materialize, table, with_rows, without_ids
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +23,16 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id stay; of rows that repeat an id the one with the smallest text stays.
     """
     found = materialize(neardup.near_duplicates(docs, width=5, percent=80).select("doc_id", "kept"), "kept")
-    gone = found.filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    known = found.filter("doc_id is not null")
+    gone = materialize(known.filter("not kept").select("doc_id").distinct(), "gone")
+    kept = without_ids(docs, gone)
+    twice = materialize(known.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    drop(found)
     if twice.isEmpty():
         return kept
     names = docs.columns
-    single = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("x")).select("x.*")
-    return kept.join(twice, "doc_id", "left_anti").select(names).unionByName(single.select(names))
+    same = with_rows(kept, twice, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("x")).select("x.*")
+    return without_ids(kept, twice).select(names).unionByName(same.select(names))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
