@@ -1,4 +1,4 @@
-"""Command line: init, backup, restore, verify, list, stats and bench."""
+"""Command line: init, backup, restore, verify, list, stats and bench, and the tools chunk-stats, chunk-identity and generate."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from siltstone import analysis
 from siltstone.operators.chunking import ChunkConfig
 from siltstone.repository import Repository, RepositoryError
-from siltstone.sources.filetree import read_tree, walk
+from siltstone.sources.filetree import read_errors, read_tree
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -26,23 +27,37 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             verb.add_argument("snapshot")
             verb.add_argument("target")
         verb.add_argument(*(("repo",) if name == "init" else ("--repo",)), **({} if name == "init" else {"required": True}))
+    for name in ("chunk-stats", "chunk-identity", "generate"):
+        verb = verbs.add_parser(name)
+        verb.add_argument("file")
+        verb.add_argument("size", type=int, nargs="?", default=8, help="average chunk in KiB, or MiB to generate")
     args = parser.parse_args(argv)
+    tools = {"chunk-stats": analysis.report_sizes, "chunk-identity": analysis.report_identity, "generate": analysis.generate}
+    if args.verb in tools:
+        try:
+            if args.size <= 0:
+                raise ValueError("the size must be positive")
+            tools[args.verb](args.file, args.size)
+        except (OSError, ValueError) as e:
+            print(f"error: {e}", file=sys.stderr)
+            return 1
+        return 0
     spark = spark or SparkSession.builder.appName("siltstone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if args.verb == "init":
             Repository.create(spark, args.repo)
             print(f"repository at {args.repo}")
         elif args.verb in ("backup", "bench"):
-            for path, reason in walk(args.source)[1]:
-                print(f"skipped {path}: {reason}", file=sys.stderr)
-            config = ChunkConfig.of_kib(args.avg_chunk_kb or 8, args.fixed_chunking) if args.avg_chunk_kb is not None or args.fixed_chunking else None
             if args.avg_chunk_kb is not None and args.avg_chunk_kb <= 0:
                 raise RepositoryError("--avg-chunk-kb must be positive")
+            for row in read_errors(spark, args.source).toLocalIterator():
+                print(f"skipped {row['path']}: {row['reason']}", file=sys.stderr)
+            config = ChunkConfig.of_kib(args.avg_chunk_kb or 8, args.fixed_chunking) if args.avg_chunk_kb is not None or args.fixed_chunking else None
             repo, files = Repository.create(spark, args.repo, config), read_tree(spark, args.source)
             files = files.repartition(args.threads) if args.threads else files
             if args.verb == "backup":
                 snapshot = repo.backup(files)
-                print(f"snapshot {snapshot}: {repo.manifests(snapshot).count()} files")
+                print(f"snapshot {snapshot}: {repo.manifests(snapshot).count()} files, {repo.index().count()} unique chunks in all")
             else:
                 print(" ".join(f"{k}={v}" for k, v in repo.bench(files).items()))
         elif args.verb == "restore":

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import dedup_factor, percent_saved
+from siltstone.operators.ordering import running_total
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
@@ -76,16 +77,17 @@ def first_references(refs: DataFrame) -> DataFrame:
 
 
 def pack_layout(chunks: DataFrame) -> DataFrame:
-    """Offset of every distinct chunk in one pack, in order of first reference (path, seq).
-
-    Offsets are running sums in ranges of the order: sums of ranges are few, so no task holds all rows.
-    """
-    firsts = chunks.groupBy("digest").agg(F.min("length").alias("length"), F.min(F.struct("path", "seq")).alias("f"))
-    firsts = firsts.select("digest", "length", "f.path", "f.seq").withColumn("_r", F.substring(F.col("path"), 1, 5))
-    ranges = firsts.groupBy("_r").agg(F.sum("length").alias("_n"))
-    ranges = ranges.withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n"))
-    inside = F.sum("length").over(Window.partitionBy("_r").orderBy("path", "seq")) - F.col("length")
-    return firsts.withColumn("_in", inside).join(ranges, "_r").select("digest", "length", (F.col("_before") + F.col("_in")).cast("long").alias("offset"))
+    """Offset of every distinct chunk in one pack, in order of first reference (path, seq)."""
+    firsts = chunks.groupBy("digest").agg(F.min("length").alias("length"), F.min(F.struct("path", "seq")).alias("f")).select("digest", "length", "f.path", "f.seq")
+    return running_total(firsts, ["path", "seq"], F.col("length").cast("long"), "offset").select("digest", "length", "offset")
+
+
+def summary_by_strategy(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What ``dedup_summary`` says of a new batch against an old one, for each strategy of (strategy, digest, length): one aggregation by chunk."""
+    both = old.select("strategy", "digest", "length", F.lit(0).alias("n")).unionByName(new.select("strategy", "digest", "length", F.lit(1).alias("n")))
+    rows = both.groupBy("strategy", "digest").agg(F.sum("n").alias("refs"), F.min("length").alias("length"), F.min("n").alias("miss")).filter("refs > 0")
+    total = lambda c, name: F.sum(c).alias(name)
+    return rows.groupBy("strategy").agg(total("refs", "logical_chunks"), total(F.col("refs") * F.col("length"), "logical_bytes"), total(F.col("miss").cast("long"), "misses"), total(F.col("refs") - F.col("miss"), "hits"), total((F.col("miss") * F.col("length")).cast("long"), "new_bytes"))
 
 
 def locate(wanted: DataFrame, packed: DataFrame) -> DataFrame:

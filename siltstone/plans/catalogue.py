@@ -13,15 +13,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import columns as C
-from siltstone.functions.gear import gear_table, low_ones, mask_bits
-from siltstone.operators import chunking, dedup, snapshots
+from siltstone.functions.config import mismatches
+from siltstone.functions.gear import GEAR_SEED, low_ones, mask_bits
+from siltstone.operators import chunking, dedup, resync, snapshots
 from siltstone.operators.chunking import ChunkConfig
+from siltstone.operators.ordering import running_total
+from siltstone.repository import SNAPSHOTS, Repository
 from siltstone.sources import formats
+from siltstone.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FIXED, CDC = ChunkConfig.of_kib(1, fixed=True), ChunkConfig.of_kib(1)
+STRATEGIES = {"cdc 1K": CDC, "fixed 1K": FIXED, "cdc 8K": ChunkConfig.of_kib(8), "fixed 8K": ChunkConfig.of_kib(8, fixed=True)}
 MODE, MTIME = 33188, 1_700_000_000
 IDS = ("20240101-000000", "20240102-000000")
 
@@ -55,25 +60,41 @@ def files(spark: SparkSession, sf_dir: str, snapshot: str = "A") -> DataFrame:
     return rows.unionByName(empty).select("path", "edit", F.lit(MODE).alias("mode"), F.lit(MTIME).cast("long").alias("mtime_unix"), "content")
 
 
+def recipes(spark: SparkSession, sf_dir: str, snapshot: str = "A", config: ChunkConfig = FIXED) -> DataFrame:
+    """path, edit, mode, mtime_unix, size, file_digest and chunks: one pass over the files, no bytes behind it."""
+    return chunking.recipes(files(spark, sf_dir, snapshot), config, keep=("edit", "mode", "mtime_unix"))
+
+
 def chunked(spark: SparkSession, sf_dir: str, snapshot: str = "A", config: ChunkConfig = FIXED) -> DataFrame:
-    return chunking.chunks(files(spark, sf_dir, snapshot), config)
+    return chunking.chunks_of(recipes(spark, sf_dir, snapshot, config))
+
 
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes of both snapshots, written: what a query asks of chunks it asks of this table."""
+    rows = [recipes(spark, sf_dir, s).withColumn("snapshot_id", F.lit(i)) for s, i in zip("AB", IDS, strict=True)]
+    return materialize(rows[0].unionByName(rows[1]), "recipes")
 
-def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [snapshots.build_manifest(files(spark, sf_dir, s), chunked(spark, sf_dir, s)).withColumn("snapshot_id", F.lit(i)) for s, i in zip("AB", IDS, strict=True)]
-    return both[0].unionByName(both[1])
 
+def manifests(spark: SparkSession, sf_dir: str, both: DataFrame | None = None) -> DataFrame:
+    if both is None:
+        rows = [recipes(spark, sf_dir, s).withColumn("snapshot_id", F.lit(i)) for s, i in zip("AB", IDS, strict=True)]
+        both = rows[0].unionByName(rows[1])
+    return snapshots.manifest_of(both.drop("edit"))
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """digest, length and data of the distinct chunks of both snapshots."""
-    data = [chunking.chunks(files(spark, sf_dir, s), FIXED).select("path", "seq", "offset", "length", "digest").join(files(spark, sf_dir, s).select("path", "content"), "path") for s in "AB"]
-    rows = data[0].unionByName(data[1]).select("digest", "length", C.cut(F.col("content"), F.col("offset"), F.col("length")).alias("data"))
-    return rows.dropDuplicates(["digest"])
 
+def stored(spark: SparkSession, sf_dir: str, both: DataFrame) -> DataFrame:
+    """digest, length and data of the distinct chunks of both snapshots; bytes are cut from the file of a chunk's first reference alone."""
+    refs = chunking.chunks_of(both, keep=("snapshot_id",))
+    first = refs.groupBy("digest").agg(F.min(F.struct("snapshot_id", "path", "offset", "length")).alias("f"))
+    wanted = first.groupBy("f.snapshot_id", "f.path").agg(F.collect_list(F.struct("digest", "f.offset", "f.length")).alias("chunks"))
+    whole = [files(spark, sf_dir, s).select(F.lit(i).alias("snapshot_id"), "path", "content") for s, i in zip("AB", IDS, strict=True)]
+    rows = whole[0].unionByName(whole[1]).join(wanted, ["snapshot_id", "path"]).select("content", F.explode("chunks").alias("c"))
+    return rows.select("c.digest", "c.length", C.cut(F.col("content"), F.col("c.offset"), F.col("c.length")).alias("data"))
 
-def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def faulty(spark: SparkSession, sf_dir: str, both: DataFrame) -> DataFrame:
     """Stored chunks with faults: digests that begin with 00 are missing, with 01 corrupt."""
-    rows = stored(spark, sf_dir).filter(~F.col("digest").startswith("00"))
+    rows = stored(spark, sf_dir, both).filter(~F.col("digest").startswith("00"))
     return rows.withColumn("data", F.when(F.col("digest").startswith("01"), F.concat("data", F.lit(b"!"))).otherwise(F.col("data")))
 
 
@@ -123,7 +144,19 @@ def file_digest(spark, sf_dir):
     return rows.select("path", F.octet_length("c").cast("long").alias("size"), C.sha256(F.col("c")).alias("digest"))
 
 
-@query()
+def _crc_table_sql() -> str:
+    """CTEs up to crc(t): the 256 numbers of the reversed CRC-32 polynomial, each by eight halvings."""
+    halve = lambda k: f"step{k + 1} AS (SELECT i, xor(x >> 1, CASE WHEN x % 2 = 1 THEN {0xEDB88320}::BIGINT ELSE 0::BIGINT END) AS x FROM step{k})"
+    return "step0 AS (SELECT i, CAST(i AS BIGINT) AS x FROM range(256) r(i)), " + ", ".join(map(halve, range(8))) + ", crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM step8)"
+
+
+def _crc_sql(raw: str) -> str:
+    """CRC-32 of a blob, with the table in ``t``."""
+    bytes_ = f"list_transform(regexp_extract_all(hex({raw}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}::BIGINT, {bytes_}), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INTEGER) + 1])), {0xFFFFFFFF}::BIGINT)"
+
+
+@query(f"WITH {_FILES}, {_crc_table_sql()}, checked AS (SELECT path, c FROM a UNION ALL SELECT 'check', '123456789'::BLOB) SELECT path, {_crc_sql('c')} AS crc32 FROM checked, crc")
 def crc32_check(spark, sf_dir):
     check = spark.range(1).select(F.lit("check").alias("path"), F.lit(b"123456789").alias("content"))
     return files(spark, sf_dir).select("path", "content").unionByName(check).select("path", F.crc32("content").alias("crc32"))
@@ -142,8 +175,12 @@ def snapshot_id(spark, sf_dir):
 
 @query("SELECT strftime(o_orderdate, '%Y%m%d-%H%M%S') AS snapshot_id, count(*) AS files, CAST(row_number() OVER (ORDER BY strftime(o_orderdate, '%Y%m%d-%H%M%S')) AS INTEGER) AS place FROM orders GROUP BY 1")
 def list_snapshots(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(C.snapshot_id(F.col("o_orderdate")).alias("snapshot_id")).agg(F.count(F.lit(1)).alias("files"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("snapshot_id")))
+    """A repository whose snapshots are the orders' dates, listed; the place is that in the list."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(C.snapshot_id(F.col("o_orderdate")).alias("snapshot_id")).agg(F.count(F.lit(1)).alias("file_count"))
+    repo = Repository.create(spark, new_path(spark, "listed"))
+    spark.createDataFrame([], SNAPSHOTS).unionByName(rows, allowMissingColumns=True).write.parquet(f"{repo.path}/snapshots")
+    listed = repo.list_snapshots().select("snapshot_id", F.col("file_count").alias("files"))
+    return listed.withColumn("place", F.row_number().over(Window.orderBy("snapshot_id")))  # snapshots are few
 
 
 def _edit_query(change: Callable, expression: str, name: str) -> None:
@@ -166,44 +203,83 @@ def fixed_spans(spark, sf_dir):
     return chunking.fixed_spans(files(spark, sf_dir), FIXED.avg_size)
 
 
-def _cdc_sql(select: str, config: ChunkConfig = CDC) -> str:
-    """Cuts of content-defined chunking by windows and a recursive search for the next cut."""
+def _gear_sql() -> str:
+    """CTEs up to gear(v, g): the table's 256 numbers, by the 64-bit Mersenne twister in SQL."""
+    m = 1 << 64
+    twist = lambda a, b: f"xor({a} >> 1, CASE WHEN ({b}) % 2 = 1 THEN {0xB5026F5AA96619E9}::HUGEINT ELSE 0::HUGEINT END)"
+    mixed = "(s1.x - s1.x % 2147483648 + s2.x % 2147483648)"
+    word = lambda far: f"xor({far}, {twist(mixed, 's2.x')})"
+    temper = [f"xor(x, (x >> 29) & {0x5555555555555555}::HUGEINT)", f"xor(x, ((x & {(1 << 47) - 1}::HUGEINT) << 17) & {0x71D67FFFEDA60000}::HUGEINT)", f"xor(x, ((x & {(1 << 27) - 1}::HUGEINT) << 37) & {0xFFF7EEE000000000}::HUGEINT)", "xor(x, x >> 43)"]
+    steps = ", ".join(f"temper{k + 1} AS (SELECT i, {x} AS x FROM {'twisted' if not k else f'temper{k}'})" for k, x in enumerate(temper))
+    return f"""
+seeds(i, x) AS (SELECT 0, {GEAR_SEED}::HUGEINT UNION ALL SELECT i + 1, ({6364136223846793005}::HUGEINT * xor(x, x >> 62) + i + 1) % {m}::HUGEINT FROM seeds WHERE i < 311),
+low AS (SELECT s1.i, {word("far.x")} AS x FROM seeds s1 JOIN seeds s2 ON s2.i = s1.i + 1 JOIN seeds far ON far.i = s1.i + 156 WHERE s1.i < 156),
+high AS (SELECT s1.i, {word("far.x")} AS x FROM seeds s1 JOIN seeds s2 ON s2.i = s1.i + 1 JOIN low far ON far.i = s1.i - 156 WHERE s1.i BETWEEN 156 AND 255),
+twisted AS (SELECT * FROM low UNION ALL SELECT * FROM high), {steps},
+gear64 AS MATERIALIZED (SELECT i AS v, x AS g FROM temper4)"""
+
+
+def _cuts_sql(config: ChunkConfig, table: str, name: str = "spans") -> str:
+    """CTEs up to a table of the spans of content-defined chunks: hash windows, and a recursive search for the next cut."""
     strict, loose = mask_bits(config.avg_size)
-    mask = low_ones(strict)
-    gear = ", ".join(f"({i}, {int(g) & mask})" for i, g in enumerate(gear_table()))
+    mask, n = low_ones(strict), name
     full = " + ".join(f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}" for k in range(strict))
     shorts = [" + ".join(f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}" for k in range(m + 1)) for m in range(strict - 1)]
     seen = ", ".join(f"({x}) & {mask} = 0 AS s{m}, ({x}) & {low_ones(loose)} = 0 AS l{m}" for m, x in enumerate(shorts))
-    any_short = " OR ".join(f"s{m}" for m in range(strict - 1))
-    pick = " ".join(f"WHEN p - start - {config.min_size} = {m} THEN (p - start < {config.avg_size} AND s{m}) OR (p - start >= {config.avg_size} AND l{m})" for m in range(strict - 1))
+    any_short = " OR ".join(f"l{m}" for m in range(strict - 1))
+    pick = " ".join(f"WHEN p - f.cut - {config.min_size} = {m} THEN (p - f.cut < {config.avg_size} AND s{m}) OR (p - f.cut >= {config.avg_size} AND l{m})" for m in range(strict - 1))
     keep = ", ".join(f"s{m}, l{m}" for m in range(strict - 1))
     return f"""
-WITH RECURSIVE {_FILES}, gear(v, g) AS (VALUES {gear}),
-bytes AS (SELECT path, octet_length(c) AS n, unnest(regexp_extract_all(hex(c), '..')) AS h, generate_subscripts(regexp_extract_all(hex(c), '..'), 1) - 1 AS p FROM a),
-hashed AS (SELECT path, n, p, g FROM bytes JOIN gear ON v = CAST('0x' || h AS INTEGER)),
-tested AS (SELECT path, p, ({full}) & {mask} = 0 AS strict, ({full}) & {low_ones(loose)} = 0 AS loose, {seen} FROM hashed WINDOW w AS (PARTITION BY path ORDER BY p)),
-hits AS MATERIALIZED (SELECT path, p, strict, loose, {keep} FROM tested WHERE strict OR loose OR {any_short}),
-sizes AS (SELECT path, octet_length(c) AS n FROM a WHERE octet_length(c) > 0),
-walk(path, n, seq, start, cut, defined) AS (
-  SELECT path, n, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM sizes
+{n}_bytes AS (SELECT snapshot_id, path, unnest(regexp_extract_all(hex(c), '..')) AS h, generate_subscripts(regexp_extract_all(hex(c), '..'), 1) - 1 AS p FROM {table}),
+{n}_hashed AS (SELECT snapshot_id, path, p, CAST(gear64.g % {mask + 1} AS BIGINT) AS g FROM {n}_bytes JOIN gear64 ON v = CAST('0x' || h AS INTEGER)),
+{n}_tested AS (SELECT snapshot_id, path, p, ({full}) & {mask} = 0 AS strict, ({full}) & {low_ones(loose)} = 0 AS loose, {seen} FROM {n}_hashed WINDOW w AS (PARTITION BY snapshot_id, path ORDER BY p)),
+{n}_hits AS MATERIALIZED (SELECT snapshot_id, path, p, strict, loose, {keep} FROM {n}_tested WHERE loose OR {any_short}),
+{n}_walk(snapshot_id, path, n, seq, start, cut, defined) AS (
+  SELECT snapshot_id, path, octet_length(c), -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM {table} WHERE octet_length(c) > 0
   UNION ALL
-  SELECT f.path, f.n, f.seq + 1, f.cut,
+  SELECT f.snapshot_id, f.path, f.n, f.seq + 1, f.cut,
     CASE WHEN f.n - f.cut <= {config.min_size} THEN f.n ELSE coalesce(min(h.p) + 1, least(f.n, f.cut + {config.max_size})) END,
     f.n - f.cut > {config.min_size} AND min(h.p) IS NOT NULL
-  FROM (SELECT *, cut AS start_ FROM walk WHERE cut < n) f LEFT JOIN (SELECT * FROM hits) h
-    ON h.path = f.path AND h.p >= f.cut + {config.min_size} AND h.p < least(f.n, f.cut + {config.max_size})
-    AND CASE {pick.replace("start", "f.cut")} WHEN p - f.cut < {config.avg_size} THEN strict ELSE loose END
-  GROUP BY f.path, f.n, f.seq, f.cut
-), spans AS (SELECT path, CAST(seq AS INTEGER) AS seq, start AS "offset", CAST(cut - start AS INTEGER) AS length, defined AS content_defined FROM walk WHERE seq >= 0)
+  FROM (SELECT * FROM {n}_walk WHERE cut < n) f LEFT JOIN (SELECT * FROM {n}_hits) h
+    ON h.snapshot_id = f.snapshot_id AND h.path = f.path AND h.p >= f.cut + {config.min_size} AND h.p < least(f.n, f.cut + {config.max_size})
+    AND CASE {pick} WHEN p - f.cut < {config.avg_size} THEN strict ELSE loose END
+  GROUP BY f.snapshot_id, f.path, f.n, f.seq, f.cut
+), {n} AS (SELECT snapshot_id, path, CAST(seq AS INTEGER) AS seq, start AS "offset", CAST(cut - start AS INTEGER) AS length, defined AS content_defined FROM {n}_walk WHERE seq >= 0)"""
+
+
+def _cdc_sql(select: str, config: ChunkConfig = CDC, table: str = "only_a") -> str:
+    """A query of content-defined spans, and chunks with their digests, of snapshot A or (``ab``) of both."""
+    return f"""
+WITH RECURSIVE {_FILES}, only_a AS (SELECT * FROM ab WHERE snapshot_id = '{IDS[0]}'), {_gear_sql()}, {_cuts_sql(config, table)},
+chunks AS (SELECT s.*, t.edit, sha256({_CUT.format("t.c", 's."offset"', "s.length")}) AS digest FROM spans s JOIN {table} t ON t.snapshot_id = s.snapshot_id AND t.path = s.path),
+ca AS (SELECT * FROM chunks WHERE snapshot_id = '{IDS[0]}'), cb AS (SELECT * FROM chunks WHERE snapshot_id = '{IDS[1]}')
 {select}"""
 
 
-@query(_cdc_sql("SELECT * FROM spans"))
+def _strategy_sql() -> str:
+    """Chunks of both snapshots by every strategy, and what is new in the second."""
+    cuts, rows = [], []
+    for k, (name, config) in enumerate(STRATEGIES.items()):
+        if config.strategy == "cdc":
+            cuts.append(_cuts_sql(config, "ab", f"spans{k}"))
+            rows.append(f"SELECT '{name}' AS strategy, s.snapshot_id, s.length, sha256({_CUT.format('t.c', 's."offset"', 's.length')}) AS digest FROM spans{k} s JOIN ab t ON t.snapshot_id = s.snapshot_id AND t.path = s.path")
+        else:
+            size = config.avg_size
+            piece = f"c[CAST(i * {size} + 1 AS BIGINT):CAST((i + 1) * {size} AS BIGINT)]"
+            rows.append(f"SELECT '{name}', snapshot_id, CAST(octet_length({piece}) AS INTEGER), sha256({piece}) FROM (SELECT *, unnest(range(0, (octet_length(c) + {size - 1}) // {size})) AS i FROM ab)")
+    return f"""
+WITH RECURSIVE {_FILES}, {_gear_sql()}, {", ".join(cuts)}, chunks AS ({" UNION ALL ".join(rows)}),
+by_chunk AS (SELECT strategy, digest, min(length) AS length, count(*) FILTER (WHERE snapshot_id = '{IDS[1]}') AS refs, CAST(NOT bool_or(snapshot_id = '{IDS[0]}') AS INTEGER) AS miss FROM chunks GROUP BY strategy, digest)
+SELECT strategy, CAST(sum(refs) AS BIGINT) AS logical_chunks, CAST(sum(refs * length) AS BIGINT) AS logical_bytes, CAST(sum(miss) AS BIGINT) AS misses, CAST(sum(refs - miss) AS BIGINT) AS hits,
+  CAST(sum(miss * length) AS BIGINT) AS new_bytes FROM by_chunk WHERE refs > 0 GROUP BY strategy"""
+
+
+@query(_cdc_sql('SELECT path, seq, "offset", length, content_defined FROM spans'))
 def cdc_spans(spark, sf_dir):
     return chunking.cdc_spans(files(spark, sf_dir), CDC)
 
 
-@query()
+@query(_cdc_sql('SELECT path, seq, "offset", length, content_defined, digest FROM chunks'))
 def cdc_chunks(spark, sf_dir):
     return chunked(spark, sf_dir, "A", CDC)
 
@@ -286,26 +362,40 @@ def manifest_build(spark, sf_dir):
     return manifests(spark, sf_dir).select("snapshot_id", "path", "mode", "size", "mtime_unix", "file_digest", F.array_join("chunk_digests", " ").alias("chunks"))
 
 
-@query(_manifest_sql(f"SELECT path, size, file_digest, CAST(len(chunk_digests) AS INTEGER) AS chunks FROM manifest WHERE snapshot_id = '{IDS[1]}'"))
+@query(_manifest_sql("SELECT snapshot_id, path, CAST(mode AS BIGINT) AS mode, size, mtime_unix, file_digest, array_to_string(chunk_digests, ' ') AS chunks FROM manifest"))
 def manifest_scan(spark, sf_dir):
-    return manifests(spark, sf_dir).filter(F.col("snapshot_id") == IDS[1]).select("path", "size", "file_digest", F.size("chunk_digests").alias("chunks"))
+    """Manifests of both snapshots in their binary format, read back."""
+    written = formats.write_manifests(manifests(spark, sf_dir))
+    return formats.read_manifests(written).withColumn("chunks", F.array_join("chunk_digests", " ")).drop("chunk_digests")
+
+
+@query(_manifest_sql(f"""SELECT count(*) FILTER (WHERE n = 0) = count(*) AS equal, count(*) FILTER (WHERE n > 0) AS only_left, count(*) FILTER (WHERE n < 0) AS only_right FROM (
+  SELECT sum(CASE snapshot_id WHEN '{IDS[0]}' THEN 1 ELSE -1 END) AS n FROM manifest GROUP BY path, mode, size, mtime_unix, file_digest, chunk_digests)"""))
+def manifest_equality(spark, sf_dir):
+    """Whether the manifests of both snapshots are equal, and how many entries only one has."""
+    rows = manifests(spark, sf_dir)
+    sides = [rows.filter(F.col("snapshot_id") == i).drop("snapshot_id") for i in IDS]
+    return snapshots.same_manifests(*sides)
 
 
 @query(f"WITH {_FILES} SELECT lang, path, CAST(row_number() OVER (PARTITION BY lang ORDER BY path) AS INTEGER) AS place FROM (SELECT path, split_part(path, '/', 1) AS lang FROM a)")
 def manifest_order(spark, sf_dir):
     rows = files(spark, sf_dir).select("path", F.substring_index("path", "/", 1).alias("lang"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("path")))
+    before = running_total(rows, ["path"], F.lit(1), "before", ("lang",))
+    return before.select("lang", "path", (F.col("before") + 1).cast("int").alias("place"))
 
 
 @query(f"WITH {_FILES} SELECT snapshot_id, path, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS digest FROM ab")
 def restore(spark, sf_dir):
-    rows = snapshots.restore(manifests(spark, sf_dir), stored(spark, sf_dir))
+    both = _both(spark, sf_dir)
+    rows = snapshots.restore(manifests(spark, sf_dir, both), stored(spark, sf_dir, both))
     return rows.select("snapshot_id", "path", F.octet_length("content").cast("long").alias("size"), C.sha256(F.col("content")).alias("digest"))
 
 
 @query(f"WITH {_FILES} SELECT snapshot_id, path, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS digest, true AS ok FROM ab")
 def restore_check(spark, sf_dir):
-    return snapshots.check_restored(snapshots.restore(manifests(spark, sf_dir), stored(spark, sf_dir)))
+    both = _both(spark, sf_dir)
+    return snapshots.check_restored(snapshots.restore(manifests(spark, sf_dir, both), stored(spark, sf_dir, both)))
 
 
 @query(f"WITH {_FILES} SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' ELSE 'differs' END AS state FROM a FULL JOIN b ON a.path = b.path WHERE a.c IS DISTINCT FROM b.c")
@@ -318,20 +408,23 @@ _STATUS = "CASE left(digest, 2) WHEN '00' THEN 'missing' WHEN '01' THEN 'corrupt
 
 @query(sql(f"SELECT DISTINCT digest, {_STATUS} AS status FROM chunks"))
 def verify_chunks(spark, sf_dir):
-    return snapshots.chunk_status(manifests(spark, sf_dir), faulty(spark, sf_dir))
+    both = _both(spark, sf_dir)
+    return snapshots.chunk_status(manifests(spark, sf_dir, both), faulty(spark, sf_dir, both))
 
 
 @query(sql(f"SELECT snapshot_id, path, seq, digest, {_STATUS} AS status FROM chunks WHERE {_STATUS} <> 'ok'"))
 def verify_missing(spark, sf_dir):
-    rows = manifests(spark, sf_dir)
-    return snapshots.issues(rows, snapshots.chunk_status(rows, faulty(spark, sf_dir)))
+    both = _both(spark, sf_dir)
+    rows = manifests(spark, sf_dir, both)
+    return snapshots.issues(rows, snapshots.chunk_status(rows, faulty(spark, sf_dir, both)))
 
 
 @query(sql(f"""SELECT (SELECT count(DISTINCT snapshot_id) FROM ab) AS snapshots_checked, (SELECT count(*) FROM ab) AS files_checked, count(*) AS references_checked,
   count(DISTINCT CASE WHEN {_STATUS} = 'ok' THEN digest END) AS unique_chunks_verified, CAST(count_if({_STATUS} <> 'ok') AS BIGINT) AS issues FROM chunks"""))
 def verify_summary(spark, sf_dir):
-    rows = manifests(spark, sf_dir)
-    return snapshots.verify_summary(rows, snapshots.chunk_status(rows, faulty(spark, sf_dir)))
+    both = _both(spark, sf_dir)
+    rows = manifests(spark, sf_dir, both)
+    return snapshots.verify_summary(rows, snapshots.chunk_status(rows, faulty(spark, sf_dir, both)))
 
 
 @query(sql("SELECT digest, snapshot_id, path, seq FROM chunks QUALIFY row_number() OVER (PARTITION BY digest ORDER BY snapshot_id, path, seq) = 1"))
@@ -380,43 +473,62 @@ def identity_only_new(spark, sf_dir):
     return dedup.only_first(chunked(spark, sf_dir, "B"), chunked(spark, sf_dir, "A"))
 
 
-@query()
+@query(_cdc_sql(_COMPARE, table="ab"))
 def identity_compare_cdc(spark, sf_dir):
     return dedup.compare(chunked(spark, sf_dir, "A", CDC), chunked(spark, sf_dir, "B", CDC))
 
 
-@query()
+@query(_strategy_sql())
 def strategy_compare(spark, sf_dir):
-    """New chunks and bytes of snapshot B by strategy and size."""
-    out = None
-    for name, config in (("cdc 1K", CDC), ("fixed 1K", FIXED), ("cdc 8K", ChunkConfig.of_kib(8)), ("fixed 8K", ChunkConfig.of_kib(8, fixed=True))):
-        a = dedup.unique_chunks(chunked(spark, sf_dir, "A", config))
-        row = dedup.dedup_summary(chunked(spark, sf_dir, "B", config), a).select(F.lit(name).alias("strategy"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """New chunks and bytes of snapshot B by strategy and size: one pass over each snapshot's bytes."""
+    old, new = (chunking.chunks_by_strategy(files(spark, sf_dir, s), STRATEGIES) for s in "AB")
+    return dedup.summary_by_strategy(old, new)
 
 
-@query(sql("""SELECT new_chunks, count(*) AS files, min(edit) AS least_edit, max(edit) AS largest_edit FROM (
+_RESYNC = """SELECT new_chunks, count(*) AS files, min(edit) AS least_edit, max(edit) AS largest_edit FROM (
   SELECT b.path, b.edit, count(DISTINCT cb.digest) FILTER (WHERE ca.digest IS NULL) AS new_chunks FROM b JOIN cb ON b.path = cb.path LEFT JOIN (SELECT DISTINCT path, digest FROM ca) ca ON ca.path = cb.path AND ca.digest = cb.digest GROUP BY b.path, b.edit)
-GROUP BY new_chunks"""))
+GROUP BY new_chunks"""
+
+
+@query(sql(_RESYNC))
 def resync_distribution(spark, sf_dir):
     """How many files have how many chunks that their former version lacks."""
     return _resync(spark, sf_dir, FIXED)
 
 
 def _resync(spark, sf_dir, config):
-    new = chunked(spark, sf_dir, "B", config).select("path", "digest").distinct()
-    old = chunked(spark, sf_dir, "A", config).select("path", "digest").distinct().withColumn("old", F.lit(1))
-    counts = new.join(old, ["path", "digest"], "left").groupBy("path").agg(F.count_if(F.col("old").isNull()).alias("new_chunks"))
-    rows = counts.join(files(spark, sf_dir, "B").select("path", "edit"), "path")
-    return rows.groupBy("new_chunks").agg(F.count(F.lit(1)).alias("files"), F.min("edit").alias("least_edit"), F.max("edit").alias("largest_edit"))
+    old, new = recipes(spark, sf_dir, "A", config), recipes(spark, sf_dir, "B", config)
+    return resync.distribution(old.select("path", "chunks"), new.select("path", "edit", "chunks"))
 
 
-@query()
+@query(_cdc_sql(_RESYNC, table="ab"))
 def resync_distribution_cdc(spark, sf_dir):
     return _resync(spark, sf_dir, CDC)
 
 
+TRIALS = 50
+
+
+@query(f"""WITH {_FILES}, trials AS (SELECT path, t, c, (CAST('0x' || substr(md5(path || '#' || t), 1, 12) AS BIGINT) % (octet_length(c) + 1)) AS place FROM a, range({TRIALS}) r(t) WHERE octet_length(c) > 0),
+edited AS (SELECT path, t, c[1:place] || '\\xAB'::BLOB || c[place + 1:octet_length(c)] AS d FROM trials),
+parts AS (SELECT path, t, d, unnest(range(0, (octet_length(d) + {FIXED.avg_size - 1}) // {FIXED.avg_size})) AS i FROM edited),
+new AS (SELECT DISTINCT path, t, sha256(d[CAST(i * {FIXED.avg_size} + 1 AS BIGINT):CAST((i + 1) * {FIXED.avg_size} AS BIGINT)]) AS digest FROM parts),
+ap AS (SELECT path, c, unnest(range(0, (octet_length(c) + {FIXED.avg_size - 1}) // {FIXED.avg_size})) AS i FROM a),
+old AS (SELECT DISTINCT path, sha256(c[CAST(i * {FIXED.avg_size} + 1 AS BIGINT):CAST((i + 1) * {FIXED.avg_size} AS BIGINT)]) AS digest FROM ap),
+counts AS (SELECT path, t, count(*) FILTER (WHERE old.digest IS NULL) AS new_chunks FROM new LEFT JOIN old USING (path, digest) GROUP BY path, t)
+SELECT path, CAST(min(new_chunks) AS BIGINT) AS least, CAST(max(new_chunks) AS BIGINT) AS largest, avg(new_chunks) AS mean, count(*) AS trials FROM counts GROUP BY path""")
+def offset_sweep(spark, sf_dir):
+    """Of each file, how many new chunks one byte more makes at TRIALS places: least, largest and mean."""
+    return resync.sweep(files(spark, sf_dir), {"fixed": FIXED}, TRIALS).drop("strategy")
+
+
+@query()
+def offset_sweep_cdc(spark, sf_dir):
+    """The sweep by content-defined chunks, with how many files have which largest count."""
+    rows = resync.sweep(files(spark, sf_dir), {"cdc": CDC}, TRIALS)
+    return rows.groupBy("largest").agg(F.count(F.lit(1)).alias("files"), F.min("least").alias("least"), F.avg("mean").alias("mean"))
+
+
 # Logs and configuration
 
 
@@ -431,7 +543,13 @@ _RECORDS = """r AS (SELECT o_orderkey % 16 AS log, CAST(row_number() OVER (PARTI
   sha256(CAST(o_orderkey % 97 AS VARCHAR)) AS digest, o_orderkey * 1000 AS "offset", CAST(o_orderkey % 65536 AS BIGINT) AS length FROM orders)"""
 
 
-@query()
+def _le_sql(value: str, size: int) -> str:
+    """Hex of the little-endian bytes of a number."""
+    return " || ".join(f"lpad(lower(hex(({value} >> {8 * k}) & 255)), 2, '0')" for k in range(size))
+
+
+@query(f"""WITH {_RECORDS}, {_crc_table_sql()}, bodies AS (SELECT log, k, '01' || digest || {_le_sql('CAST("offset" AS BIGINT)', 8)} || {_le_sql("length", 4)} AS body FROM r)
+SELECT log, k, {_le_sql("CAST(45 AS BIGINT)", 4)} || body || {_le_sql("CAST(sum_ AS BIGINT)", 4)} AS frame FROM (SELECT log, k, body, {_crc_sql("unhex(body)")} AS sum_ FROM bodies, crc)""")
 def wal_encode(spark, sf_dir):
     rows = _records(spark, sf_dir)
     frames = formats.wal_frames(rows.withColumn("k", F.struct("log", "k")))
@@ -452,13 +570,11 @@ def wal_replay(spark, sf_dir):
     return index.select("log", "digest", F.col("offset").cast("long").alias("offset"), "length")
 
 
-_WANTED = {"min_size": 256, "avg_size": 1024, "max_size": 8192}
-
-
-@query("""SELECT p_partkey, concat_ws(', ', CASE WHEN a <> 256 THEN 'min_size' END, CASE WHEN b <> 1024 THEN 'avg_size' END, CASE WHEN c <> 8192 THEN 'max_size' END) AS mismatches
+@query("""SELECT p_partkey, concat_ws(', ', CASE WHEN p_partkey % 7 = 0 THEN 'strategy' END, CASE WHEN a <> 256 THEN 'min_size' END, CASE WHEN b <> 1024 THEN 'avg_size' END, CASE WHEN c <> 8192 THEN 'max_size' END) AS mismatches
 FROM (SELECT p_partkey, 256 * (1 + p_partkey % 2) AS a, 1024 * (1 + p_partkey % 3) AS b, 8192 * (1 + p_partkey % 5) AS c FROM part)""")
 def config_mismatch(spark, sf_dir):
+    """What ``Repository.require`` would say of each of many configurations."""
     key = F.col("p_partkey")
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (256 * (1 + key % 2)).alias("min_size"), (1024 * (1 + key % 3)).alias("avg_size"), (8192 * (1 + key % 5)).alias("max_size"))
-    wrong = [F.when(~F.col(name).eqNullSafe(F.lit(value)), F.lit(name)) for name, value in _WANTED.items()]
-    return rows.select("p_partkey", F.concat_ws(", ", *wrong).alias("mismatches"))
+    strategy = F.when(key % 7 == 0, F.lit("fixed")).otherwise(F.lit("cdc"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", strategy.alias("strategy"), (256 * (1 + key % 2)).alias("min_size"), (1024 * (1 + key % 3)).alias("avg_size"), (8192 * (1 + key % 5)).alias("max_size"))
+    return rows.select("p_partkey", F.concat_ws(", ", mismatches(CDC)).alias("mismatches"))

@@ -81,6 +81,19 @@ def decode_manifest(raw: bytes) -> dict:
     return {"snapshot_id": name.rstrip(b"\0").decode(), "created_unix": created, "files": files}
 
 
+def write_manifests(manifests: DataFrame, created_unix: int = 0) -> DataFrame:
+    """snapshot_id and content, the binary manifest, of every snapshot: one file each, as the format has it."""
+    entry = ("path", "mode", "size", "mtime_unix", "file_digest", "chunk_digests")
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            raw = [encode_manifest(i, created_unix, files.as_py()) for i, files in zip(ids, batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["snapshot_id", "content"])
+
+    return manifests.groupBy("snapshot_id").agg(F.collect_list(F.struct(*entry)).alias("files")).mapInArrow(run, "snapshot_id string, content binary")
+
+
 MANIFEST_ROWS = "snapshot_id string, path string, mode long, size long, mtime_unix long, file_digest string, chunk_digests array<string>"
 
 
@@ -98,18 +111,21 @@ def read_manifests(files: DataFrame) -> DataFrame:
     return files.select("content").mapInArrow(run, MANIFEST_ROWS)
 
 
-def wal_frames(records: DataFrame) -> DataFrame:
+def wal_frames(records: DataFrame, record_type: int = WAL_TYPE) -> DataFrame:
     """k and frame (53 bytes) of records of k, digest (hex), offset and length."""
-    body = F.concat(F.lit(bytes([WAL_TYPE])), F.unhex("digest"), le_bytes(F.col("offset"), 8), le_bytes(F.col("length"), 4))
+    body = F.concat(F.lit(bytes([record_type])), F.unhex("digest"), le_bytes(F.col("offset"), 8), le_bytes(F.col("length"), 4))
     return records.select("k", F.concat(le_bytes(F.lit(WAL_BODY), 4), body, le_bytes(F.crc32(body), 4)).alias("frame"))
 
 
-def wal_records(logs: DataFrame, key: str = "log", content: str = "content") -> DataFrame:
-    """Frames of each log up to the first bad or incomplete one: log, k, digest, offset, length."""
+def wal_records(logs: DataFrame, key: str = "log", content: str = "content", types: tuple[int, ...] = (WAL_TYPE,)) -> DataFrame:
+    """Frames of each log up to the first bad or incomplete one: log, k, digest, offset, length.
+
+    A frame of another type than ``types`` is a bad one; all types share the frame's size.
+    """
     n = F.octet_length(content)
     frames = logs.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(n / F.lit(WAL_FRAME)).cast("int")), lambda i: F.substring(F.col(content), i * WAL_FRAME + 1, F.lit(WAL_FRAME)))).alias("k", "raw"))
     body = F.substring("raw", 5, WAL_BODY)
-    ok = (F.octet_length("raw") == WAL_FRAME) & (le_number(F.col("raw"), 1, 4) == WAL_BODY) & (le_number(F.col("raw"), 5, 1) == WAL_TYPE) & (F.crc32(body).cast("decimal(20,0)") == le_number(F.col("raw"), 50, 4))
+    ok = (F.octet_length("raw") == WAL_FRAME) & (le_number(F.col("raw"), 1, 4) == WAL_BODY) & le_number(F.col("raw"), 5, 1).isin(*types) & (F.crc32(body).cast("decimal(20,0)") == le_number(F.col("raw"), 50, 4))
     valid = F.min(ok.cast("int")).over(Window.partitionBy(key).orderBy("k"))
     rows = frames.withColumn("_valid", valid).filter("_valid = 1")
     return rows.select(key, "k", F.lower(F.hex(F.substring("raw", 6, 32))).alias("digest"), le_number(F.col("raw"), 38, 8).alias("offset"), le_number(F.col("raw"), 46, 4).cast("long").alias("length"))

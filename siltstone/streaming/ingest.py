@@ -11,11 +11,14 @@ from siltstone.repository import Repository
 def ingest(files: DataFrame, repo: Repository, checkpoint: str) -> StreamingQuery:
     """Start backing up a stream of (path, mode, mtime_unix, content).
 
-    A batch that is replayed after a failure stores no chunk twice: its digests are in the index by then.
+    A snapshot is labelled by the stream's checkpoint and the batch's number, so a batch that is replayed after
+    its commit makes no second one; replayed before it, its chunks are in the index by then.
     """
+    return files.writeStream.foreachBatch(lambda batch, number: store(batch, number, repo, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def store(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            repo.backup(batch)
 
-    return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def store(batch: DataFrame, number: int, repo: Repository, stream: str) -> None:
+    """Back up one micro-batch, once."""
+    label = f"{stream}#{number}"
+    if not repo.has_label(label) and not batch.isEmpty():
+        repo.backup(batch, label=label)
