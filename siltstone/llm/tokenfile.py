@@ -1,24 +1,25 @@
 """Token ids in compressed binary blocks: an adaptive context-mixing range coder.
 
 A segment holds whole documents in ascending order of their ids: the documents' ids and lengths, and
-the token ids of all of them, cut into blocks of BLOCK ids. Every block is coded on its own: the
-models start anew, and its CRC-32 is kept and verified, so a block can be read without the others.
-
-Models of a block: order-2 and order-1 tables remember which id followed the last two ids or the last
-id, with a confidence each. The better prediction is offered first; the probability that it is right is
-mixed from two adaptive estimates (by the order-2 and by the order-1 confidence) with an adaptive
-weight. Failing that, an order-0 model of BUCKETS classes of ids, and of one class for the other
-prediction, is coded (its shares follow the counts every 8, later every 32 ids), then the id's place
-in its class. All of it makes one step of a range coder with 64-bit state and 16-bit words. Blocks are
-coded side by side, one step of all blocks at a time; the last one is filled up with zeros, which are
-left out again.
-
-Bytes of a segment, little-endian: "SILTIDS1", u32 ids in all, u32 ids a block, then for each block
-u32 words and u32 CRC-32 of its ids as u32, then the words of all blocks, u16 each.
-
-Defined cases: null and empty texts have the end id only; rows with equal ids are ordered by text and
-all kept; rows without an id come first; an empty table makes no segment; very long texts make long
-segments; other columns aren't carried along.
+the token ids of all of them, cut into blocks of BLOCK ids. Every block is coded on its own: contexts and
+weights start anew, and its CRC-32 is kept and verified, so a block can be read without the others.
+
+Models: order 0 is the share of each id, counted over the segment and kept in its head. The order-2 and
+order-1 tables of a block remember which id followed the last two ids or the last id, with a
+confidence each. The better prediction is offered first; the probability that it is right is mixed from
+two adaptive estimates (by the order-2 and by the order-1 confidence) with an adaptive weight. Failing
+that, the id is coded by its order-0 share. Both make one step of a range coder of 63 bits with words of
+32. Up to LANES blocks are coded side by side, one step of all of them at a time, which bounds the
+memory of tables whatever a segment's length; the last block is filled up, which is left out again.
+
+Bytes of a segment, little-endian: "SILTIDS2", u32 bytes and u32 CRC-32 of the packed head; the head,
+packed with zlib: u32 documents, ids, ids a block, distinct ids, bits of the sum of all shares; i64 ids of
+documents and u8 whether they are null, u32 lengths; u16 distinct ids and u32 shares; u32 words and u32
+CRC-32 of the ids, as u32, of each block. Then the words of all blocks, u32 each.
+
+Defined cases: null and empty texts have the end id only; rows with equal ids are ordered by a hash of
+their text, then by text, and all kept; rows without an id come first; an empty table makes no segment;
+very long texts make long segments; other columns aren't carried along.
 """
 
 from __future__ import annotations
@@ -30,51 +31,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, materialize, tokenizer_path
+from siltstone.llm.common import Memo, documents, materialize, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-MAGIC = b"SILTIDS1"
-BLOCK = 2048
-SEGMENT = 1 << 21  # ids after which a segment is closed
-TABLE_BITS = 11
-ALT = 33  # the order-0 class that stands for the other prediction
-BUCKETS = 34
-_MASK = (1 << TABLE_BITS) - 1
-_SHARES = 512
-_FULL, _MIN = np.uint64((1 << 64) - 1), np.uint64(1 << 48)
-_U64K, _U4G, _SHIFT = np.uint64(1 << 16), np.uint64(1 << 32), np.arange(0, 64, 16).astype(np.uint64)
-_U0, _U1, _U9, _U12, _U16, _U32, _U48, _U4096, _LAST = map(np.uint64, (0, 1, 9, 12, 16, 32, 48, 4096, _SHARES - 1))
-# By confidence and whether the guess was right: is it kept, and its next confidence, from bit 16 on. By weight, order 2's lead and a hit: the next weight.
-_KEEP = np.array([right or sure > 1 for sure in range(8) for right in (False, True)])
-_SURE = np.array([min(sure + 1, 7) if right else max(sure >> 1, 1) for sure in range(8) for right in (False, True)], np.int32) << 16
-_WEIGHT = np.array([min(max(w + (1 if lead == hit else -1), 1), 15) for w in range(16) for lead in (False, True) for hit in (False, True)])
+MAGIC = b"SILTIDS2"
+BLOCK, LANES = 2048, 2048
+SEGMENT = BLOCK * LANES  # ids after which a segment is closed
+TABLE_BITS = 10
+_U = np.uint64
+_TOP, _LOW, _FULL = _U(1 << 31), _U((1 << 31) - 1), _U((1 << 63) - 1)
+# By confidence and whether the guess was right: how the confidence changes, and whether another id takes the place.
+_STEP = np.array([(min(sure + 1, 7) if right else sure >> 1) - sure for sure in range(8) for right in (False, True)], np.int32)
+_TAKEN = np.array([not right and sure < 2 for sure in range(8) for right in (False, True)])
+# By weight, order 2's lead and a hit: the next weight.
+_WEIGHT = np.array([min(max(w + (1 if lead == hit else -1), 1), 15) for w in range(16) for lead in (False, True) for hit in (False, True)], np.int32)
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64  # characters; longer parts aren't kept in the cache
+_SLICE = 1024  # documents that are encoded at a time
 _TOKENIZERS: dict[str, PartEncoder] = {}
-SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<int>, blob binary"
+SEGMENTS = "part int, segment int, first long, n long, blob binary"
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, bits behind the class, and first id of the class, for every 16-bit id: two classes for each bit length."""
-    ids = np.arange(65536)
-    length = np.floor(np.log2(ids + 1.5)).astype(np.int64)
-    rest = np.maximum(length - 1, 0)
-    cls = np.where(length > 0, 2 * length + (((ids + 1) >> rest) & 1) - 1, 0)
-    first = np.zeros(BUCKETS, np.int64)
-    bits = np.zeros(BUCKETS, np.int64)
-    for c in range(ALT):
-        own = np.flatnonzero(cls == c)
-        if len(own):
-            first[c], bits[c] = own[0], rest[own[0]]
-    return cls, bits, first
-
-
-_CLASS, _BITS, _FIRST = _classes()
-_BITS_U = _BITS.astype(np.uint64)
+def _shares(symbols: np.ndarray, distinct: int) -> tuple[np.ndarray, int]:
+    """Share of each symbol, at least one, and the bits of their sum."""
+    bits = max(14, int(distinct - 1).bit_length() + 4)
+    count = np.bincount(symbols, minlength=distinct)
+    share = 1 + count * ((1 << bits) - distinct) // len(symbols)
+    share[count.argmax()] += (1 << bits) - share.sum()
+    return share, bits
 
 
 class _Models:
@@ -83,212 +72,294 @@ class _Models:
     def __init__(self, lanes: int):
         row = np.arange(lanes)
         both = np.stack([row, row + lanes])
-        self.base, self.base16, self.base_class, self.base_share = both << TABLE_BITS, both << 4, row * (BUCKETS + 1), row * _SHARES
-        self.held = np.zeros(2 * lanes << TABLE_BITS, np.int32)  # an id, and its confidence from bit 16 on
-        self.by = np.full(2 * lanes * 16, 1024)  # probabilities of 4096
-        self.weight = np.full(lanes, 8)  # of 16, for order 2
-        self.count = np.tile(np.where(np.arange(BUCKETS) == ALT, 8, _BITS + 1), lanes)
-        self.base_count = row * BUCKETS
-        self.ends = np.zeros((lanes, BUCKETS + 1), np.uint64)
+        self.base, self.base16 = both << TABLE_BITS, both << 4
+        self.held = np.zeros(2 * lanes << TABLE_BITS, np.int32)  # a symbol, and its confidence in the lowest 3 bits
+        self.by = np.full(2 * lanes * 16, 1024, np.int32)  # probabilities of 4096
+        self.weight = np.full(lanes, 8, np.int32)  # of 16, for order 2
         self.key, self.before = np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64)
-        self.context = np.zeros((2, lanes), np.int64)
-        self.step = 0
-
-    def predict(self, find: bool = False) -> np.ndarray:
-        """Probability of 4096 that ``best`` is right; sets best and other, and now and then the classes' shares (``find``: and the class of every share)."""
-        if self.step % (8 if self.step < 64 else 32) == 0:
-            count = self.count.reshape(-1, BUCKETS)
-            share = 1 + np.floor(count * ((_SHARES - BUCKETS) / count.sum(axis=1))[:, None]).astype(np.int64)
-            share[:, -1] += _SHARES - share.sum(axis=1)
-            self.ends[:, 1:] = np.cumsum(share, axis=1)
-            if find:
-                self.class_of = np.repeat(np.tile(np.arange(BUCKETS, dtype=np.uint8), len(share)), share.ravel())
-        self.step += 1
-        self.at = (self.key >> 5 & _MASK) + self.base
-        held = self.held.take(self.at)
-        self.guess, self.sure = held & 65535, held >> 16
-        (p2, p1), second = self.guess, self.sure[0] > 0
-        self.best, self.other = np.where(second, p2, p1), np.where(second, p1, p2)
-        self.context[0], self.context[1] = p1 == p2, second
-        self.seen = (self.sure << 1 | self.context) + self.base16
-        self.q = self.by.take(self.seen)
-        q2, q1 = self.q
-        p = (self.weight * (q2 - q1) >> 4) + q1
-        return np.minimum(np.maximum(p, 24), 4072).astype(np.uint64)
-
-    def update(self, ids: np.ndarray, hit: np.ndarray, cls: np.ndarray) -> None:
-        self.by[self.seen] = self.q + (hit * 4096 - self.q >> 4)
-        self.weight = _WEIGHT.take(self.weight * 4 + (self.q[0] > self.q[1]) * 2 + hit)
-        self.count[self.base_count + cls] += ~hit * 24
-        turn = self.sure << 1 | (self.guess == ids)
-        self.held[self.at] = np.where(_KEEP.take(turn), self.guess, ids) | _SURE.take(turn)
-        self.key[1] = ids * np.int64(40503)
-        self.key[0] = self.key[1] + self.before
-        self.before = ids * np.int64(60493) + 977
-
-
-def _cut(ids: np.ndarray) -> np.ndarray:
-    """Ids as a column for each block, zeros behind the last one's end."""
-    blocks = -(-len(ids) // BLOCK)
+        self.at, self.seen = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int64)
+
+    def predict(self) -> np.ndarray:
+        """Probability of 4096 that ``best`` is right; sets best."""
+        at, seen = self.at, self.seen
+        np.right_shift(self.key, 7, out=at)
+        at &= (1 << TABLE_BITS) - 1
+        at += self.base
+        self.now = held = self.held.take(at)
+        self.guess, self.sure = guess, sure = held >> 3, held & 7
+        second = sure[0] > 0
+        self.best = guess[1] + (guess[0] - guess[1]) * second
+        np.add(sure, sure, out=seen)
+        seen[0] += guess[0] == guess[1]
+        seen[1] += second
+        seen += self.base16
+        self.q = q = self.by.take(seen)
+        return ((q[0] - q[1]) * self.weight >> 4) + q[1]
+
+    def update(self, symbol: np.ndarray, hit: np.ndarray) -> None:
+        q = self.q
+        self.by[self.seen] = q + ((hit * np.int32(4032) + np.int32(32)) - q >> 4)
+        self.weight = _WEIGHT.take((self.weight << 2) + ((q[0] > q[1]) * np.int32(2) + hit))
+        turn = self.sure + self.sure
+        turn += self.guess == symbol
+        held = self.now
+        held += _STEP.take(turn)
+        taken = _TAKEN.take(turn)
+        np.copyto(held, (symbol << 3) + 1, where=taken)
+        self.held[self.at] = held
+        np.multiply(symbol, np.int64(40503), out=self.key[1])
+        np.add(self.key[1], self.before, out=self.key[0])
+        np.multiply(symbol, np.int64(60493), out=self.before)
+
+
+def _cut(symbols: np.ndarray) -> np.ndarray:
+    """Symbols as a column for each block, zeros behind the last one's end."""
+    blocks = -(-len(symbols) // BLOCK)
     grid = np.zeros(blocks * BLOCK, np.int32)
-    grid[: len(ids)] = ids
-    return np.ascontiguousarray(grid.reshape(blocks, BLOCK)[:, : len(ids)].T)
+    grid[: len(symbols)] = symbols
+    return np.ascontiguousarray(grid.reshape(blocks, BLOCK)[:, : len(symbols)].T)
 
 
-def _crcs(grid: np.ndarray, n: int) -> list[int]:
-    return [zlib.crc32(block[: n - k * BLOCK].astype("<u4").tobytes()) for k, block in enumerate(grid.T)]
+def _crcs(ids: np.ndarray) -> list[int]:
+    whole = ids.astype("<u4")
+    return [zlib.crc32(whole[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
 
 
-def encode_ids(ids: np.ndarray) -> bytes:
-    """A segment's bytes from at least one id below 65536."""
-    grid = _cut(ids)
+def _encode(symbols: np.ndarray, share: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words, and the words, of up to LANES blocks."""
+    grid, share = _cut(symbols), share.astype(_U)
+    ends = np.cumsum(share) - share
     lanes = grid.shape[1]
-    models, room = _Models(lanes), 3 * BLOCK + 8
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-    words, first = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+    models, room, shift = _Models(lanes), len(grid) * 2 + 4, _U(bits)
+    low, width = np.zeros(lanes, _U), np.full(lanes, _FULL)
+    words, first = np.zeros(lanes * room, _U), np.arange(lanes) * room
     at = first.copy()
-    for now in grid:
-        p = models.predict()
-        hit = now == models.best
-        cls = np.where(now == models.other, ALT, _CLASS.take(now))
-        unit, bits = width >> _U12, _BITS_U.take(cls)
-        start = models.ends.take(models.base_class + cls)
-        size = models.ends.take(models.base_class + cls + 1) - start
-        right = unit * p
-        share = unit * (_U4096 - p) >> _U9
-        one = share * size >> bits
-        place = np.where(cls == ALT, 0, now - _FIRST.take(cls)).astype(np.uint64)
-        moved = low + np.where(hit, _U0, right + share * start + one * place)
-        over = np.flatnonzero(moved < low)
-        low, width = moved, np.where(hit, right, one)
-        back = at[over] - 1
-        while len(back):
-            words[back] += np.uint16(1)
-            back = back[words[back] == 0] - 1
-        out = width < _MIN
-        words[at] = low >> _U48
+    for symbol in grid:
+        right = (width >> _U(12)) * models.predict().astype(_U)
+        hit = symbol == models.best
+        miss = ~hit
+        unit = (width - right >> shift) * miss
+        low += (right + unit * ends.take(symbol)) * miss
+        width = right * hit + unit * share.take(symbol)
+        # The word that may go out; with bit 32 it carries into the one before.
+        words[at] = low >> _U(31)
+        out = width < _TOP
         at += out
-        shift = out * _U16
-        low, width = low << shift, width << shift
-        again = np.flatnonzero(width < _MIN)
-        while len(again):
-            words[at[again]] = low[again] >> _U48
-            at[again] += 1
-            low[again] <<= _U16
-            width[again] <<= _U16
-            again = again[width[again] < _MIN]
-        models.update(now, hit, cls)
-    for _ in range(4):
-        words[at] = low >> _U48
-        low = low << _U16
+        move = out.astype(_U) << _U(5)
+        np.copyto(low, (low & _LOW) << _U(32), where=out)
+        width <<= move
+        models.update(symbol, hit)
+    for _ in range(2):
+        words[at] = low >> _U(31)
+        low = (low & _LOW) << _U(32)
         at += 1
     used = at - first
-    head = MAGIC + struct.pack("<II", len(ids), BLOCK) + np.stack([used, _crcs(grid, len(ids))], axis=1).astype("<u4").tobytes()
-    return head + words.reshape(lanes, room)[np.arange(room) < used[:, None]].astype("<u2").tobytes()
+    words = words.reshape(lanes, room)[:, : used.max()].T.copy()
+    for k in range(len(words) - 1, 0, -1):
+        words[k - 1] += np.where(k < used, words[k] >> _U(32), _U(0))
+    return used, words.T.astype("<u4")[np.arange(len(words)) < used[:, None]]
+
+
+def _decode(flat: np.ndarray, used: np.ndarray, n: int, share: np.ndarray, bits: int) -> np.ndarray:
+    """Symbols of up to LANES blocks of n symbols in all, from their words."""
+    lanes = len(used)
+    at = np.cumsum(used) - used
+    flat = np.append(flat, np.zeros(2, np.uint32)).astype(_U)
+    ahead = ((flat[:-1] & _U(1)) << _U(31)) | flat[1:] >> _U(1)  # 32 bits from each word's last bit on
+    code = flat[at] << _U(31) | flat[at + 1] >> _U(1)
+    at += 1
+    of_share = np.repeat(np.arange(len(share), dtype=np.int32), share)
+    share = share.astype(_U)
+    ends = np.cumsum(share) - share
+    models, shift, last = _Models(lanes), _U(bits), _U((1 << bits) - 1)
+    width = np.full(lanes, _FULL)
+    grid = np.zeros((min(n, BLOCK), lanes), np.int32)
+    for k in range(len(grid)):
+        right = (width >> _U(12)) * models.predict().astype(_U)
+        hit = code < right
+        miss = ~hit
+        code -= right * miss
+        unit = width - right >> shift
+        found = of_share.take(np.minimum(code // unit, last).astype(np.int64))
+        unit *= miss
+        code -= unit * ends.take(found)
+        width = right * hit + unit * share.take(found)
+        symbol = found + (models.best - found) * hit
+        out = width < _TOP
+        move = out.astype(_U) << _U(5)
+        code = (code << move) + ahead.take(at, mode="clip") * out
+        width <<= move
+        at += out
+        grid[k] = symbol
+        models.update(symbol, hit)
+    return grid.T.ravel()[:n]
 
 
-def decode_ids(blob: bytes) -> np.ndarray:
-    """Ids of a segment's bytes; raises ValueError if the magic or a block's checksum is wrong."""
+def encode_ids(ids: np.ndarray, docs: list[int | None] | None = None, lengths: np.ndarray | None = None) -> bytes:
+    """A segment's bytes from at least one id below 65536, and the documents' ids and lengths."""
+    alphabet, symbols = np.unique(ids, return_inverse=True)
+    share, bits = _shares(symbols, len(alphabet))
+    parts = [_encode(symbols[at : at + SEGMENT], share, bits) for at in range(0, len(ids), SEGMENT)]
+    used, docs = np.concatenate([p[0] for p in parts]), [] if docs is None else docs
+    head = struct.pack("<5I", len(docs), len(ids), BLOCK, len(alphabet), bits)
+    head += np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs) + np.array([] if lengths is None else lengths, "<u4").tobytes()
+    head += alphabet.astype("<u2").tobytes() + share.astype("<u4").tobytes() + used.astype("<u4").tobytes() + np.array(_crcs(ids), "<u4").tobytes()
+    head = zlib.compress(head, 1)
+    return b"".join([MAGIC, struct.pack("<II", len(head), zlib.crc32(head)), head, *[p[1].tobytes() for p in parts]])
+
+
+def decode_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Documents' ids and lengths and the token ids of a segment's bytes; raises ValueError if the magic or a checksum is wrong."""
     if blob[:8] != MAGIC:
         raise ValueError("not a segment of token ids")
-    n, block = struct.unpack_from("<II", blob, 8)
+    size, crc = struct.unpack_from("<II", blob, 8)
+    if zlib.crc32(blob[16 : 16 + size]) != crc:
+        raise ValueError("the head of a segment has a wrong checksum")
+    head = zlib.decompress(blob[16 : 16 + size])
+    n_docs, n, block, distinct, bits = struct.unpack_from("<5I", head)
     if block != BLOCK:
         raise ValueError(f"blocks of {block} ids")
-    lanes = -(-n // BLOCK)
-    head = np.frombuffer(blob, "<u4", 2 * lanes, 16).reshape(lanes, 2).astype(np.int64)
-    flat = np.append(np.frombuffer(blob, "<u2", offset=16 + 8 * lanes), np.zeros(4, np.uint16)).astype(np.uint64)
-    at = np.cumsum(head[:, 0]) - head[:, 0]
-    if at[-1] + head[-1, 0] != len(flat) - 4:
+    blocks, at, fields = -(-n // BLOCK), 20, []
+    for kind, count in (("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs), ("<u2", distinct), ("<u4", distinct), ("<u4", blocks), ("<u4", blocks)):
+        fields.append(np.frombuffer(head, kind, count, at))
+        at += fields[-1].nbytes
+    docs, null, lengths, alphabet, share, used, crcs = fields
+    words = np.frombuffer(blob, np.uint8, offset=16 + size)
+    if len(words) != 4 * int(used.sum()):
         raise ValueError("a segment of token ids is cut short")
-    code = flat[at] << _U48 | flat[at + 1] << _U32 | flat[at + 2] << _U16 | flat[at + 3]
-    at = at + 4
-    ahead = flat[:-2] << _U32 | flat[1:-1] << _U16 | flat[2:]  # three words from each on
-    models, width = _Models(lanes), np.full(lanes, _FULL)
-    grid = np.zeros((min(n, BLOCK), lanes), np.int32)
-    for k in range(len(grid)):
-        p = models.predict(find=True)
-        unit = width >> _U12
-        right = unit * p
-        hit = code < right
-        rest = code - np.where(hit, code, right)
-        share = unit * (_U4096 - p) >> _U9
-        cls = models.class_of.take(models.base_share + np.minimum(rest // share, _LAST).astype(np.int64))
-        start = models.ends.take(models.base_class + cls)
-        size = models.ends.take(models.base_class + cls + 1) - start
-        bits = _BITS_U.take(cls)
-        one = share * size >> bits
-        rest -= share * start
-        place = np.minimum(rest // one, (_U1 << bits) - _U1)
-        now = np.where(hit, models.best, np.where(cls == ALT, models.other, _FIRST.take(cls) + place.astype(np.int64))).astype(np.int32)
-        code = np.where(hit, code, rest - one * place)
-        width = np.where(hit, right, one)
-        more = (width < _MIN).astype(np.int64) + (width < _U4G) + (width < _U64K)
-        shift = _SHIFT.take(more)
-        code = code << shift | ahead.take(at, mode="clip") >> _U48 - shift
-        width = width << shift
-        at += more
-        grid[k] = now
-        models.update(now, hit, cls)
-    if _crcs(grid, n) != head[:, 1].tolist():
+    words, used, share = words.view("<u4"), used.astype(np.int64), share.astype(np.int64)
+    ids, at = [], 0
+    for k in range(0, blocks, LANES):
+        some = used[k : k + LANES]
+        ids.append(alphabet[_decode(words[at : at + some.sum()], some, min(n - k * BLOCK, SEGMENT), share, bits)])
+        at += int(some.sum())
+    ids = np.concatenate(ids)
+    if _crcs(ids) != crcs.tolist():
         raise ValueError("a block of token ids has a wrong checksum")
-    return grid.T.ravel()[:n]
+    return [None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)], lengths.astype(np.int64), ids
+
+
+def decode_ids(blob: bytes) -> np.ndarray:
+    return decode_segment(blob)[2]
 
 
 class PartEncoder:
-    """Ids, as bytes of 16-bit integers, of whole texts, with a bounded cache of their parts' ids.
+    """Ids of whole texts, with a bounded cache of their parts' ids.
 
     A single space between two other characters always begins a token, so texts are cut there. Parts
     that the cache lacks are encoded many at a time, joined into one text, whose ids are dealt out by the
-    bytes of each token.
+    bytes of each token. The ids of all parts lie in one pool, from which texts are put together.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.cache, self.kept = Tokenizer.from_file(path), cache, {}
+        self.library, self.cache = Tokenizer.from_file(path), cache
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids of more than 16 bits")
         self.bytes = np.zeros(65536, np.int64)  # in the vocabulary a byte is a character
         for token, i in self.library.get_vocab().items():
             self.bytes[i] = len(token)
+        self.heads = Memo(self.ids, cache // 20)  # of a text's first part, which no space precedes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.kept: dict[str, int] = {}  # a part's number
+        self.start, self.size, self.pool, self.used, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint16), 0, 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
-    def learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that each begin with a space."""
-        if not parts:
-            return []
-        ids = self.ids("".join(parts))
-        ends = np.cumsum([len(p.encode()) for p in parts])
-        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right").tolist()
-        blob = ids.tobytes()
-        return [blob[2 * start : 2 * end] for start, end in zip([0, *cuts], cuts, strict=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. The first part of each, which has no space before it, a last one with white space at its end, and long parts aren't kept."""
-        split, kept = [text.split(" ") for text in texts], self.kept
-        odd = {p for p in set().union(*split).difference(kept) if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:  # more than one space, or another white space beside it
-            split = [parts if odd.isdisjoint(parts) else _GAP.split(text) for parts, text in zip(split, texts, strict=True)]
-        first, last = [], []
-        for parts in split:
-            # White space at a text's end would join the space of a special token behind it.
-            last.append(self.ids(" " + parts.pop()).tobytes() if len(parts) > 1 and parts[-1][-1:].isspace() else b"")
-            first.append(self.ids(parts.pop(0)).tobytes())
-        lacking = list(set().union(*split).difference(kept))
-        if len(kept) + len(lacking) > self.cache:
-            kept.clear()
-            lacking = list(set().union(*split))
-        kept.update(zip(lacking, self.learn([" " + p for p in lacking]), strict=True))
-        found = [b"".join([head, *map(kept.__getitem__, parts), tail]) for head, parts, tail in zip(first, split, last, strict=True)]
-        for part in lacking:
-            if len(part) >= _LONG:
-                del kept[part]
-        return found
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Put parts' ids into the pool; the first one's number."""
+        first, n = self.used, len(sizes)
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while first + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.size[first : first + n] = sizes
+        self.start[first : first + n] = self.filled + np.cumsum(sizes) - sizes
+        self.used, self.filled = first + n, self.filled + len(ids)
+        return first
+
+    def learn(self, parts: list[str]) -> None:
+        """Numbers of parts that each follow a space."""
+        if parts:
+            raw = [" " + p for p in parts]
+            ids = self.ids("".join(raw))
+            ends = np.cumsum([len(p.encode()) for p in raw])
+            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")
+            first = self._add(ids[: cuts[-1]], np.diff(cuts, prepend=0))
+            self.kept.update(zip(parts, range(first, first + len(parts)), strict=True))
+
+    def _parts(self, text: str) -> tuple[list[str], str]:
+        """Parts of a text with other white space beside its spaces, and a last one that can't stand before others."""
+        parts = _GAP.split(text)
+        # White space at a text's end would join the space of a special token behind it.
+        return (parts[:-1], parts[-1]) if len(parts) > 1 and parts[-1][-1:].isspace() else (parts, "")
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the number of ids of each, with an ``end`` id behind each if there is one.
+
+        The first part of each text, a last one with white space at its end, and long parts aren't kept.
+        """
+        if not len(texts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        lists = pc.split_pattern(texts, " ").combine_chunks() if isinstance(texts, pa.ChunkedArray) else pc.split_pattern(texts, " ")
+        ends = np.asarray(lists.offsets, np.int64)
+        ends, words = ends - ends[0], lists.flatten()
+        found = pc.dictionary_encode(words)
+        codes, parts = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in parts), bool, len(parts))
+        tails: dict[int, str] = {}
+        if odd.any():  # more than one space, or another white space beside it
+            rows = np.flatnonzero(np.add.reduceat(odd[codes], ends[:-1]))
+            number, pieces, split = {p: k for k, p in enumerate(parts)}, [], dict.fromkeys(rows.tolist())
+            for row in split:
+                some, tail = self._parts(texts[row].as_py())
+                if tail:
+                    tails[row] = tail
+                split[row] = np.array([number.setdefault(p, len(number)) for p in some], np.int64)
+            pieces = [split[r] if r in split else codes[ends[r] : ends[r + 1]] for r in range(len(texts))]
+            codes, ends, parts = np.concatenate(pieces), np.r_[0, np.cumsum([len(x) for x in pieces])], list(number)
+        first = codes[ends[:-1]]
+        inner = np.ones(len(codes), bool)
+        inner[ends[:-1]] = False
+        needed = np.unique(codes[inner]).tolist()
+        lacking = [parts[k] for k in needed if parts[k] not in self.kept]
+        if len(self.kept) + len(lacking) > self.cache:
+            self._clear()
+            lacking = [parts[k] for k in needed]
+        long = [p for p in lacking if len(p) >= _LONG]
+        self.learn([p for p in lacking if len(p) < _LONG])
+        kept_used, kept_filled = self.used, self.filled
+        self.learn(long)
+        of_code = np.zeros(len(parts), np.int64)
+        of_code[needed] = [self.kept[parts[k]] for k in needed]
+        number = of_code[codes]
+        heads = [self.heads[parts[k]] if len(parts[k]) < _LONG else self.ids(parts[k]) for k in first.tolist()]
+        at = self._add(np.concatenate(heads), np.array([len(h) for h in heads], np.int64))
+        number[ends[:-1]] = at + np.arange(len(heads))
+        behind = [self.ids(" " + tails[r]) if r in tails else np.zeros(0, np.uint16) for r in range(len(texts))] if tails else []
+        if tails:
+            at = self._add(np.concatenate(behind), np.array([len(x) for x in behind], np.int64))
+            number, ends = np.insert(number, ends[1:], at + np.arange(len(texts))), ends + np.arange(len(ends))
+        if end is not None:
+            at = self._add(np.array([end], np.uint16), np.array([1], np.int64))
+            number, ends = np.insert(number, ends[1:], at), ends + np.arange(len(ends))
+        sizes = self.size[number]
+        before = np.cumsum(sizes) - sizes
+        total = int(before[-1] + sizes[-1])
+        ids = self.pool[np.repeat(self.start[number] - before, sizes) + np.arange(total)]
+        lengths = np.diff(np.r_[before, total][ends])
+        self.used, self.filled = kept_used, kept_filled
+        for p in long:
+            del self.kept[p]
+        return ids, lengths
 
 
 def tokenizer(path: str) -> PartEncoder:
@@ -298,33 +369,37 @@ def tokenizer(path: str) -> PartEncoder:
 
 
 def write_segments(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Segments of all documents, tokens and the end id each, in ascending order of doc_id over (part, segment)."""
+    """Segments of all documents, tokens and the end id each, in ascending order of doc_id over (part, segment).
+
+    ``first`` is the number of ids before a segment in its part, n that of its own. Ranges are made by id and a
+    hash of the text, so that sampling sends no text to the driver and an id with many rows isn't one task.
+    """
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, end = TaskContext.get().partitionId(), tokenizer(path), np.uint16(END_ID).tobytes()
-        docs, lengths, held, size, segment = [], [], [], 0, 0
+        part, encoder = TaskContext.get().partitionId(), tokenizer(path)
+        docs, lengths, held, size, segment, first = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            blob = encode_ids(np.frombuffer(b"".join(held), np.uint16))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([blob], pa.binary())], ["part", "segment", "doc_ids", "lengths", "blob"])
-
-        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                docs.append(doc)
-                lengths.append(len(ids) // 2)
-                held.append(ids)
-                size += len(ids) // 2
-                if size >= SEGMENT:
-                    yield close()
-                    docs, lengths, held, size, segment = [], [], [], 0, segment + 1
+            blob = encode_ids(np.concatenate(held), docs, np.concatenate(lengths))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "first": [first], "n": [size], "blob": pa.array([blob], pa.binary())})
+
+        for batch in (whole.slice(at, _SLICE) for whole in batches for at in range(0, len(whole), _SLICE)):
+            ids, sizes = encoder.encode(batch.column(1), END_ID)
+            docs += batch.column(0).to_pylist()
+            held.append(ids)
+            lengths.append(sizes)
+            size += len(ids)
+            if size >= SEGMENT:
+                yield close()
+                docs, lengths, held, size, segment, first = [], [], [], 0, segment + 1, first + size
         if docs:
             yield close()
 
-    ordered = documents(df).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = documents(df).withColumn("_h", F.xxhash64("text"))
+    ordered = dealt.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, SEGMENTS), "token-ids")
 
 
@@ -333,22 +408,19 @@ def read_documents(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                ids = decode_ids(batch.column("blob")[k].as_py()).astype("<u4")
-                lengths = np.array(batch.column("lengths")[k].as_py(), np.int64)
-                starts = np.cumsum(lengths) - lengths
-                if lengths.sum() != len(ids):
+            for before, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs, lengths, ids = decode_segment(blob.as_py())
+                whole, ends = ids.astype("<u4"), np.cumsum(lengths)
+                if ends[-1] != len(ids):
                     raise ValueError("a segment's lengths and ids differ")
-                crcs = [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(starts, lengths, strict=True)]
-                columns = [batch.column("doc_ids")[k].values, pa.array(starts + batch.column("before")[k].as_py()), pa.array(lengths), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                starts = ends - lengths
+                crcs = [zlib.crc32(whole[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + before), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One row a segment, of some millions of ids: their totals are few.
-    totals = segments.select("part", "segment", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    # One row a part: as many as the partitions of the shuffle.
     from pyspark.sql import Window
 
-    before = F.sum("n").over(Window.orderBy("part", "segment")) - F.col("n")
-    rows = segments.join(totals.select("part", "segment", before.alias("before")), ["part", "segment"])
-    return rows.select("doc_ids", "lengths", "blob", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
+    parts = segments.groupBy("part").agg(F.sum("n").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rows = segments.join(F.broadcast(before), "part")
+    return rows.select((F.col("before") + F.col("first")).alias("before"), "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
