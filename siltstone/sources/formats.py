@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import le_bytes, le_number
@@ -111,6 +111,25 @@ def read_manifests(files: DataFrame) -> DataFrame:
     return files.select("content").mapInArrow(run, MANIFEST_ROWS)
 
 
+def save_manifests(manifests: DataFrame, folder: str, created_unix: int = 0) -> None:
+    """Write each snapshot's manifest as a file ID.manifest of a folder that all executors mount."""
+    import os
+
+    def run(rows) -> None:
+        for r in rows:
+            with open(f"{folder}/{r['snapshot_id']}.manifest.tmp", "wb") as f:
+                f.write(r["content"])
+            os.replace(f.name, f.name.removesuffix(".tmp"))
+
+    os.makedirs(folder, exist_ok=True)
+    write_manifests(manifests, created_unix).foreachPartition(run)
+
+
+def load_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of all files *.manifest of a folder; other files are passed over."""
+    return read_manifests(spark.read.format("binaryFile").option("pathGlobFilter", "*.manifest").load(folder))
+
+
 def wal_frames(records: DataFrame, record_type: int = WAL_TYPE) -> DataFrame:
     """k and frame (53 bytes) of records of k, digest (hex), offset and length."""
     body = F.concat(F.lit(bytes([record_type])), F.unhex("digest"), le_bytes(F.col("offset"), 8), le_bytes(F.col("length"), 4))

@@ -222,6 +222,20 @@ def test_manifest_files(spark):
     assert tuple(snapshots.same_manifests(rows.limit(0), rows.limit(0)).first())[1:] == (0, 0)
 
 
+def test_manifest_folder(spark, tmp_path):
+    folder = str(tmp_path / "m")
+    rows = snapshots.build_manifest(files_of(spark, {"b": F1[:5000], "a": b""}), KIB)
+    both = rows.withColumn("snapshot_id", F.lit("20240101-000000")).unionByName(rows.withColumn("snapshot_id", F.lit("20240102-000000")))
+    formats.save_manifests(both, folder)
+    open(f"{folder}/notes.txt", "w").write("no manifest")
+    assert sorted(os.listdir(folder))[:2] == ["20240101-000000.manifest", "20240102-000000.manifest"]
+    got = formats.load_manifests(spark, folder)
+    assert sorted((r["snapshot_id"], r["path"], r["chunk_digests"]) for r in got.collect()) == sorted((r["snapshot_id"], r["path"], r["chunk_digests"]) for r in both.collect())
+    open(f"{folder}/x.manifest", "w").write("damaged")
+    with pytest.raises(Exception, match="cut short"):
+        formats.load_manifests(spark, folder).count()
+
+
 def test_replayed_batches(spark, tmp_path):
     repo = Repository.create(spark, str(tmp_path / "r"), KIB)
     batch = materialize(files_of(spark, {"a": F1[:3000]}), "batch")
