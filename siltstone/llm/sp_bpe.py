@@ -11,6 +11,10 @@ neighbours stand side by side in no piece (a letter and a comma, say): nothing i
 a place. The parts are encoded apart; a part's ids are kept in a bounded cache. A character without a
 piece becomes its UTF-8 bytes' ids, to which any token is compatible.
 
+Decoding takes ids alone: their pieces' bytes are gathered for many documents at once, marks as spaces
+and byte ids as their bytes, and the first mark's space is left out. Ids that encoding never gives
+(control ids inside, bytes that aren't UTF-8) are left to the library.
+
 Defined cases: null and empty texts give the end id alone and decode to the empty string; repeated
 rows give equal rows; null ids stay null; other columns aren't carried along.
 """
@@ -32,6 +36,7 @@ from siltstone.llm.common import Memo, documents, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _LONG = 64  # characters; longer parts aren't kept in the cache
+_ROWS = 128  # documents that are decoded at a time
 _ENCODERS: dict[str, PrefixEncoder] = {}
 
 
@@ -63,7 +68,13 @@ class PrefixEncoder:
         self.fits: dict[int, bool] = {}
         self.kept = Memo(self._part, cache)
         self.packed = Memo(self._pack, packed)
-        self.odd = False  # a part has been decoded to something else
+        raw = [self.pieces[i].replace(MARK, " ").encode() if i in self.pieces else b"" for i in range(model.get_piece_size())]
+        self.plain = np.array([i in self.pieces for i in range(len(raw))])
+        for b, i in enumerate(self.byte):
+            raw[i], self.plain[i] = bytes([b]), True
+        self.marked = np.array([i in self.pieces and self.pieces[i][0] == MARK for i in range(len(raw))])
+        self.size = np.array([len(x) for x in raw])
+        self.start, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
 
     def _cut(self) -> re.Pattern[str]:
         """What a part is: marks and characters of one group, or one character of none. Characters side by side in a piece are of one group."""
@@ -145,38 +156,41 @@ class PrefixEncoder:
     def encode(self, text: str) -> list[int]:
         return [i for part in self.parts(text) for i in self.ids_of_part(part)]
 
-    def decode(self, ids: list[int]) -> str:
-        """Pieces in order with marks as spaces, byte ids as UTF-8, without the space that encoding put first."""
-        return self.library.decode(ids)
-
-    def part(self, part: str) -> tuple[int, str, str | None]:
-        """Number of ids, the ids as text with a space after each, and the part as it is decoded behind another, if not as it stands."""
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of many texts, from all their ids in a row and where each text's ids end."""
+        starts = np.r_[0, ends[:-1]]
+        sizes = self.size[ids]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(ids) else 0
+        blob = self.bytes[np.repeat(self.start[ids] - after + sizes, sizes) + np.arange(total)].tobytes()
+        bound = np.r_[0, after]
+        odd = np.r_[0, np.cumsum(~self.plain[ids] & (ids != self.end_id))]
+        out = []
+        for start, end, low, high, strange in zip(starts.tolist(), ends.tolist(), bound[starts].tolist(), bound[ends].tolist(), (odd[ends] - odd[starts]).tolist(), strict=True):
+            text = blob[low + (start < end and bool(self.marked[ids[start]])) : high]
+            if strange or self.end_id in ids[start : end - 1] or not _is_utf8(text):
+                text = self.library.decode(ids[start:end].tolist()).encode()
+            out.append(text)
+        return out
+
+    def part(self, part: str) -> tuple[bytes, str]:
+        """A part's ids as 32-bit integers, and as text with a space after each."""
         return self.kept[part] if len(part) <= _LONG else self._part(part)
 
-    def _part(self, part: str) -> tuple[int, str, str | None]:
+    def _part(self, part: str) -> tuple[bytes, str]:
         ids = self.ids_of_part(part)
-        decoded = self.decode_part(ids)
-        if decoded == part.replace(MARK, " "):
-            decoded = None  # as it stands: isn't kept twice
-        else:
-            self.odd = True
-        return len(ids), " ".join(map(str, ids)) + " ", decoded
+        return array("i", ids).tobytes(), " ".join(map(str, ids)) + " "
 
     def _pack(self, part: str) -> bytes:
         return array("i", self.ids_of_part(part)).tobytes()
 
-    def decode_part(self, ids: list[int]) -> str:
-        """A part's ids as they are decoded behind another part's: pieces joined, and the library for the byte ids of a character."""
-        try:
-            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
-        except KeyError:
-            return self.decode(ids)
 
-    def decoded(self, parts: list[str], found: list[tuple[int, str, str | None]]) -> str:
-        """The decoded text of encoded parts."""
-        if self.odd:
-            parts = [p if f[2] is None else f[2] for p, f in zip(parts, found, strict=True)]
-        return "".join(parts).replace(MARK, " ")[1:]
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def encoder(path: str) -> PrefixEncoder:
@@ -208,28 +222,29 @@ def decode_documents(df: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            texts = [enc.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, len(whole), _ROWS)):
+            ids = [np.array(x or [], np.int32) for x in batch.column(1).to_pylist()]
+            texts = enc.decode(np.concatenate(ids), np.cumsum([len(x) for x in ids]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "text"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(df: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, from parts encoded and decoded once each."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encoded, then decoded from all its ids."""
     path = model or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kept, once = enc.kept, enc._part
-        for batch in batches:
-            n, ids, decoded = [], [], []
+        kept, once, last = enc.kept, enc._part, array("i", [enc.end_id]).tobytes()
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, len(whole), _ROWS)):
+            ids, printed = [], []
             for text in batch.column(1):
-                cut = enc.parts(text.as_py())
-                parts = [kept[p] if len(p) <= _LONG else once(p) for p in cut]
-                n.append(sum([p[0] for p in parts]) + 1)
-                ids.append(hashlib.sha256(("".join([p[1] for p in parts]) + str(enc.end_id)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decoded(cut, parts).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                parts = [kept[p] if len(p) <= _LONG else once(p) for p in enc.parts(text.as_py())]
+                ids.append(b"".join([p[0] for p in parts]) + last)
+                printed.append(hashlib.sha256(("".join([p[1] for p in parts]) + str(enc.end_id)).encode()).hexdigest())
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            decoded = [hashlib.sha256(t).hexdigest() for t in enc.decode(np.frombuffer(b"".join(ids), np.int32), np.cumsum(sizes))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(printed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(df).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
