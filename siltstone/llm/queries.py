@@ -41,10 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(media.store(table(spark, sf_dir, "documents")), "media")
-    found = media.resolve(media.sequences(stored), media.media_features(stored))
-    sizes = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
-    return found.select("doc_id", sizes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows, stored = media.store(table(spark, sf_dir, "documents"))
+    found = media.resolve(media.sequences(media.pages(rows), keep=("n_bytes",)), media.media_features(stored))
+    own = found.filter(F.col("caption") == media.OWN)  # each page refers to its payload twice
+    return own.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
