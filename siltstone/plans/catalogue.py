@@ -19,7 +19,7 @@ from siltstone.operators import chunking, dedup, resync, snapshots
 from siltstone.operators.chunking import ChunkConfig
 from siltstone.operators.ordering import running_total
 from siltstone.repository import SNAPSHOTS, Repository
-from siltstone.sources import formats
+from siltstone.sources import filetree, formats
 from siltstone.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,6 +447,44 @@ def stats_report(spark, sf_dir):
     return dedup.stats_report(sizes[0].unionByName(sizes[1]), dedup.unique_chunks(chunks).select("digest", "length"))
 
 
+# A repository from end to end
+
+
+def _repository(spark, sf_dir) -> tuple[Repository, list[str]]:
+    """A new repository with both snapshots, one a second, and their ids."""
+    repo = Repository.create(spark, new_path(spark, "repository"), FIXED)
+    return repo, [repo.backup(files(spark, sf_dir, s).drop("edit"), lambda k=k: 1_704_067_200 + k) for k, s in enumerate("AB")]
+
+
+@query(ORACLE_SQL["stats_report"])
+def repository_stats(spark, sf_dir):
+    """Statistics after two backups, the second of which stores what the first lacks."""
+    return _repository(spark, sf_dir)[0].stats()
+
+
+@query(f"WITH {_FILES} SELECT snapshot_id, path, {MODE} AS mode, CAST({MTIME} AS BIGINT) AS mtime_unix, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS digest FROM ab".replace(f"'{IDS[1]}'", "'20240101-000001'"))
+def repository_restore(spark, sf_dir):
+    """Both snapshots restored."""
+    repo, ids = _repository(spark, sf_dir)
+    rows = repo.restore_df(ids[0]).unionByName(repo.restore_df(ids[1]))
+    return rows.select("snapshot_id", "path", "mode", "mtime_unix", F.octet_length("content").cast("long").alias("size"), C.sha256(F.col("content")).alias("digest"))
+
+
+@query(sql("SELECT 2 AS snapshots_checked, (SELECT count(*) FROM ab) AS files_checked, count(*) AS references_checked, count(DISTINCT digest) AS unique_chunks_verified, CAST(0 AS BIGINT) AS issues FROM chunks").replace("SELECT 2 AS", "SELECT CAST(2 AS BIGINT) AS"))
+def repository_verify(spark, sf_dir):
+    """Verification of an intact repository."""
+    return _repository(spark, sf_dir)[0].verify()[0]
+
+
+@query(f"WITH {_FILES} SELECT path, {MODE & 0o7777} AS permissions, CAST({MTIME} AS BIGINT) AS mtime_unix, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS digest FROM a")
+def scan_tree(spark, sf_dir):
+    """Snapshot A written as a tree of files, with modes and times, and read by the tree source."""
+    root = new_path(spark, "tree").removeprefix("file:")
+    filetree.write_tree(files(spark, sf_dir), root)
+    rows = filetree.read_tree(spark, root)
+    return rows.select("path", C.mode_bits(F.col("mode")).alias("permissions"), "mtime_unix", F.octet_length("content").cast("long").alias("size"), C.sha256(F.col("content")).alias("digest"))
+
+
 # Comparisons
 
 _COMPARE = """SELECT count(*) FILTER (WHERE o) AS old_chunks, count(*) FILTER (WHERE n) AS new_chunks, count(*) FILTER (WHERE o AND n) AS shared, count(*) FILTER (WHERE o AND NOT n) AS only_old, count(*) FILTER (WHERE n AND NOT o) AS only_new

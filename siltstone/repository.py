@@ -170,7 +170,7 @@ class Repository:
         if wanted.count() <= _FEW_PATHS:
             rows = rows.join(F.broadcast(wanted.select("path")), "path", "left_semi")
         rows = rows.join(wanted, "path").select("content", F.explode("wanted").alias("w"))
-        data = rows.select("w.digest", "w.length", cut(F.col("content"), F.col("w.offset"), F.col("w.length")).alias("data"), F.substring("w.digest", 1, 2).alias("prefix"))
+        data = rows.select("w.digest", "w.length", cut(F.col("content"), F.col("w.offset"), F.col("w.length")).alias("data"), F.substring("w.digest", 1, 1).alias("prefix"))
         data.write.mode("append").partitionBy("prefix").parquet(f"{self.path}/chunks")
 
     def _stored(self) -> DataFrame:
