@@ -1,17 +1,19 @@
 """Chat formatting by schema fingerprints (native: DataFrame functions only).
 
 Records are JSON texts of any known layout. The nested field paths of a record are hashed; the hash
-selects a declarative mapping, which turns the record into canonical turns (role, text). Turns are
-then written with a template that marks each turn and escapes its control characters reversibly;
+selects a declarative mapping, which turns the record into canonical turns (role, text). Long texts needn't
+go through JSON: a record may be a skeleton, whose values are numbers of turns that stand beside it
+(``pack_records`` makes such ones, ``said`` names their column). Turns are then written with a template that marks each turn and escapes its control characters reversibly;
 the loss mask lists the spans of the assistant's texts in code points.
 
 Template of a turn: ``<turn:ROLE>TEXT</turn>`` and a line feed. In role and text ``\\`` becomes
 ``\\b``, ``<`` becomes ``\\l`` and ``>`` becomes ``\\g``; so neither can hold a marker.
 
 Defined cases: a null text or role is the empty string; a record whose fingerprint is unknown, or
-which isn't JSON, has a null layout and no turns; a longer text than the parser takes, which nobody
-knows the layout of, is an error, but for packed conversations, whose turns are at hand; turns with equal numbers are ordered by role and
-text, a null number first; repeated turns are all kept; rows with a null id form one conversation.
+which isn't JSON, has a null layout and no turns; one that is too long for the parser is an error, and so is a
+skeleton that can't be parsed; turns with equal numbers are ordered by role and text, a null number first;
+repeated turns are all kept; rows with a null id form one conversation; empty tables give empty tables;
+columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -77,26 +79,31 @@ def fingerprint(variant: Column) -> Column:
     return F.md5(F.array_join(field_paths(variant), ",").cast("binary"))
 
 
-def _turns(variant: Column, m: Mapping) -> Column:
+def _turns(variant: Column, m: Mapping, said: Column | None) -> Column:
+    """Turns of a record by its mapping; with ``said``, values are numbers of that column's turns."""
+
+    def value(got: Column, part: str) -> Column:
+        return F.coalesce(got if said is None else F.get(said, got.cast("int"))[part], F.lit(""))
+
     if m.fields:
-        parts = [F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(variant, f"$.{field}", "string"), F.lit("")).alias("text")) for role, field in m.fields]
+        parts = [F.struct(F.lit(role).alias("role"), value(F.try_variant_get(variant, f"$.{field}", "string"), "text").alias("text")) for role, field in m.fields]
         return F.array(*parts)
     got = F.try_variant_get(variant, f"$.{m.items}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
 
     def turn(x: Column) -> Column:
-        role = F.coalesce(x[m.role], F.lit(""))
-        for theirs, ours in m.roles:
-            role = F.when(x[m.role] == theirs, F.lit(ours)).otherwise(role)
-        return F.struct(role.alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text"))
+        theirs = value(x[m.role], "role")
+        role = theirs
+        for name, ours in m.roles:
+            role = F.when(theirs == name, F.lit(ours)).otherwise(role)
+        return F.struct(role.alias("role"), value(x[m.text], "text").alias("text"))
 
     return F.transform(got, turn)
 
 
-def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS, packed: str | None = None) -> DataFrame:
+def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS, said: str | None = None) -> DataFrame:
     """``df`` with ``layout`` (name of the mapping or null) and ``turns`` (array of role and text).
 
-    ``packed`` names the column of ``pack_records`` with the layout and the turns a record was made of:
-    they stand in for a record that the parser doesn't take. Without it one that is too long for it is an error.
+    ``said`` names an array of role and text beside records that are skeletons, as ``pack_records`` makes them.
     """
     kept = df.drop("layout", "turns").withColumn("_silt_variant", F.try_parse_json(F.col(record)))
     kept = kept.withColumn("_silt_print", fingerprint(F.col("_silt_variant")))
@@ -104,16 +111,13 @@ def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] =
     for m in mappings:
         hit = F.col("_silt_print") == m.fingerprint
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
-        turns = F.when(hit, _turns(F.col("_silt_variant"), m)).otherwise(turns)
-    empty = F.array().cast(f"array<{TURN}>")
+        turns = F.when(hit, _turns(F.col("_silt_variant"), m, F.col(said) if said else None)).otherwise(turns)
     unread = F.col(record).isNotNull() & F.col("_silt_variant").isNull()
-    if packed:
-        layout, turns = F.when(unread, F.col(packed)["layout"]).otherwise(layout), F.when(unread, F.col(packed)["turns"]).otherwise(turns)
-    else:
+    if not said:
         unread = unread & (F.length(record) > PARSED_CHARS)
-        error = F.raise_error(F.concat(F.lit("A record is too long to be parsed: characters "), F.length(record).cast("string")))
-        layout, turns = F.when(unread, error.cast("string")).otherwise(layout), F.when(unread, error.cast(f"array<{TURN}>")).otherwise(turns)
-    return kept.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, empty)).drop("_silt_variant", "_silt_print")
+    error = F.raise_error(F.concat(F.lit("A record can't be parsed, or is too long for it; its characters: "), F.length(record).cast("string")))
+    layout, turns = F.when(unread, error.cast("string")).otherwise(layout), F.when(unread, error.cast(f"array<{TURN}>")).otherwise(turns)
+    return kept.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, F.array().cast(f"array<{TURN}>"))).drop("_silt_variant", "_silt_print")
 
 
 def escape(text: Column) -> Column:
@@ -151,15 +155,16 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def pack_records(rows: DataFrame) -> DataFrame:
-    """Rows of turns (conv_id, turn, role, text) as one JSON record a conversation, in the layout that fits its roles, and ``packed``, its layout and turns."""
+    """Rows of turns (conv_id, turn, role, text) as one record a conversation, in the layout that fits its roles.
+
+    ``record`` is a skeleton in JSON, whose values are numbers of the turns in ``said`` (role and text).
+    """
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    roles = F.array_join(F.transform("ts", lambda t: t["role"]), ",")
-    one = lambda i: F.col("ts")[i]["text"]
-    messages = F.to_json(F.struct(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
-    prompt, instruction = (F.size("ts") == 2) & (roles == "user,assistant"), (F.size("ts") == 3) & (roles == "system,user,assistant")
-    record = F.when(prompt, F.to_json(F.struct(one(0).alias("prompt"), one(1).alias("response"))))
-    record = record.when(instruction, F.to_json(F.struct(one(0).alias("instruction"), one(1).alias("input"), one(2).alias("output"))))
-    layout = F.when(prompt, F.lit("prompt")).when(instruction, F.lit("instruction")).otherwise(F.lit("messages"))
-    turns = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return packed.select("conv_id", record.otherwise(messages).alias("record"), F.struct(layout.alias("layout"), turns.alias("turns")).alias("packed"))
+    role = lambda k: F.get("ts", F.lit(k))["role"]
+    n = F.size("ts")
+    messages = F.to_json(F.struct(F.transform("ts", lambda t, k: F.struct(k.cast("string").alias("role"), k.cast("string").alias("content"))).alias("messages")))
+    record = F.when((n == 2) & (role(0) == "user") & (role(1) == "assistant"), F.lit('{"prompt":"0","response":"1"}'))
+    record = record.when((n == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant"), F.lit('{"instruction":"0","input":"1","output":"2"}'))
+    said = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return packed.select("conv_id", record.otherwise(messages).alias("record"), said.alias("said"))

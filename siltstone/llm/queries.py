@@ -51,7 +51,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).alias("conv_id"), F.lit(k).alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for k, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
-    formatted = chat.format_turns(chat.canonical_turns(chat.pack_records(rows.unionByName(extra)), "record", packed="packed"))
+    formatted = chat.format_turns(chat.canonical_turns(chat.pack_records(rows.unionByName(extra)), "record", said="said"))
     out = materialize(formatted.select("conv_id", "layout", "formatted", "loss_spans"), "chat")
     out = out.withColumn("turns", chat.parse_formatted(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     said_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
