@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontam, html, lattice_lm, media, neardup, quality, sharding, sp_bpe, tokenfile
+from siltstone.llm import chat, common, decontam, html, labelled_pages, lattice_lm, media, neardup, quality, sharding, sp_bpe, tokenfile
 from siltstone.llm.common import tokenizer_path
 
 WORDS = [a + b for a in ("th", "er", "on", "an", "re", "ti") for b in ("at", "es", "en", "or", "is", "ou")]
@@ -92,21 +93,54 @@ def test_letter_case_of_items():
 
 
 @pytest.mark.parametrize("n", [1, 2, 2047, 2048, 2049, 5000])
-@pytest.mark.parametrize("high", [2, 300, 65536])
+@pytest.mark.parametrize("high", [1, 2, 300, 65536])
 def test_range_coder(n, high):
     ids = np.random.default_rng(n).integers(0, high, n).astype(np.uint16)
-    blob = tokenfile.encode_ids(ids)
-    assert np.array_equal(tokenfile.decode_ids(blob), ids)
-    for bad in (b"x" + blob[1:], blob[:-2], blob[:20] + bytes([blob[20] ^ 1]) + blob[21:]):
-        with pytest.raises((ValueError, IndexError)):
-            tokenfile.decode_ids(bad)
+    blob = tokenfile.encode_ids(ids, [7, None, -3], np.array([n, 0, 0]))
+    docs, lengths, back = tokenfile.decode_segment(blob)
+    assert np.array_equal(back, ids) and docs == [7, None, -3] and lengths.tolist() == [n, 0, 0]
+    for bad in (b"x" + blob[1:], blob[:-2], blob[:-4], blob[:20] + bytes([blob[20] ^ 1]) + blob[21:], blob[:-200] + bytes([blob[-200] ^ 1]) + blob[-199:] if n > 2000 and high > 2 else b"x"):
+        with pytest.raises(ValueError):
+            tokenfile.decode_segment(bad)
+
+
+def test_blocks_side_by_side(monkeypatch):
+    monkeypatch.setattr(tokenfile, "LANES", 3)
+    monkeypatch.setattr(tokenfile, "SEGMENT", 3 * tokenfile.BLOCK)
+    for n in (3 * 2048, 3 * 2048 + 1, 7 * 2048 - 5):
+        ids = (np.random.default_rng(n).zipf(1.3, n) % 50000).astype(np.uint16)
+        assert np.array_equal(tokenfile.decode_ids(tokenfile.encode_ids(ids)), ids)
+
+
+def test_sharp_predictions():
+    runs = np.r_[np.full(9000, 5), np.tile([1, 2, 3], 4000), np.full(50, 60000), np.full(9000, 5)].astype(np.uint16)
+    blob = tokenfile.encode_ids(runs)
+    assert np.array_equal(tokenfile.decode_ids(blob), runs) and len(blob) < len(runs) / 8
+
+
+def test_bits_an_id():
+    """Fewer bits than an adaptive order-0 coder that starts anew in each block, and than the shares of the whole."""
+    from tokenizers import Tokenizer
+
+    library, r = Tokenizer.from_file(tokenizer_path(tokenfile.VOCABULARY)), random.Random(5)
+    words = [prose(k, 1) + prose(k + 1, 1)[: k % 4] for k in range(500)]
+    ids = np.array(library.encode(" ".join(r.choices(words, [1 / (k + 1) for k in range(500)], k=40000)), add_special_tokens=False).ids, np.uint16)
+    adaptive = 0.0
+    for at in range(0, len(ids), tokenfile.BLOCK):
+        seen: dict[int, int] = {}
+        for n, i in enumerate(ids[at : at + tokenfile.BLOCK].tolist()):
+            adaptive -= math.log2((seen.get(i, 0) + 0.02) / (n + 0.02 * 50257))
+            seen[i] = seen.get(i, 0) + 1
+    share = np.bincount(ids) / len(ids)
+    static = -np.log2(share[ids]).sum()
+    assert 8 * len(tokenfile.encode_ids(ids)) < min(static, adaptive)
 
 
 def test_token_file(docs):
     from tokenizers import Tokenizer
 
     library, at, want = Tokenizer.from_file(tokenizer_path(tokenfile.VOCABULARY)), 0, []
-    for i, t in sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+    for i, t in sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):  # rows with equal ids are equal here
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -116,13 +150,21 @@ def test_token_file(docs):
 
 
 def test_parts_of_texts():
-    odd = ["", " ", "  a  b", "it's a <|endoftext|> b <|endoftext|>c d", "a\x1c b\x85 c\u3000 d ", "é 漢字 かな 😀 x", "a b\n c\n", "x" * 99 + " " + "y" * 99 + " z", "a <|endoftext|>", "a <|endoftext|>\n <|endoftext|>"]
+    import pyarrow as pa
+
+    odd = ["", " ", "  a  b", "it's a <|endoftext|> b <|endoftext|>c d", "a\x1c b\x85 c\u3000 d ", "é 漢字 かな 😀 x", "a b\n c\n", "x" * 99 + " " + "y" * 99 + " z", "a <|endoftext|>", "a <|endoftext|>\n <|endoftext|>", "plain words only here"]
     encoder = tokenfile.PartEncoder(tokenizer_path(tokenfile.VOCABULARY), cache=12)
     want = [encoder.library.encode(t, add_special_tokens=False).ids for t in odd]
+
+    def got(rows, end=None):
+        ids, sizes = encoder.encode(pa.array(rows, pa.string()), end)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
     for k in range(len(odd)):
-        got = encoder.encode(odd[k:] + odd[:k])
-        assert [np.frombuffer(x, np.uint16).tolist() for x in got] == want[k:] + want[:k]
-        assert [np.frombuffer(x, np.uint16).tolist() for x in encoder.encode(odd[k : k + 1])] == want[k : k + 1]
+        assert got(odd[k:] + odd[:k]) == want[k:] + want[:k]
+        assert got(odd[k : k + 1]) == want[k : k + 1]
+        assert got(odd[k : k + 3], 2) == [[*x, 2] for x in want[k : k + 3]]
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == []
 
 
 def test_html():
@@ -142,6 +184,33 @@ def test_long_blocks_inside_main_text():
                 assert html.main_text(f"{before}<p>{a}</p>{block}<p>{b}</p>{after}") == f"{a}\n{b}"
 
 
+def test_paragraphs_and_quotes():
+    a, b, c = prose(1, 30), prose(2, 30), prose(3, 20)
+    for before, after in (("<article>", "</article>"), ("<main>", "</main>"), ("<body><div>", "</div>"), ("", "")):
+        for block in (f"<p class='advert'>{c}</p>", f'<p class="comment">{c}', f"<p class=ad>{c}", f"<p id=cookie-notice hidden>{c}</p>"):
+            assert html.main_text(f"{before}<p>{a}</p>{block}<p>{b}</p>{after}") == f"{a}\n{b}", (before, block)
+            assert html.main_text(f"{before}<p>{a}{block}<div>{b}</div>{after}") == f"{a}\n{b}", (before, block)
+        assert html.main_text(f"{before}<p>{a} <a title=it's href=x>in</a> {b}</p><p>{c}</p>{after}") == f"{a} in {b}\n{c}"
+        assert html.main_text(f"{before}<p>{a} <a title=\"x href=x>in</a> {b}</p><p>{c}</p>{after}") == f"{a} in {b}\n{c}"
+        assert html.main_text(f"{before}<p>{a} <img alt='a > b' src=x>{b}</p>{after}") == f"{a} {b}"
+        assert html.main_text(f"{before}<p>{a}</p><aside>{prose(9, 200)}</aside><p>{c}</p>{after}") == f"{a}\n{c}"
+
+
+def test_weights_of_labelled_pages():
+    learned = html.weights()
+    assert learned.words[""] > 0 and learned.words["main"] > 0 and all(learned.words[k] < 0 for k in ("menu", "ad", "comment", "side", "footer", "link")) and all(x < 0 for x in learned.tags.values())
+    for seed in (1, 2):  # pages that nothing was learned from
+        right = whole = 0
+        for page in labelled_pages.labelled_pages(60, seed):
+            want = " ".join(" ".join(re.sub(r"<[^>]*>", " ", x) for x, main in page if main).split())
+            got = html.main_text("".join(x for x, _ in page)).split()
+            whole += 1
+            right += got == want.split()
+        assert right / whole > 0.9
+    own = [[(f"<div class=zone>{prose(k, 9)}</div>", False), (f"<p>{prose(k, 90)}</p>", True)] for k in range(9)]
+    assert html.fit(own).names["zone"] < 0
+
+
 def test_names_inside_main_text():
     a, b = prose(1, 30), prose(2, 30)
     for head in ("<h2 id='related-work'>One", "<h2 id='legal'>One", "<h3 class='header'>One", "<section id='search'><h2>One</h2></section", "<section id='cookies'><p>One</p></section", "<div class='post-header'><h1>One</h1></div", "<div id='search'>One</div", "<math><mi>One</mi></math", "<object data=x>One</object"):
@@ -172,6 +241,15 @@ def test_sentencepiece(docs):
     assert got == want
     full = sp_bpe.encode_documents(docs)
     assert {(x["doc_id"], tuple(x["ids"])) for x in full.collect()} == {(i, (*enc.library.encode(t), enc.end_id)) for i, t in texts(docs)}
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in sp_bpe.decode_documents(full).collect()) == sorted((i or 0, enc.library.decode(enc.library.encode(t))) for i, t in texts(docs))
+    assert sp_bpe.digests(docs.limit(0)).count() == sp_bpe.encode_documents(docs.limit(0)).count() == 0
+
+
+def test_decoding_of_any_ids():
+    enc, r = sp_bpe.encoder(tokenizer_path(sp_bpe.MODEL)), random.Random(3)
+    lists = [[]] + [[r.choice((r.randrange(32000), r.randrange(260), enc.end_id, enc.id_of["▁"], enc.id_of["▁the"])) for _ in range(r.randint(0, 12))] for _ in range(3000)]
+    got = enc.decode(np.array([i for x in lists for i in x], np.int32), np.cumsum([len(x) for x in lists]))
+    assert [g.decode() for g in got] == [enc.library.decode(x) for x in lists]
 
 
 def test_lattice():
@@ -197,13 +275,60 @@ def test_nul_in_words(spark):
     grid = lattice_lm.lattice(tokenizer_path(lattice_lm.MODEL))
     weights, expected = lattice_lm.Weights(grid.first, 0.3), np.zeros(len(grid.first))
     words = ["the", "\0", "a\0b", "hat", "x\0", "\0\0y"]
-    got = lattice_lm.forward(words, grid, weights, expected)
+    got = lattice_lm.forward(words, grid, weights, expected, np.ones(len(words)))
     assert np.isfinite(expected).all()
     three = lattice_lm.forward([w.replace("\0", "\ue000") for w in words], grid, weights)  # a character without a piece, of three bytes
     assert np.allclose(got, [x - 2 * weights.byte * w.count("\0") for w, x in zip(words, three, strict=True)])
     rows = [(i, prose(i, 20) + (" a\0b" if i % 2 else "")) for i in range(20)]
     for r in lattice_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        assert -1e9 < r["score"] <= r["closed_score"] <= 0
+        assert -1e9 < r["score"] < 0 and -1e9 < r["word_score"] <= r["closed_score"] <= 0
+
+
+def segmentations(word, grid):
+    """All ways to cut a marked word into pieces (their numbers) and characters without a piece (None)."""
+    if not word:
+        yield ()
+    for k in range(1, len(word) + 1):
+        if word[:k] in grid.automaton:
+            yield from ((grid.automaton.get(word[:k])[0], *rest) for rest in segmentations(word[k:], grid))
+        elif k == 1 and word[0] not in grid.single:
+            yield from ((-len(word[0].encode()), *rest) for rest in segmentations(word[1:], grid))
+
+
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_scores_by_all_segmentations(spark, monkeypatch, hot):
+    """Weights and scores from a list of every word's segmentations, on short words."""
+    monkeypatch.setattr(lattice_lm, "HOT", hot)
+    grid, r = lattice_lm.lattice(tokenizer_path(lattice_lm.MODEL)), random.Random(4)
+    rows = [(i, " ".join(r.choice(["the", "hat", "a字", "onion", "é", "In", "x\0y", "tin"]) for _ in range(r.randint(0, 9)))) for i in range(40)] + [(77, None), (78, "Quz")]
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    words = {i: (t or "").encode().lower().decode().split() for i, t in rows}
+    count = {}
+    for i, ws in words.items():
+        for w in ws:
+            count[w] = count.get(w, 0) + (not out[i])
+    cuts = {w: list(segmentations("▁" + w, grid)) for w in count}
+
+    def marginal(w, weights):
+        return sum(math.exp(sum(weights.piece[i] if i >= 0 else -i * weights.byte for i in cut)) for cut in cuts[w])
+
+    first = lattice_lm.Weights(grid.first, 0.3)
+    pieces, n = grid.first * lattice_lm.PRIOR * 100, sum(count.values())
+    for w, c in count.items():
+        for cut in cuts[w]:
+            share = c * math.exp(sum(first.piece[i] if i >= 0 else -i * first.byte for i in cut)) / marginal(w, first)
+            for i in cut:
+                if i >= 0:
+                    pieces[i] += share
+    stop = (n + 0.3) / (n + pieces.sum() - grid.first.sum() * lattice_lm.PRIOR * 100 + 1.0)
+    fitted = lattice_lm.Weights(pieces, stop)
+    ends = sum(not x for x in out.values())
+    end = ends / (n + ends)
+    got = lattice_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = math.log10(end) + sum(math.log10((1 - end) * marginal(w, fitted) * stop) for w in words[r["doc_id"]])
+        assert math.isclose(r["score"], want, rel_tol=1e-6), r
 
 
 def test_lm_scores(docs):
@@ -224,7 +349,7 @@ def test_lm_scores(docs):
     assert len(rows) == len(texts(docs))
     for r in rows:
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) == base[r["doc_id"]]
-        assert -1e9 < r["score"] <= r["closed_score"] <= 0
+        assert -1e9 < r["score"] < 0 and -1e9 < r["word_score"] <= r["closed_score"] <= 0
     assert lattice_lm.score_documents(docs.limit(0)).count() == 0
 
 
@@ -245,18 +370,41 @@ def test_media(docs):
     page = "<p>One</p><figure><img src='sha256:" + "0" * 64 + "'><figcaption>A &amp; b</figcaption></figure>two<br>three<img alt=\"c\" src=sha256:" + "1" * 64 + ">"
     items = media.parse(page)
     assert [(i["position"], i["text"], i["caption"]) for i in items] == [(0, "One", None), (1, None, "A & b"), (2, "twothree", None), (3, None, "c")]
-    stored = media.store(docs).cache()
-    got = media.resolve(media.sequences(stored), media.media_features(stored)).collect()
+    rows, stored = media.store(docs)
+    assert stored.count() == stored.select("digest").distinct().count() == rows.select("digest").distinct().count() < rows.count()
+    got = media.resolve(media.sequences(media.pages(rows), keep=("n_bytes",)), media.media_features(stored)).collect()
     want = []
     for i, t in texts(docs):
         b = t.encode()
         p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
-        want.append((i or -1, f"{len(b)} bytes", len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
-    assert sorted((r["doc_id"] or -1, r["caption"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
+        whole = b"P6\n64 %d\n255\n" % (len(p) // 192) + p
+        grey = [p[k] + p[k + 1] + p[k + 2] for k in range(0, len(p), 3)]
+        mean = sum(grey) / len(grey)
+        cuts = [k * len(grey) // 64 for k in range(65)]
+        bits = "".join(str(int(sum(grey[x:y]) / (y - x) > mean)) for x, y in zip(cuts, cuts[1:]))
+        feature = f"{int(bits, 2):016x}:{mean / 3:.4f}:{math.sqrt(sum((g - mean) ** 2 for g in grey) / len(grey)) / 3:.4f}"
+        for position, caption in ((1, media.OWN), (3, "again")):
+            want.append((i or -1, position, caption, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(whole), hashlib.sha256(whole).hexdigest(), feature))
+    assert sorted((r["doc_id"] or -1, r["position"], r["caption"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in got) == sorted(want)
+    none = media.store(docs.limit(0))
+    assert none[0].count() == none[1].count() == media.sequences(media.pages(none[0])).count() == 0
     with pytest.raises(ValueError, match="pixmap"):
         media.samples_of(b"P6\n64 2\n255\nabc")
 
 
+def test_interleaved_references(spark):
+    a, b, lost = "a" * 64, "b" * 64, "c" * 64
+    page = f"<h1>One</h1><figure><img src='sha256:{a}'><img src='sha256:{b}'><figcaption>Both &lt;</figcaption></figure><p>Two<p>three <img alt='x' src=sha256:{a}> four <video src=\"sha256:{lost}\"></video>"
+    rows = spark.createDataFrame([(1, page, "k"), (1, page, "k"), (None, f"<img src='sha256:{b}'>", None), (2, None, "k"), (3, "<p>words", "k")], "doc_id long, html string, extra string")
+    found = media.sequences(rows, keep=("extra",))
+    items = {r["doc_id"]: [(i["text"], i["digest"], i["caption"]) for i in r["items"]] for r in found.collect()}
+    assert items[1] == [("One", None, None), (None, a, "Both <"), (None, b, "Both <"), ("Two", None, None), ("three", None, None), (None, a, "x"), ("four", None, None), (None, lost, None)]
+    assert items[2] == [] and items[3] == [("words", None, None)] and items[None] == [(None, b, None)]
+    known = spark.createDataFrame([(a, "A"), (b, "B"), ("d" * 64, "D")], "digest string, value string")
+    got = sorted((r["doc_id"] or 0, r["position"], r["caption"] or "", r["value"] or "", r["extra"] or "") for r in media.resolve(found, known).collect())
+    assert got == sorted([(1, 1, "Both <", "A", "k"), (1, 2, "Both <", "B", "k"), (1, 5, "x", "A", "k"), (1, 7, "", "", "k")] * 2 + [(0, 0, "", "B", "")])
+
+
 def test_chat_layouts(spark):
     records = [
         ('{"messages":[{"role":"user","content":"a<b>\\\\l"},{"content":null,"role":"assistant"}]}', "messages", [("user", "a<b>\\l"), ("assistant", "")]),
@@ -277,7 +425,7 @@ def test_chat_layouts(spark):
 def test_chat_packing(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", None), (2, 0, "user", "a"), (2, 0, "user", "a"), (None, None, None, "x"), (3, 1, "assistant", "late"), (3, 0, "weird<role>", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical_turns(chat.pack_records(df), "record").collect()}
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical_turns(chat.pack_records(df), "record", said="said").collect()}
     assert got == {1: [("user", "q"), ("assistant", "")], 2: [("user", "a"), ("user", "a")], None: [("", "x")], 3: [("weird<role>", ""), ("assistant", "late")]}
 
 
@@ -285,13 +433,26 @@ def test_long_chat(spark):
     n = 20_000_001
     rows = spark.createDataFrame([(1, 0, "user", "q", 1), (1, 1, "assistant", "b", n), (2, 0, "assistant", "c", n), (3, 0, "user", "q", 1), (3, 1, "assistant", "d", 1)], "conv_id long, turn long, role string, text string, n int")
     packed = chat.pack_records(rows.withColumn("text", F.expr("repeat(text, n)")))
-    out = chat.format_turns(chat.canonical_turns(packed, "record", packed="packed"))
+    out = chat.format_turns(chat.canonical_turns(packed, "record", said="said"))
     loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
     got = {r[0]: tuple(r)[1:] for r in out.select("conv_id", "layout", F.size("turns"), F.length(F.element_at("turns", -1)["text"]), F.length(loss), F.length("formatted")).collect()}
     head = len("<turn:user>q</turn>\n<turn:assistant></turn>\n")
     assert got == {1: ("prompt", 2, n, n, n + head), 2: ("messages", 1, n, n, n + len("<turn:assistant></turn>\n")), 3: ("prompt", 2, 1, 1, 1 + head)}
+    foreign = spark.range(1).select(F.concat(F.lit('{"prompt":"p","response":"'), F.expr(f"repeat('x', {n})"), F.lit('"}')).alias("record"))
     with pytest.raises(Exception, match="too long"):
-        chat.canonical_turns(packed.drop("packed"), "record").select("conv_id", F.size("turns")).collect()
+        chat.canonical_turns(foreign, "record").select(F.size("turns")).collect()
+    broken = spark.createDataFrame([("no json", [("user", "x")])], "record string, said array<struct<role:string,text:string>>")
+    with pytest.raises(Exception, match="can't be parsed"):
+        chat.canonical_turns(broken, "record", said="said").collect()
+    none = chat.format_turns(chat.canonical_turns(chat.pack_records(rows.select("conv_id", "turn", "role", "text").limit(0)), "record", said="said"))
+    assert none.count() == 0
+
+
+def test_very_long_chat(spark):
+    n = 25_000_000
+    rows = spark.createDataFrame([(1, 0, "user", "b", n), (1, 1, "assistant", "<", n)], "conv_id long, turn long, role string, text string, n int").withColumn("text", F.expr("repeat(text, n)"))
+    out = chat.format_turns(chat.canonical_turns(chat.pack_records(rows), "record", said="said"))
+    assert tuple(out.select("layout", F.size("turns"), F.length(F.element_at("turns", -1)["text"])).first()) == ("prompt", 2, n)
 
 
 def test_near_duplicates(spark, docs):
@@ -315,6 +476,73 @@ def test_near_duplicates(spark, docs):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def components_of(rows, width):
+    """Smallest id that each id reaches over brute-force links; rows of one id are one document."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(i, []).append({tuple(w)} if 0 < len(w) < width else {tuple(w[k : k + width]) for k in range(len(w) - width + 1)})
+    best = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if best[j] < best[i] and any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in a for y in b):
+                    best[i], changed = best[j], True
+    return best
+
+
+def test_repeated_ids_of_near_duplicates(spark):
+    cases = ([(3, "b"), (10, "a"), (10, "b")], [(3, "b"), (4, "a"), (10, "a"), (10, "b")], [(10, "a"), (10, "b"), (12, "b")], [(3, "b"), (10, "b"), (10, ""), (10, None), (11, "")], [(7, "a"), (7, "a"), (9, "b")], [(5, "a"), (5, "b"), (3, ""), (3, "b"), (2, "a")])
+    rows = [(100 * k + i, prose(10 * k + ord(t) - 96) if t else t) for k, case in enumerate(cases) for i, t in case]
+    want = components_of(rows, 5)
+    assert (want[10], want[110], want[112 - 2], want[210], want[310], want[503]) == (3, 103, 103, 210, 303, 502)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["component_id"], r["kept"]) == (want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
+
+
+def test_bloom_joins(spark):
+    import functools
+
+    df = spark.range(-500, 4500).select(F.when(F.col("id") < 4490, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    ids = spark.range(0, 4000, 3).toDF("doc_id")
+    for f in (common.without_ids, functools.partial(common.without_ids, most=0)):
+        left = [r["doc_id"] for r in f(df, ids).collect()]
+        assert sorted(x for x in left if x is not None) == [i for i in range(-500, 4490) if not (0 <= i < 4000 and i % 3 == 0)] and left.count(None) == 10
+    rows = ids.withColumn("n", F.col("doc_id") * 2)
+    for most in (10**6, 0):
+        assert sorted((r["doc_id"], r["n"]) for r in common.with_rows(df, rows, "doc_id", most).collect()) == [(i, 2 * i) for i in range(0, 4000, 3)]
+    assert df.filter(common.possibly_among("doc_id", ids, 1334)).count() < 1334 + 20
+    assert common.without_ids(df, ids.limit(0), most=-1).count() == 5000
+
+
+def test_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_DEGREE", 3)
+    edges = [(1, k) for k in range(2, 30)] + [(k, k + 1) for k in range(100, 120)] + [(120, 5)] + [(40, 41), (41, 42)]
+    got = {r["node"]: r["component"] for r in neardup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 1 for k in [*range(1, 30), *range(100, 121)]}, **{k: 40 for k in (40, 41, 42)}}
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Signatures that agree in their first chunk: its keys are hot, and no row is lost or made twice."""
+    monkeypatch.setattr(neardup, "HOT_SHARE", 2)
+    monkeypatch.setattr(neardup, "KEY_BLOCK", 64)
+    r = np.random.default_rng(1)
+    signatures = r.integers(0, 65536, (90, neardup.POSITIONS)).astype(np.uint16)
+    signatures[:60, :6] = 7
+    signatures[70] = signatures[71]
+    classes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(signatures)], "rep long, signature binary")
+    keys = neardup.keys_of(signatures).view(np.int64)
+    assert set(neardup._hot_keys(classes).tolist()) == set(keys[0, :15].tolist())
+    found, times = np.unique(keys, return_counts=True)
+    twice = set(found[times > 1].tolist())
+    want = sorted((int(k), rep) for rep, row in enumerate(keys) for k in row if int(k) in twice)
+    assert sorted(map(tuple, neardup._shared_keys(classes).collect())) == want and len(want) == 60 * 15 + 2 * 90
+
+
 def test_pigeonhole():
     r = np.random.default_rng(0)
     for _ in range(200):
@@ -325,12 +553,23 @@ def test_pigeonhole():
 
 
 def test_blocks_of_large_clusters(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SET_BLOCK", 300)
+    """Groups far smaller than the clusters: chains, whose ends aren't linked with the centre, and stars, ids repeated."""
+    monkeypatch.setattr(neardup, "MEMBERS", 5)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 900)
     monkeypatch.setattr(neardup, "KEY_BLOCK", 4)
-    base = prose(0, 120).split()
-    rows = [(i, " ".join([*base[:i], f"w{i}", *base[i + 1 :]])) for i in range(1, 25)]
+    base, rows = prose(0, 120).split(), []
+    rows += [(i, " ".join([*base[:i], f"w{i}", *base[i + 1 :]])) for i in range(1, 25)]
+    words = prose(5, 120).split()
+    for i in range(30):  # each differs from the one before in one more word
+        words[4 * i % 120] = f"v{i}"
+        rows.append((100 + i, " ".join(words)))
+    far = prose(8, 100).split()
+    rows += [(200 + i, " ".join([*far[: 3 * i], *prose(50 + i, 12).split(), *far[3 * i + 12 :]])) for i in range(20)]
+    rows += [(110, prose(70)), (3, prose(71)), (3, prose(71)), (129, None), (210, " ".join(base))]
+    want = components_of(rows, 5)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {1}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert want[129] == 100 and want[24] == 1 and len(set(want.values())) < len(want) / 3
 
 
 def test_pipeline(spark, tmp_path):
