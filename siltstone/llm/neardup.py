@@ -10,10 +10,11 @@
    positions of a chunk gives one key, so all pairs within DISTANCE meet under some key.
 4. Under each key the graph of pairs within DISTANCE is searched and its connected parts are written
    as stars, never as pairs. Oversized keys are split into blocks, one group for each pair of blocks.
-5. The parts over all keys give candidate clusters. A cluster's documents meet once, in blocks of
-   bounded size, and links are confirmed there on full sets: 100 * common >= threshold * union.
-   Pairs that are already connected are skipped: links are kept as stars again. Only members' texts are
-   read for this, and their sets are shuffled, never texts.
+5. The parts over all keys give candidate clusters, in which links are confirmed on full sets:
+   100 * common >= threshold * union. A small cluster is one group. Members of a larger one are first dealt
+   out in groups of bounded size, each with the cluster's centre; those that it is linked with are
+   connected already, so only the others have to meet all members, in blocks of bounded size. Links are
+   kept as stars again. Only members' texts are read for this, and their sets are shuffled, never texts.
 6. Connected components of the links, by alternating large-star and small-star steps.
 
 Defined cases: null and empty texts and texts without words have an empty set (n_shingles 0), link
@@ -36,7 +37,9 @@ from siltstone.llm.common import documents, drop, materialize, with_rows
 
 POSITIONS, BITS, DISTANCE, CHUNKS, ERRORS = 36, 16, 17, 6, 2
 KEY_BLOCK = 8192  # signatures of one key that meet in a group
-SET_BLOCK = 2_000_000  # shingles of one cluster that meet in a group, from either side
+MEMBERS, SET_BLOCK = 512, 2_000_000  # members and shingles of one cluster that meet in a group, about, from either side
+HOT_SHARE = 200  # a key that one class in so many has is hot
+_CLASSES = 2000  # classes whose keys are made at a time
 HOT_DEGREE, HOT_NODES = 1000, 100_000  # edges from which on a node's label is broadcast, and such nodes at most
 _SEEN = 100_000  # sets that a task remembers having sent
 
@@ -138,35 +141,60 @@ def sketch(df: DataFrame, width: int) -> DataFrame:
     return documents(df).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and their rows of keys, some thousand classes at a time."""
+    for batch in batches:
+        for part in (batch.slice(at, _CLASSES) for at in range(0, len(batch), _CLASSES)):
+            yield part.column(0).to_numpy(), keys_of(_signatures(part.column(1))).view(np.int64)
+
+
+def _hot_keys(classes: DataFrame) -> np.ndarray:
+    """Keys that about one class in HOT_SHARE has; by the number of keys a class has there are few such keys.
+
+    Whether a key is found here changes only how its rows are dealt, not what is found under it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for reps, keys in _key_batches(batches):
+            key, n = np.unique(keys, return_counts=True)
+            often = n >= max(8, len(reps) // HOT_SHARE)
+            yield _batch(key=pa.array(key[often]), n=pa.array(n[often]))
+
+    least = max(KEY_BLOCK // 8, classes.count() // (4 * HOT_SHARE))
+    found = classes.select("rep", "signature").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([r["key"] for r in found.select("key").collect()], np.int64))  # 4 * HOT_SHARE * len(_KEPT) at most
+
+
 def _shared_keys(classes: DataFrame) -> DataFrame:
-    """key, rep: the keys that at least two classes have."""
+    """key, rep: the keys that at least two classes have. Rows of hot keys, which are shared, are dealt by class as well."""
+    hot = classes.sparkSession.sparkContext.broadcast(_hot_keys(classes))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 2000) for at in range(0, len(batch), 2000)):
-                keys = keys_of(_signatures(part.column(1)))
-                yield _batch(key=pa.array(keys.view(np.int64).ravel()), rep=pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1])))
+        for reps, keys in _key_batches(batches):
+            flat, owner = keys.ravel(), np.repeat(reps, keys.shape[1])
+            salt = np.where(np.isin(flat, hot.value), 1 + (owner & 63), 0).astype(np.int32)
+            yield _batch(key=pa.array(flat), salt=pa.array(salt), rep=pa.array(owner))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rep, open_ = None, None, False  # the row before, and whether it's already known to share its key
+        last, open_ = None, False  # the row before, and whether it's already known to share its key
         for batch in batches:
             if not len(batch):
                 continue
-            k, r = (batch.column(c).to_numpy() for c in (0, 1))
-            if key is not None:
-                k, r = np.concatenate([[key], k]), np.concatenate([[rep], r])
+            k, salt, r = (batch.column(c).to_numpy() for c in range(3))
+            if last is not None:
+                k, salt, r = (np.append(x, y) for x, y in zip(last, (k, salt, r), strict=True))
             same = np.zeros(len(k) + 1, bool)
             same[1:-1] = k[1:] == k[:-1]
             same[0] = open_
-            keep = same[:-1] | same[1:]
+            keep = same[:-1] | same[1:] | (salt > 0)
             keep[-1] = False  # is decided with the next row
             yield _batch(key=pa.array(k[keep]), rep=pa.array(r[keep]))
-            key, rep, open_ = k[-1], r[-1], bool(same[len(k) - 1])
-        if open_:
-            yield _batch(key=pa.array([key]), rep=pa.array([rep]))
+            last, open_ = (k[-1], salt[-1], r[-1]), bool(same[len(k) - 1])
+        if last is not None and (open_ or last[1] > 0):
+            yield _batch(key=pa.array([last[0]]), rep=pa.array([last[2]]))
 
-    keys = classes.select("rep", "signature").mapInArrow(emit, "key long, rep long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, rep long")
+    keys = classes.select("rep", "signature").mapInArrow(emit, "key long, salt int, rep long")
+    return keys.repartition("key", "salt").sortWithinPartitions("key").mapInArrow(shared, "key long, rep long")
 
 
 def _parts(df: DataFrame, group: str, weight: str, most: int) -> DataFrame:
@@ -296,45 +324,110 @@ def _sets(df: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return with_rows(texts, members, "rep").select("rep", "text", *names).mapInArrow(run, f"rep long, {kinds}, digest binary, signature binary, hashes binary")
 
 
+class _Group:
+    """Members of a cluster that meet: their classes, sets and signatures, each set once."""
+
+    def __init__(self, rows: pa.Table):
+        keys = [r.to_bytes(8, "little", signed=True) + d for r, d in zip(rows.column("rep").to_pylist(), rows.column("digest").to_pylist(), strict=True)]
+        _, once = np.unique(keys, return_index=True)
+        rows = rows.take(pa.array(once))
+        self.rows, self.reps = rows, rows.column("rep").to_numpy()
+        self.sets = [np.frombuffer(h.as_py(), np.uint64) for h in rows.column("hashes")]
+        self.size = np.array([len(x) for x in self.sets])
+        self.flat, self.ends = np.concatenate(self.sets), np.cumsum(self.size)
+        self.signatures = _signatures(rows.column("signature").combine_chunks())
+
+    def linked(self, k: int, rest: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the rest the k-th is linked with."""
+        size, own = self.size, self.sets[k]
+        common = np.zeros(len(rest), np.int64)
+        ok = (np.minimum(size[rest], size[k]) * 100 >= percent * np.maximum(size[rest], size[k])) & ((self.signatures[rest] != self.signatures[k]).sum(axis=1) <= DISTANCE)
+        near = np.flatnonzero(ok)
+        for at in range(0, len(near), 512):
+            some = rest[near[at : at + 512]]
+            rows = np.concatenate([self.flat[self.ends[r] - size[r] : self.ends[r]] for r in some])
+            where = np.searchsorted(own, rows)
+            hit = own[np.minimum(where, size[k] - 1)] == rows
+            common[near[at : at + 512]] = np.add.reduceat(hit, np.r_[0, np.cumsum(size[some])[:-1]])
+        return ok & (100 * common >= percent * (size[rest] + size[k] - common))
+
+
+_SET_COLUMNS = ("rep", "digest", "signature", "hashes")
+
+
 def _confirmed(df: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """Stars (a, b) of classes that links on full sets connect; clusters: rep, cluster, n_shingles.
+    """Stars (a, b) of classes that links on full sets connect; clusters: rep, cluster, n_shingles."""
+    total = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_m"), F.sum("n_shingles").alias("_w"))
+    parts = F.greatest(F.ceil(F.col("_m") / F.lit(MEMBERS)), F.ceil(F.col("_w") / F.lit(SET_BLOCK))).cast("int")
+    members = materialize(clusters.join(total.select("cluster", parts.alias("_n")), "cluster").select("rep", "cluster", "_n"), "members")
+    sets = materialize(_sets(df, members, width), "sets")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
+            group = _Group(rows)
+            yield _edges([_stars(group.reps, _components(len(group.reps), lambda k, rest: group.linked(k, rest, percent)))])
+
+    small = sets.filter("_n = 1").select("cluster", *_SET_COLUMNS).repartition("cluster").sortWithinPartitions("cluster").mapInArrow(whole, "a long, b long")
+    large = sets.filter("_n > 1")
+    if large.isEmpty():
+        return small
+    stars = materialize(_of_centres(large, percent), "stars")
+    links = small.unionAll(stars.filter("linked").select("a", "b"))
+    apart = stars.filter("not linked").select(F.col("b").alias("rep")).distinct()
+    return links if apart.isEmpty() else links.unionAll(_of_others(large, apart, percent))
+
+
+def _of_centres(large: DataFrame, percent: int) -> DataFrame:
+    """a, the centre of a cluster, b, a member, and whether they are linked, for all members: each group has the centre beside it."""
 
-    Only texts of clusters' members are read for this, and what is shuffled is their sets.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 2):
+            group, centre = _Group(rows), rows.column("cluster")[0].as_py()
+            found = group.reps == centre
+            for k in np.flatnonzero(found):
+                found |= group.linked(int(k), np.arange(len(group.reps)), percent)
+            reps, first = np.unique(group.reps, return_index=True)
+            linked = np.zeros(len(reps), bool)
+            np.logical_or.at(linked, np.searchsorted(reps, group.reps), found)
+            yield _batch(a=pa.array(np.full(len(reps), centre)), b=pa.array(reps), linked=pa.array(linked))
+
+    part = F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")
+    rows = large.select("cluster", part.alias("part"), *_SET_COLUMNS)
+    centres = large.filter("rep = cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("part"), *_SET_COLUMNS)
+    dealt = rows.unionAll(centres).repartition("cluster", "part").sortWithinPartitions("cluster", "part")
+    return dealt.mapInArrow(run, "a long, b long, linked boolean").distinct()
+
+
+def _of_others(large: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Stars (a, b) that connect members without a link to their cluster's centre with each other and with the rest."""
+    marked = large.join(apart.withColumn("_apart", F.lit(1)), "rep", "left").withColumn("_apart", F.coalesce("_apart", F.lit(0)))
+    weight = F.sum(F.octet_length("hashes") / F.lit(8))
+    of_side = marked.groupBy("cluster", "_apart").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)), F.ceil(weight / F.lit(SET_BLOCK))).cast("int").alias("k"))
+    blocks = of_side.groupBy("cluster").agg(F.max(F.when(F.col("_apart") == 1, F.col("k"))).alias("_u"), F.coalesce(F.max(F.when(F.col("_apart") == 0, F.col("k"))), F.lit(0)).alias("_l"))
+    rows = marked.join(blocks.filter("_u > 0"), "cluster")
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("_apart") == 1, F.col("_u")).otherwise(F.col("_l"))).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda i, side, j: F.struct(i.cast("int").alias("i"), F.lit(side).alias("side"), j.cast("int").alias("j"))
+    others = F.concat(F.transform(upto(F.col("_u")), lambda o: pair(F.least(o, F.col("_b")), 0, F.greatest(o, F.col("_b")))), F.transform(upto(F.col("_l")), lambda j: pair(F.col("_b"), 1, j)))
+    rest = F.transform(upto(F.col("_u")), lambda i: pair(i, 1, F.col("_b")))
+    rows = rows.withColumn("_b", mine).withColumn("_p", F.explode(F.when(F.col("_apart") == 1, others).otherwise(rest)))
+    rows = rows.select("cluster", "_p.i", "_p.side", "_p.j", F.when(F.col("_p.side") == 1, F.col("_apart")).otherwise(F.col("_b")).alias("_tag"), *_SET_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, 3):
-            _, once = np.unique([r.to_bytes(8, "little", signed=True) + d for r, d in zip(group.column("rep").to_pylist(), group.column("digest").to_pylist(), strict=True)], return_index=True)
-            group = group.take(pa.array(once))
-            reps = group.column("rep").to_numpy()
-            sets = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("hashes")]
-            size = np.array([len(s) for s in sets])
-            flat, ends = np.concatenate(sets), np.cumsum(size)
-            sig = _signatures(group.column("signature").combine_chunks())
-            block, i = group.column("_b").to_numpy(), group.column("i")[0].as_py()
-            alone = group.column("j")[0].as_py() == i
+        for found in _runs(batches, 4):
+            group = _Group(found)
+            i, side, j = (found.column(c)[0].as_py() for c in (1, 2, 3))
+            tag, alone = group.rows.column("_tag").to_numpy(), side == 0 and i == j
 
             def linked(k: int, rest: np.ndarray) -> np.ndarray:
-                common = np.zeros(len(rest), np.int64)
-                ok = (np.minimum(size[rest], size[k]) * 100 >= percent * np.maximum(size[rest], size[k])) & ((sig[rest] != sig[k]).sum(axis=1) <= DISTANCE)
-                if not alone:
-                    ok &= (block[rest] != block[k])  # pairs inside a block meet in that block's own group
-                near = np.flatnonzero(ok)
-                for at in range(0, len(near), 512):
-                    some = rest[near[at : at + 512]]
-                    rows = np.concatenate([flat[ends[r] - size[r] : ends[r]] for r in some])
-                    where = np.searchsorted(sets[k], rows)
-                    hit = sets[k][np.minimum(where, size[k] - 1)] == rows
-                    common[near[at : at + 512]] = np.add.reduceat(hit, np.r_[0, np.cumsum(size[some])[:-1]])
-                return ok & (100 * common >= percent * (size[rest] + size[k] - common))
-
-            yield _edges([_stars(reps, _components(len(reps), linked))])
-
-    large = _parts(clusters, "cluster", "n_shingles", SET_BLOCK)
-    members = clusters.join(large, "cluster", "left").select("rep", "cluster", F.coalesce("_n", F.lit(1)).alias("_n"))
-    members = materialize(members, "members")
-    rows = _blocks(_sets(df, members, width)).select("cluster", "i", "j", "rep", "_b", "digest", "signature", "hashes").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return rows.mapInArrow(run, "a long, b long")
+                ok = np.ones(len(rest), bool) if alone else tag[rest] != tag[k]  # pairs inside a block meet in its own group
+                ok[ok] = group.linked(k, rest[ok], percent)
+                return ok
+
+            yield _edges([_stars(group.reps, _components(len(group.reps), linked))])
+
+    dealt = rows.repartition("cluster", "i", "side", "j").sortWithinPartitions("cluster", "i", "side", "j")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
