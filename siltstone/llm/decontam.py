@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import Memo, documents
 
 WINDOW, SHARE, MIN_WORDS, RUN = 5, 0.5, 3, 13
-BLOCK_CHARS = 32_000_000
+#: Of the benchmark's text; a token takes some 60 bytes of each worker's memory, so a block's table is below 150 MB.
+BLOCK_CHARS = 8_000_000
 #: Units, where they stand behind a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg t lb lbs oz gram grams "
@@ -77,7 +78,7 @@ class Templates:
         self.n_units = len(self.words)
         self.memo = Memo(self._id, 300_000)
         self.items = [i for i, _ in items]
-        self.tokens: list[list[str]] = []
+        self.slots: list[dict[int, str]] = []  # an item's values by place: only these of its tokens are kept
         self.ids: list[np.ndarray] = []
         for _, text in items:
             for t in _TOKEN.findall(text):
@@ -88,7 +89,7 @@ class Templates:
         self.windows, self.telling = [], []
         for n, (_, text) in enumerate(items):
             tokens, ids, flat = self.read(text)
-            self.tokens.append(tokens)
+            self.slots.append({q: _surface(tokens[q])[0].lower() for q in np.flatnonzero(ids < _FIRST_WORD).tolist()})
             self.ids.append(ids)
             self.plain.append(flat)
             self.exact.append(self._exact(tokens, flat, np.arange(len(ids))))
@@ -214,7 +215,7 @@ class Templates:
         kind = int(self.ids[n][q])
         if kind >= _FIRST_WORD:
             return None
-        return (kind, _surface(self.tokens[n][q])[0].lower()), (kind, _surface(tokens[q + shift])[0].lower())
+        return (kind, self.slots[n][q]), (kind, _surface(tokens[q + shift])[0].lower())
 
     def _run(self, n: int, shift: int, places: list[tuple[int, int]], tokens: list[str]) -> int:
         """Most tokens of the item in a row that sorted windows of a diagonal cover and whose slots agree with one another."""
