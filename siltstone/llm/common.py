@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.storage import drop as drop
+from siltstone.storage import materialize as materialize
+
 #: Rows of ids that may be broadcast: some tens of megabytes. Beyond that a Bloom filter goes first.
 BROADCAST_ROWS = 1_000_000
 BLOOM_SLICE, BLOOM_SLICES = 1 << 19, 1 << 10  # bits of a slice, and slices at most: 64 MB
@@ -21,47 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
-
-    Only where a session on one machine names none, as in unit tests, a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="siltstone-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._silt_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by ``materialize`` that nothing reads any more."""
-    path = getattr(df, "_silt_path", None)
-    if path:
-        delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def _bloom(ids: DataFrame, n: int) -> np.ndarray:
     """Slices of bits of a Bloom filter of one column of n longs, of a bounded size: each id sets four bits of one slice."""
     slices = 1
