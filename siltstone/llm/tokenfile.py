@@ -28,6 +28,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from siltstone.llm.common import Memo, documents, materialize, tokenizer_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 MAGIC = b"SILTIDS2"
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 2048, 4096
 SEGMENT = BLOCK * LANES  # ids after which a segment is closed
 TABLE_BITS = 10
 _U = np.uint64
@@ -52,7 +53,9 @@ _TAKEN = np.array([not right and sure < 2 for sure in range(8) for right in (Fal
 _WEIGHT = np.array([min(max(w + (1 if lead == hit else -1), 1), 15) for w in range(16) for lead in (False, True) for hit in (False, True)], np.int32)
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64  # characters; longer parts aren't kept in the cache
-_SLICE = 1024  # documents that are encoded at a time
+_SLICE = 2048  # documents that are encoded at a time
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf"\A(?:\z|{_SPACE})|{_SPACE}\z"  # nothing, or white space at either end
 _TOKENIZERS: dict[str, PartEncoder] = {}
 SEGMENTS = "part int, segment int, first long, n long, blob binary"
 
@@ -102,6 +105,7 @@ class _Models:
         self.weight = _WEIGHT.take((self.weight << 2) + ((q[0] > q[1]) * np.int32(2) + hit))
         turn = self.sure + self.sure
         turn += self.guess == symbol
+        turn = turn.astype(np.intp)
         held = self.now
         held += _STEP.take(turn)
         taken = _TAKEN.take(turn)
@@ -130,31 +134,38 @@ def _encode(symbols: np.ndarray, share: np.ndarray, bits: int) -> tuple[np.ndarr
     grid, share = _cut(symbols), share.astype(_U)
     ends = np.cumsum(share) - share
     lanes = grid.shape[1]
-    models, room, shift = _Models(lanes), len(grid) * 2 + 4, _U(bits)
+    models, shift = _Models(lanes), _U(bits)
     low, width = np.zeros(lanes, _U), np.full(lanes, _FULL)
-    words, first = np.zeros(lanes * room, _U), np.arange(lanes) * room
+    # A row for each place of a word in its block, a column for each block: what is written in a step lies side by side.
+    words, first = np.zeros((len(grid) + 2) * lanes, _U), np.arange(lanes)
     at = first.copy()
     for symbol in grid:
-        right = (width >> _U(12)) * models.predict().astype(_U)
+        right = width >> _U(12)
+        right *= models.predict().astype(_U)
         hit = symbol == models.best
-        miss = ~hit
-        unit = (width - right >> shift) * miss
-        low += (right + unit * ends.take(symbol)) * miss
-        width = right * hit + unit * share.take(symbol)
+        miss = (~hit).astype(_U)
+        unit = width - right >> shift
+        unit *= miss
+        width = right  # of a hit
+        right = right * miss
+        width -= right
+        place = symbol.astype(np.intp)
+        width += unit * share.take(place)
+        right += unit * ends.take(place)
+        low += right
         # The word that may go out; with bit 32 it carries into the one before.
         words[at] = low >> _U(31)
         out = width < _TOP
-        at += out
-        move = out.astype(_U) << _U(5)
+        at += out * lanes
         np.copyto(low, (low & _LOW) << _U(32), where=out)
-        width <<= move
+        width <<= out.astype(_U) << _U(5)
         models.update(symbol, hit)
     for _ in range(2):
         words[at] = low >> _U(31)
         low = (low & _LOW) << _U(32)
-        at += 1
-    used = at - first
-    words = words.reshape(lanes, room)[:, : used.max()].T.copy()
+        at += lanes
+    used = (at - first) // lanes
+    words = words.reshape(-1, lanes)[: used.max()]
     for k in range(len(words) - 1, 0, -1):
         words[k - 1] += np.where(k < used, words[k] >> _U(32), _U(0))
     return used, words.T.astype("<u4")[np.arange(len(words)) < used[:, None]]
@@ -163,33 +174,39 @@ def _encode(symbols: np.ndarray, share: np.ndarray, bits: int) -> tuple[np.ndarr
 def _decode(flat: np.ndarray, used: np.ndarray, n: int, share: np.ndarray, bits: int) -> np.ndarray:
     """Symbols of up to LANES blocks of n symbols in all, from their words."""
     lanes = len(used)
-    at = np.cumsum(used) - used
-    flat = np.append(flat, np.zeros(2, np.uint32)).astype(_U)
-    ahead = ((flat[:-1] & _U(1)) << _U(31)) | flat[1:] >> _U(1)  # 32 bits from each word's last bit on
-    code = flat[at] << _U(31) | flat[at + 1] >> _U(1)
-    at += 1
-    of_share = np.repeat(np.arange(len(share), dtype=np.int32), share)
+    words = np.zeros((lanes, int(used.max()) + 2), np.uint32)
+    words[np.arange(words.shape[1]) < used[:, None]] = flat
+    words = words.T.astype(_U)
+    ahead = (((words[:-1] & _U(1)) << _U(31)) | words[1:] >> _U(1)).ravel()  # 32 bits from each word's last bit on
+    code, at = words[0] << _U(31) | words[1] >> _U(1), np.arange(lanes) + lanes
+    of_share = np.repeat(np.arange(len(share)), share)
     share = share.astype(_U)
     ends = np.cumsum(share) - share
     models, shift, last = _Models(lanes), _U(bits), _U((1 << bits) - 1)
     width = np.full(lanes, _FULL)
     grid = np.zeros((min(n, BLOCK), lanes), np.int32)
     for k in range(len(grid)):
-        right = (width >> _U(12)) * models.predict().astype(_U)
+        right = width >> _U(12)
+        right *= models.predict().astype(_U)
         hit = code < right
-        miss = ~hit
-        code -= right * miss
+        miss = (~hit).astype(_U)
         unit = width - right >> shift
-        found = of_share.take(np.minimum(code // unit, last).astype(np.int64))
+        width = right  # of a hit
+        right = right * miss
+        width -= right
+        code -= right
+        found = of_share.take(np.minimum(code // unit, last).astype(np.intp))
         unit *= miss
         code -= unit * ends.take(found)
-        width = right * hit + unit * share.take(found)
-        symbol = found + (models.best - found) * hit
+        width += unit * share.take(found)
+        symbol = found.astype(np.int32)
+        np.copyto(symbol, models.best, where=hit)
         out = width < _TOP
         move = out.astype(_U) << _U(5)
-        code = (code << move) + ahead.take(at, mode="clip") * out
+        code <<= move
+        code += ahead.take(at, mode="clip") * out
         width <<= move
-        at += out
+        at += out * lanes
         grid[k] = symbol
         models.update(symbol, hit)
     return grid.T.ravel()[:n]
@@ -197,7 +214,10 @@ def _decode(flat: np.ndarray, used: np.ndarray, n: int, share: np.ndarray, bits:
 
 def encode_ids(ids: np.ndarray, docs: list[int | None] | None = None, lengths: np.ndarray | None = None) -> bytes:
     """A segment's bytes from at least one id below 65536, and the documents' ids and lengths."""
-    alphabet, symbols = np.unique(ids, return_inverse=True)
+    alphabet = np.flatnonzero(np.bincount(ids, minlength=65536))
+    number = np.zeros(65536, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
+    symbols = number[ids]
     share, bits = _shares(symbols, len(alphabet))
     parts = [_encode(symbols[at : at + SEGMENT], share, bits) for at in range(0, len(ids), SEGMENT)]
     used, docs = np.concatenate([p[0] for p in parts]), [] if docs is None else docs
@@ -251,7 +271,7 @@ class PartEncoder:
     bytes of each token. The ids of all parts lie in one pool, from which texts are put together.
     """
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -268,7 +288,8 @@ class PartEncoder:
 
     def _clear(self) -> None:
         self.kept: dict[str, int] = {}  # a part's number
-        self.start, self.size, self.pool, self.used, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint16), 0, 0
+        self.times = np.zeros(self.cache, np.int32)  # batches that needed a part
+        self.start, self.size, self.pool, self.used, self.filled = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1 << 16, np.uint16), 0, 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
@@ -286,15 +307,28 @@ class PartEncoder:
         self.used, self.filled = first + n, self.filled + len(ids)
         return first
 
-    def learn(self, parts: list[str]) -> None:
-        """Numbers of parts that each follow a space."""
-        if parts:
-            raw = [" " + p for p in parts]
-            ids = self.ids("".join(raw))
-            ends = np.cumsum([len(p.encode()) for p in raw])
-            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")
-            first = self._add(ids[: cuts[-1]], np.diff(cuts, prepend=0))
-            self.kept.update(zip(parts, range(first, first + len(parts)), strict=True))
+    def _shrink(self) -> None:
+        """Keep the half of the cache that most batches needed, and of it only what several did."""
+        names, numbers = list(self.kept), np.fromiter(self.kept.values(), np.int64, len(self.kept))
+        times = self.times[numbers]
+        best = np.argsort(-times, kind="stable")[: self.cache // 2]
+        best = best[times[best] > 1]
+        start, size, pool = self.start[numbers[best]], self.size[numbers[best]], self.pool
+        self._clear()
+        before = np.cumsum(size) - size
+        self._add(pool[np.repeat(start - before, size) + np.arange(size.sum())], size)
+        self.kept = {names[k]: n for n, k in enumerate(best.tolist())}
+        self.times[: len(best)] = times[best] >> 1
+
+    def learn(self, parts: list[str]) -> int:
+        """Put parts that each follow a space into the pool; the first one's number."""
+        if not parts:
+            return self.used
+        raw = [" " + p for p in parts]
+        ids = self.ids("".join(raw))
+        ends = np.cumsum([len(p.encode()) for p in raw])
+        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")
+        return self._add(ids[: cuts[-1]], np.diff(cuts, prepend=0))
 
     def _parts(self, text: str) -> tuple[list[str], str]:
         """Parts of a text with other white space beside its spaces, and a last one that can't stand before others."""
@@ -309,56 +343,59 @@ class PartEncoder:
         """
         if not len(texts):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        lists = pc.split_pattern(texts, " ").combine_chunks() if isinstance(texts, pa.ChunkedArray) else pc.split_pattern(texts, " ")
-        ends = np.asarray(lists.offsets, np.int64)
-        ends, words = ends - ends[0], lists.flatten()
-        found = pc.dictionary_encode(words)
-        codes, parts = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in parts), bool, len(parts))
-        tails: dict[int, str] = {}
+        lists = pc.split_pattern(texts, " ")
+        ends = np.asarray(lists.offsets)
+        ends, found = ends - ends[0], pc.dictionary_encode(lists.flatten())
+        codes, parts = found.indices.to_numpy(), found.dictionary.to_pylist()
+        odd, tails = pc.match_substring_regex(found.dictionary, _ODD).to_numpy(zero_copy_only=False), {}
         if odd.any():  # more than one space, or another white space beside it
-            rows = np.flatnonzero(np.add.reduceat(odd[codes], ends[:-1]))
-            number, pieces, split = {p: k for k, p in enumerate(parts)}, [], dict.fromkeys(rows.tolist())
-            for row in split:
+            number, split = {p: k for k, p in enumerate(parts)}, {}
+            for row in np.flatnonzero(np.add.reduceat(odd[codes], ends[:-1])).tolist():
                 some, tail = self._parts(texts[row].as_py())
                 if tail:
                     tails[row] = tail
-                split[row] = np.array([number.setdefault(p, len(number)) for p in some], np.int64)
+                split[row] = np.array([number.setdefault(p, len(number)) for p in some], np.int32)
             pieces = [split[r] if r in split else codes[ends[r] : ends[r + 1]] for r in range(len(texts))]
             codes, ends, parts = np.concatenate(pieces), np.r_[0, np.cumsum([len(x) for x in pieces])], list(number)
-        first = codes[ends[:-1]]
+        first = ends[:-1]
         inner = np.ones(len(codes), bool)
-        inner[ends[:-1]] = False
-        needed = np.unique(codes[inner]).tolist()
-        lacking = [parts[k] for k in needed if parts[k] not in self.kept]
+        inner[first] = False
+        needed = np.zeros(len(parts), bool)
+        needed[codes[inner]] = True
+        numbers = np.fromiter(map(self.kept.get, parts, repeat(-1)), np.int32, len(parts))
+        lacking = np.flatnonzero(needed & (numbers < 0))
+        if len(self.kept) + len(lacking) > self.cache:
+            self._shrink()
+            numbers = np.fromiter(map(self.kept.get, parts, repeat(-1)), np.int32, len(parts))
+            lacking = np.flatnonzero(needed & (numbers < 0))
         if len(self.kept) + len(lacking) > self.cache:
             self._clear()
-            lacking = [parts[k] for k in needed]
-        long = [p for p in lacking if len(p) >= _LONG]
-        self.learn([p for p in lacking if len(p) < _LONG])
-        kept_used, kept_filled = self.used, self.filled
-        self.learn(long)
-        of_code = np.zeros(len(parts), np.int64)
-        of_code[needed] = [self.kept[parts[k]] for k in needed]
-        number = of_code[codes]
-        heads = [self.heads[parts[k]] if len(parts[k]) < _LONG else self.ids(parts[k]) for k in first.tolist()]
-        at = self._add(np.concatenate(heads), np.array([len(h) for h in heads], np.int64))
-        number[ends[:-1]] = at + np.arange(len(heads))
-        behind = [self.ids(" " + tails[r]) if r in tails else np.zeros(0, np.uint16) for r in range(len(texts))] if tails else []
+            self.times, lacking = np.zeros(len(parts), np.int32), np.flatnonzero(needed)
+        long = np.fromiter((len(parts[k]) >= _LONG for k in lacking.tolist()), bool, len(lacking))
+        short = [parts[k] for k in lacking[~long].tolist()]
+        at = self.learn(short)
+        self.kept.update(zip(short, range(at, at + len(short)), strict=True))
+        numbers[lacking[~long]] = at + np.arange(len(short))
+        self.times[numbers[needed & (numbers >= 0)]] += 1
+        used, filled = self.used, self.filled
+        numbers[lacking[long]] = self.learn([parts[k] for k in lacking[long].tolist()]) + np.arange(long.sum())
+        number = numbers[codes]
+        heads = [self.heads[parts[k]] if len(parts[k]) < _LONG else self.ids(parts[k]) for k in codes[first].tolist()]
+        number[first] = self._add(np.concatenate(heads), np.array([len(h) for h in heads])) + np.arange(len(heads))
         if tails:
-            at = self._add(np.concatenate(behind), np.array([len(x) for x in behind], np.int64))
+            behind = [self.ids(" " + tails[r]) if r in tails else np.zeros(0, np.uint16) for r in range(len(texts))]
+            at = self._add(np.concatenate(behind), np.array([len(x) for x in behind]))
             number, ends = np.insert(number, ends[1:], at + np.arange(len(texts))), ends + np.arange(len(ends))
         if end is not None:
-            at = self._add(np.array([end], np.uint16), np.array([1], np.int64))
+            at = self._add(np.array([end], np.uint16), np.array([1]))
             number, ends = np.insert(number, ends[1:], at), ends + np.arange(len(ends))
         sizes = self.size[number]
-        before = np.cumsum(sizes) - sizes
+        before = np.cumsum(sizes) - sizes  # of ids
         total = int(before[-1] + sizes[-1])
-        ids = self.pool[np.repeat(self.start[number] - before, sizes) + np.arange(total)]
-        lengths = np.diff(np.r_[before, total][ends])
-        self.used, self.filled = kept_used, kept_filled
-        for p in long:
-            del self.kept[p]
+        where = np.repeat((self.start[number] - before).astype(np.int32), sizes)
+        where += np.arange(total, dtype=np.int32)
+        ids, lengths = self.pool[where], np.diff(np.append(before, total)[ends])
+        self.used, self.filled = used, filled
         return ids, lengths
 
 
