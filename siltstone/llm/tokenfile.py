@@ -346,7 +346,7 @@ class PartEncoder:
         lists = pc.split_pattern(texts, " ")
         ends = np.asarray(lists.offsets)
         ends, found = ends - ends[0], pc.dictionary_encode(lists.flatten())
-        codes, parts = found.indices.to_numpy(), found.dictionary.to_pylist()
+        codes, parts = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
         odd, tails = pc.match_substring_regex(found.dictionary, _ODD).to_numpy(zero_copy_only=False), {}
         if odd.any():  # more than one space, or another white space beside it
             number, split = {p: k for k, p in enumerate(parts)}, {}
