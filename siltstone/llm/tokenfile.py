@@ -271,7 +271,7 @@ class PartEncoder:
     bytes of each token. The ids of all parts lie in one pool, from which texts are put together.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -347,7 +347,9 @@ class PartEncoder:
         ends = np.asarray(lists.offsets)
         ends, found = ends - ends[0], pc.dictionary_encode(lists.flatten())
         codes, parts = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        odd, tails = pc.match_substring_regex(found.dictionary, _ODD).to_numpy(zero_copy_only=False), {}
+        numbers = np.fromiter(map(self.kept.get, parts, repeat(-1)), np.int32, len(parts))
+        odd, tails, new = np.zeros(len(parts), bool), {}, np.flatnonzero(numbers < 0)  # what is kept isn't odd
+        odd[new] = pc.match_substring_regex(found.dictionary.take(pa.array(new)), _ODD).to_numpy(zero_copy_only=False)
         if odd.any():  # more than one space, or another white space beside it
             number, split = {p: k for k, p in enumerate(parts)}, {}
             for row in np.flatnonzero(np.add.reduceat(odd[codes], ends[:-1])).tolist():
@@ -357,12 +359,12 @@ class PartEncoder:
                 split[row] = np.array([number.setdefault(p, len(number)) for p in some], np.int32)
             pieces = [split[r] if r in split else codes[ends[r] : ends[r + 1]] for r in range(len(texts))]
             codes, ends, parts = np.concatenate(pieces), np.r_[0, np.cumsum([len(x) for x in pieces])], list(number)
+            numbers = np.append(numbers, np.fromiter(map(self.kept.get, parts[len(numbers) :], repeat(-1)), np.int32))
         first = ends[:-1]
         inner = np.ones(len(codes), bool)
         inner[first] = False
         needed = np.zeros(len(parts), bool)
         needed[codes[inner]] = True
-        numbers = np.fromiter(map(self.kept.get, parts, repeat(-1)), np.int32, len(parts))
         lacking = np.flatnonzero(needed & (numbers < 0))
         if len(self.kept) + len(lacking) > self.cache:
             self._shrink()
