@@ -51,12 +51,6 @@ def le_bytes(value: Column, size: int) -> Column:
     return F.unhex(F.concat(*[F.substring(text, 2 * k + 1, 2) for k in reversed(range(size))]))
 
 
-def le_number(raw: Column, at: int, size: int) -> Column:
-    """Unsigned little-endian integer at a 1-based place, as DECIMAL(20,0)."""
-    digits = F.concat(*[F.hex(F.substring(raw, at + k, 1)) for k in reversed(range(size))])
-    return F.conv(digits, 16, 10).cast("decimal(20,0)")
-
-
 def concat_ordered(rows: Column) -> Column:
     """Bytes of an array of (seq, data) in order of seq, in one pass: as strings, whose bytes nothing changes."""
     return F.array_join(F.transform(F.array_sort(rows), lambda r: r["data"].cast("string")), "").cast("binary")

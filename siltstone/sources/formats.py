@@ -1,27 +1,33 @@
 """Binary formats of a repository: write-ahead log, manifest and repository metadata.
 
-The log's frames have one size, so it is read with built-in functions; manifests have variable
-entries and are decoded in Python. All numbers are little-endian.
+The log's frames have one size, so numpy reads many at a time; manifests have variable entries and
+are decoded one by one. All numbers are little-endian.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltstone.functions.columns import le_bytes, le_number
+from siltstone.functions.columns import le_bytes
 
 #: Fixed values of the formats.
 META_MAGIC, MANIFEST_MAGIC, VERSION = b"DEDUPBK1", b"DEDUPMF1", 1
 WAL_BODY, WAL_TYPE, WAL_FRAME = 45, 1, 53
+WAL_SLICE = 1 << 16  # frames that are read at a time
 ID_MOST, PATH_MOST = 15, 0xFFFF
 _META = struct.Struct("<8sIIIIQ")
 _HEAD = struct.Struct("<8sI16sqQ")
 _ENTRY = struct.Struct("<IQq32sI")
+_WAL = np.dtype([("size", "<u4"), ("type", "u1"), ("digest", "u1", 32), ("offset", "<u8"), ("length", "<u4"), ("crc", "<u4")])
+_HEX = np.frombuffer(bytes(range(256)).hex().encode(), np.uint8).reshape(256, 2)
 
 
 class FormatError(ValueError):
@@ -141,16 +147,46 @@ def wal_records(logs: DataFrame, key: str = "log", content: str = "content", typ
 
     A frame of another type than ``types`` is a bad one; all types share the frame's size.
     """
-    n = F.octet_length(content)
-    frames = logs.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(n / F.lit(WAL_FRAME)).cast("int")), lambda i: F.substring(F.col(content), i * WAL_FRAME + 1, F.lit(WAL_FRAME)))).alias("k", "raw"))
-    body = F.substring("raw", 5, WAL_BODY)
-    ok = (F.octet_length("raw") == WAL_FRAME) & (le_number(F.col("raw"), 1, 4) == WAL_BODY) & le_number(F.col("raw"), 5, 1).isin(*types) & (F.crc32(body).cast("decimal(20,0)") == le_number(F.col("raw"), 50, 4))
-    valid = F.min(ok.cast("int")).over(Window.partitionBy(key).orderBy("k"))
-    rows = frames.withColumn("_valid", valid).filter("_valid = 1")
-    return rows.select(key, "k", F.lower(F.hex(F.substring("raw", 6, 32))).alias("digest"), le_number(F.col("raw"), 38, 8).alias("offset"), le_number(F.col("raw"), 46, 4).cast("long").alias("length"))
+    kept = logs.schema[key]
+
+    def run(batches):
+        for batch in batches:
+            for row, cell in enumerate(batch.column(1)):
+                if cell.is_valid:
+                    for first, frames in _wal_valid(memoryview(cell.as_buffer()), types):
+                        yield _wal_batch(batch.column(0), row, first, frames)
+
+    rows = T.StructType([T.StructField(key, kept.dataType), *T.StructType.fromDDL("k int, digest string, offset decimal(20,0), length long")])
+    return logs.select(key, content).mapInArrow(run, rows)
+
+
+def _wal_valid(raw: memoryview, types: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """Frames before the first bad one: the first one's number and up to WAL_SLICE frames at a time."""
+    for first in range(0, len(raw) // WAL_FRAME, WAL_SLICE):
+        n = min(WAL_SLICE, len(raw) // WAL_FRAME - first)
+        frames = np.frombuffer(raw, _WAL, n, first * WAL_FRAME)
+        begin = first * WAL_FRAME + 4
+        crcs = np.fromiter((zlib.crc32(raw[at : at + WAL_BODY]) for at in range(begin, begin + n * WAL_FRAME, WAL_FRAME)), np.uint32, n)
+        bad = np.flatnonzero((frames["size"] != WAL_BODY) | ~np.isin(frames["type"], types) | (frames["crc"] != crcs))
+        if len(bad):
+            frames = frames[: bad[0]]
+        if len(frames):
+            yield first, frames
+        if len(bad):
+            return
+
+
+def _wal_batch(keys: pa.Array, row: int, first: int, frames: np.ndarray) -> pa.RecordBatch:
+    n = len(frames)
+    text = _HEX[frames["digest"]].tobytes()
+    digests = pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, 64 * n + 1, 64, dtype=np.int32)), pa.py_buffer(text))
+    wide = np.zeros((n, 2), "<u8")  # of 128 bits, as a decimal is
+    wide[:, 0] = frames["offset"]
+    offsets = pa.Array.from_buffers(pa.decimal128(20, 0), n, [None, pa.py_buffer(wide)])
+    columns = [keys.take(pa.array(np.full(n, row))), pa.array(np.arange(first, first + n, dtype=np.int32)), digests, offsets, pa.array(frames["length"].astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "k", "digest", "offset", "length"])
 
 
 def wal_index(records: DataFrame, key: str = "log") -> DataFrame:
     """Index that replaying leaves: of each digest the last record."""
-    last = F.max_by(F.struct("offset", "length"), "k")
-    return records.groupBy(key, "digest").agg(last.alias("r")).select(key, "digest", "r.offset", "r.length")
+    return records.groupBy(key, "digest").agg(F.max_by("offset", "k").alias("offset"), F.max_by("length", "k").alias("length"))
