@@ -56,6 +56,16 @@ _LONG = 64  # characters; longer parts aren't kept in the cache
 _SLICE = 2048  # documents that are encoded at a time
 _SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = rf"\A(?:\z|{_SPACE})|{_SPACE}\z"  # nothing, or white space at either end
+# Letters, whatever the version of Unicode, and signs that are no letters, numbers or white space; the apostrophe may begin a word's end.
+_RANGES = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f"
+_SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+_WORD = rf"\A(?P<word>[{_RANGES}]+)(?P<signs>[{_SIGNS}]*)\z"
+_SPLIT = pa.struct([("word", pa.string()), ("signs", pa.string())])
+# The character that stands for each byte in a vocabulary; a new line parts words.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHARACTERS = np.arange(256, dtype="<u4")
+_AS_CHARACTERS[np.setdiff1d(np.arange(256), _PLAIN)] = 256 + np.arange(256 - len(_PLAIN))
+_AS_CHARACTERS[10] = 32
 _TOKENIZERS: dict[str, PartEncoder] = {}
 SEGMENTS = "part int, segment int, first long, n long, blob binary"
 
@@ -263,6 +273,19 @@ def decode_ids(blob: bytes) -> np.ndarray:
     return decode_segment(blob)[2]
 
 
+def _word_model(library):
+    """The library's model for words that are split and written as its characters already; None if its words may differ."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    split, signs = library.pre_tokenizer, re.compile(rf" ?[{_RANGES}]*[{_SIGNS}]*")
+    plain = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and library.normalizer is None
+    if not plain or any(signs.fullmatch(t.content) for t in library.get_added_tokens_decoder().values()):
+        return None
+    model = Tokenizer(library.model)
+    model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return model
+
+
 class PartEncoder:
     """Ids of whole texts, with a bounded cache of their parts' ids.
 
@@ -283,6 +306,7 @@ class PartEncoder:
         self.bytes = np.zeros(65536, np.int64)  # in the vocabulary a byte is a character
         for token, i in self.library.get_vocab().items():
             self.bytes[i] = len(token)
+        self.plain = _word_model(self.library)
         self.heads = Memo(self.ids, cache // 20)  # of a text's first part, which no space precedes
         self._clear()
 
@@ -321,14 +345,60 @@ class PartEncoder:
         self.times[: len(best)] = times[best] >> 1
 
     def learn(self, parts: list[str]) -> int:
-        """Put parts that each follow a space into the pool; the first one's number."""
+        """Put parts that each follow a space into the pool; the first one's number.
+
+        The library splits a word and the signs behind it by itself, so their ids are those of the word and of the signs.
+        """
         if not parts:
             return self.used
+        array = pa.array(parts, pa.string())
+        split = pc.extract_regex(array, _WORD) if self.plain else pa.nulls(len(parts), _SPLIT)
+        simple = split.is_valid().to_numpy(zero_copy_only=False)
+        split = split.drop_null()
+        words, signs = (pc.dictionary_encode(split.field(k)) for k in (0, 1))
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.kept.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        odd = array.filter(pa.array(~simple)).to_pylist()
+        behind = [self.ids(x) if x else np.zeros(0, np.uint16) for x in signs.dictionary.to_pylist()]
+        # Ids of new words, of signs and of other parts, beside the pool's.
+        pool = [self.pool[: self.filled], *self._words([names[k] for k in new.tolist()]), *self._spaced(odd)]
+        sizes = np.concatenate([self.size[: self.used], pool[2], [len(x) for x in behind], pool[4]]).astype(np.int64)
+        ids = np.concatenate([pool[0], pool[1], *behind, pool[3]])
+        starts = np.cumsum(sizes) - sizes
+        starts[: self.used] = self.start[: self.used]
+        starts[self.used :] += self.filled - int(self.size[: self.used].sum())
+        number[new] = self.used + np.arange(len(new))
+        first = np.zeros((len(parts), 2), np.int64)
+        first[simple, 0], first[simple, 1] = number[words.indices.to_numpy()], self.used + len(new) + signs.indices.to_numpy()
+        first[~simple, 0] = self.used + len(new) + len(behind) + np.arange(len(odd))
+        size = sizes[first]
+        size[~simple, 1] = 0
+        flat = size.ravel()
+        where = np.repeat(starts[first].ravel() - (np.cumsum(flat) - flat), flat)
+        where += np.arange(len(where))
+        return self._add(ids[where], size.sum(axis=1))
+
+    def _spaced(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that each follow a space, and the number of each part's."""
+        if not parts:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         raw = [" " + p for p in parts]
-        ids = self.ids("".join(raw))
-        ends = np.cumsum([len(p.encode()) for p in raw])
-        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")
-        return self._add(ids[: cuts[-1]], np.diff(cuts, prepend=0))
+        return self._dealt(self.ids("".join(raw)), np.array([len(p.encode()) for p in raw]))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of _LETTERS: each is one piece for the model, so nothing needs to be split by the library's expression."""
+        if not words:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        raw = np.frombuffer((" " + "\n ".join(words)).encode(), np.uint8)
+        text = _AS_CHARACTERS[raw].tobytes().decode("utf-32-le")
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        return self._dealt(ids, np.diff(np.flatnonzero(np.r_[10, raw, 10] == 10)) - 1)
+
+    def _dealt(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts in a row, and how many each part of so many bytes has."""
+        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes), side="right")
+        return ids[: cuts[-1]], np.diff(cuts, prepend=0)
 
     def _parts(self, text: str) -> tuple[list[str], str]:
         """Parts of a text with other white space beside its spaces, and a last one that can't stand before others."""
@@ -373,7 +443,7 @@ class PartEncoder:
         if len(self.kept) + len(lacking) > self.cache:
             self._clear()
             self.times, lacking = np.zeros(len(parts), np.int32), np.flatnonzero(needed)
-        long = np.fromiter((len(parts[k]) >= _LONG for k in lacking.tolist()), bool, len(lacking))
+        long = np.fromiter(map(len, map(parts.__getitem__, lacking.tolist())), np.int64, len(lacking)) >= _LONG
         short = [parts[k] for k in lacking[~long].tolist()]
         at = self.learn(short)
         self.kept.update(zip(short, range(at, at + len(short)), strict=True))

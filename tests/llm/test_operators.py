@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -585,3 +586,19 @@ def test_pipeline(spark, tmp_path):
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()}
     assert {i for i in range(300) if i % 5} - kept == set() and not kept & {i for i in range(0, 300, 5)} and not kept & {400, 401}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "encode"]
+
+
+def test_words_and_their_signs_are_encoded_apart(monkeypatch):
+    """A word goes through the model once, whatever signs follow it, and ids are the library's for every letter and sign."""
+    path = tokenizer_path(tokenfile.VOCABULARY)
+    encoder, seen = tokenfile.PartEncoder(path), []
+    monkeypatch.setattr(encoder, "_words", lambda words, f=encoder._words: (seen.extend(words), f(words))[1])
+    letters = [chr(c) for c in range(0x41, 0x450) if chr(c).isalpha()]
+    texts = ["a word, word. word; word", "a word! word... other?!", *(f"a x{c}y{c}, {c}{c}{c}. {c}" for c in letters), *(f"a b{s}c d{s} e{s}'s {s}f g'{s} {s}" for s in map(chr, range(33, 127)))]
+    texts += ["a b<|endoftext|> <|endoftext|>, c<| |endoftext|>", "a don't we'll. 'tis it's, x's' 12, 3.4. a1 b_2 -", "a ×x÷, µm. 中文, 日本 x́,"]
+    ids, sizes = encoder.encode(pa.array(texts))
+    want = [e.ids for e in encoder.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert seen.count("word") == 1 and len(seen) == len(set(seen))
+    again = encoder.encode(pa.array(["a word) other, fresh."]))[0].tolist()
+    assert again == encoder.ids("a word) other, fresh.").tolist() and seen.count("word") == 1 and seen[-1] == "fresh"
